@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import exact_dedup, quality, shards, url_filter
+from tesserae.llm import exact_dedup, langid, packing, quality, shards, token_counts, url_filter
 from tesserae.llm.oracles import ORACLES
 from tesserae.session import table
 
@@ -23,6 +24,10 @@ URL_RULES = [
 ]
 
 
+def op2_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
     out = shards.assign(
@@ -44,6 +49,13 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, labelled, URL_RULES)
 
 
+def op6_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold(F.col("doc_id")) == 2
+    model = langid.fit(docs.where(~held_out))
+    return langid.classify(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -52,9 +64,16 @@ def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("cleaned_text")
 
 
+def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_prefix_counts": op2_prefix_counts,
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_url_templates": op4_url_templates,
+    "op6_compression_language": op6_compression_language,
     "op7_content_sort": op7_content_sort,
     "op8_line_rules": op8_line_rules,
+    "op9_swap_packing": op9_swap_packing,
 }
