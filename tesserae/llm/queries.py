@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import exact_dedup, langid, packing, quality, shards, token_counts, url_filter
+from tesserae.llm import exact_dedup, langid, merge_dropout, packing, quality, shards, token_counts, url_filter
 from tesserae.llm.oracles import ORACLES
 from tesserae.session import table
 
@@ -49,6 +49,18 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, labelled, URL_RULES)
 
 
+def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = merge_dropout.encode(table(spark, sf_dir, "documents"), model, seed=17)
+    return merge_dropout.decode(encoded, model).select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.col("decoded") == F.col("text")).alias("lossless"),
+    )
+
+
 def op6_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.fold(F.col("doc_id")) == 2
@@ -72,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_prefix_counts": op2_prefix_counts,
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_url_templates": op4_url_templates,
+    "op5_merge_dropout": op5_merge_dropout,
     "op6_compression_language": op6_compression_language,
     "op7_content_sort": op7_content_sort,
     "op8_line_rules": op8_line_rules,
