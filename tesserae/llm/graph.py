@@ -1,0 +1,45 @@
+"""Connected components of an edge table, without collecting it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tesserae.session import drop_path, scratch_path
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+    """``node`` and ``component`` (its smallest node) for every node of ``edges``.
+
+    Alternates two steps until nothing changes: each node points its larger
+    neighbours, then its smaller ones, to the smallest node that it sees, so paths
+    shorten by half or more.  Every round is written to the shared folder.  A node
+    with many neighbours is only ever a key of a grouped minimum.
+    """
+    spark = edges.sparkSession
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    path = scratch_path(spark, "components")
+    now.write.parquet(path)
+    schema = now.schema
+    now = spark.read.schema(schema).parquet(path)
+    for _ in range(max_rounds):
+        # Large star: neighbours above a node learn the least node around it.
+        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        # Small star: neighbours below a node, and the node, learn the least of them.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        new_path = scratch_path(spark, "components")
+        small.write.parquet(new_path)
+        new = spark.read.schema(schema).parquet(new_path)
+        same = new.count() == now.count() and new.join(now, ["u", "v"], "left_anti").isEmpty()
+        drop_path(spark, path)
+        now, path = new, new_path
+        if same:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

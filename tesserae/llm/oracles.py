@@ -46,4 +46,26 @@ FROM b
 """
 
 
-ORACLES: dict[str, str] = {"op7_content_sort": OP7, "op8_line_rules": _op8()}
+def links_sql(n: int, percent: int, source: str = "documents") -> str:
+    """Common table expressions up to ``comp(id, component)``: components of n-word Jaccard links."""
+    space = "concat(chr(9), chr(10), chr(11), chr(12), chr(13))"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+jd AS MATERIALIZED (SELECT doc_id AS id, list_filter(string_split(translate({low}, {space}, '     '), ' '), lambda x: x <> '') AS w FROM {source}),
+js AS MATERIALIZED (
+  SELECT DISTINCT id, array_to_string(w[i:i + {n - 1}], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(len(w) - {n - 2}, 2))) AS i FROM jd WHERE len(w) > 0)),
+jn AS MATERIALIZED (SELECT id, count(*) AS n FROM js GROUP BY id),
+jp AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM js a JOIN js b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+jl AS MATERIALIZED (SELECT a, b FROM jp JOIN jn x ON a = x.id JOIN jn y ON b = y.id WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+je AS MATERIALIZED (SELECT a, b FROM jl UNION ALL SELECT b, a FROM jl),
+jr AS (SELECT id, id AS r FROM jd UNION SELECT je.b, jr.r FROM jr JOIN je ON je.a = jr.id WHERE jr.r < je.b),
+comp AS MATERIALIZED (SELECT id, min(r) AS component FROM jr GROUP BY id)"""
+
+
+OP10 = f"""
+WITH RECURSIVE {links_sql(4, 85)}
+SELECT jd.id AS doc_id, coalesce(jn.n, 0)::BIGINT AS n_shingles, comp.component AS component_id
+FROM jd LEFT JOIN jn ON jn.id = jd.id JOIN comp ON comp.id = jd.id
+"""
+
+ORACLES: dict[str, str] = {"op7_content_sort": OP7, "op8_line_rules": _op8(), "op10_ngram_jaccard": OP10}

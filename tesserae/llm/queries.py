@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import exact_dedup, langid, merge_dropout, packing, quality, shards, token_counts, url_filter
+from tesserae.llm import exact_dedup, langid, merge_dropout, ngram_join, packing, quality, shards, token_counts, url_filter
 from tesserae.llm.oracles import ORACLES
 from tesserae.session import table
 
@@ -80,6 +80,10 @@ def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_prefix_counts": op2_prefix_counts,
     "op3_rendezvous_shards": op3_rendezvous_shards,
@@ -89,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_content_sort": op7_content_sort,
     "op8_line_rules": op8_line_rules,
     "op9_swap_packing": op9_swap_packing,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
