@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import exact_dedup, langid, merge_dropout, ngram_join, packing, quality, shards, token_counts, url_filter
+from tesserae.llm import exact_dedup, langid, merge_dropout, ngram_join, packing, quality, shards, suffix_dedup, token_counts, url_filter
 from tesserae.llm.oracles import ORACLES
 from tesserae.session import table
 
@@ -24,6 +24,10 @@ URL_RULES = [
 ]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -85,6 +89,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_prefix_counts": op2_prefix_counts,
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_url_templates": op4_url_templates,
