@@ -89,20 +89,25 @@ def classify(docs: DataFrame, model: dict[str, bytes], text: str = "text", keep:
 
     The dictionaries travel as one broadcast variable of bounded size.
     """
-    rows = docs.select(*[c.alias(n) for n, c in (keep or {}).items()], F.col(text).alias("_body"))
+    kept = keep or {}
+    # A text that is kept anyway travels once.
+    extra = [] if text in kept else [F.col(text).alias("_body")]
+    body = text if text in kept else "_body"
+    rows = docs.select(*[c.alias(n) for n, c in kept.items()], *extra)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    count = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(shipped.value)
         for batch in batches:
-            made = [classifier.judge(t, min_margin) for t in batch.column("_body").to_pylist()]
+            made = [classifier.judge(t, min_margin) for t in batch.column(body).to_pylist()]
             names, scores, margins, rejected = zip(*made, strict=True) if made else ((), (), (), ())
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns = [batch.column(i) for i in range(count)]
             new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns + new, names=[*batch.schema.names[:-1], "lang_pred", "score", "margin", "rejected"])
+            yield pa.RecordBatch.from_arrays(columns + new, names=[*batch.schema.names[:count], "lang_pred", "score", "margin", "rejected"])
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kept, "lang_pred string", "score double", "margin double", "rejected boolean"]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:count]]
+    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", "margin double", "rejected boolean"]))
 
 
 def fold(key: Column) -> Column:

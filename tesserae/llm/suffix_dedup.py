@@ -265,23 +265,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append(runs)
         digests = [hashlib.sha256(k).hexdigest() for k in kept]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(digests, pa.string())],
-            names=["id", "n_removed", "n_spans", "kept", "kept_sha256"],
+            [batch.column("id"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array(digests, pa.string())],
+            names=["id", "n_removed", "n_spans", "kept_text", "kept_sha256"],
         )
 
 
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """``id``, ``n_removed``, ``n_spans``, ``kept`` bytes and their digest, for documents that lose any."""
+    """``id``, ``n_removed``, ``n_spans``, ``kept_text`` and the digest of its bytes, for documents that lose any.
+
+    The digest is of all bytes kept; ``kept_text`` lacks characters of which a part was cut.
+    """
     found, texts = repeats(docs, key, text, length, gram, batches)
     lists = found.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    return texts.join(lists, "id").select("id", "body", "found").mapInArrow(_cut, "id long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return texts.join(lists, "id").select("id", "body", "found").mapInArrow(_cut, "id long, n_removed long, n_spans long, kept_text string, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """Sizes, removed bytes and runs, and the digest of what is kept, for every document."""
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     base = docs.select(F.col(key).alias("_key"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("_digest"))
-    lost = cut(docs, key, text, **options).drop("kept").dropDuplicates(["id"])
+    lost = cut(docs, key, text, **options).drop("kept_text").dropDuplicates(["id"])
     out = base.join(lost, F.col("_key") == F.col("id"), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return out.select(F.col("_key").alias(key), "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "_digest").alias("kept_sha256"))
