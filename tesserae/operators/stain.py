@@ -1,0 +1,118 @@
+"""Stain fitting and normalisation on RGB pixels (``y, x, r, g, b``)."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Directions of hematoxylin and eosin in optical density, by channel.
+REFERENCE = np.array([[0.65, 0.70, 0.29], [0.07, 0.99, 0.11]])
+#: Red, green, blue to cone responses, and those to decorrelated axes.
+TO_LMS = np.array([[0.3811, 0.5783, 0.0402], [0.1967, 0.7244, 0.0782], [0.0241, 0.1288, 0.8444]])
+TO_LAB = np.diag([3**-0.5, 6**-0.5, 2**-0.5]) @ np.array([[1, 1, 1], [1, 1, -2], [1, -1, 0]])
+
+
+class StainFittingError(ValueError):
+    """A stain basis that can't be told from the pixels."""
+
+
+@dataclass(frozen=True)
+class StainReference:
+    method: str
+    white: tuple[float, float, float] = (255.0, 255.0, 255.0)
+    matrix: np.ndarray | None = None
+    maxima: tuple[float, ...] = ()
+    mean: tuple[float, ...] = field(default=())
+    std: tuple[float, ...] = field(default=())
+
+
+def _linear(columns: list[Column], matrix: np.ndarray) -> list[Column]:
+    return [sum(c * float(w) for c, w in zip(columns, row, strict=True)) for row in matrix]
+
+
+def optical_density(white: tuple[float, float, float]) -> list[Column]:
+    return [-F.log((F.col(c) + 1) / (w + 1)) for c, w in zip("rgb", white, strict=True)]
+
+
+def white_point(background: DataFrame) -> tuple[float, float, float]:
+    row = background.agg(*[F.percentile(c, 0.5).alias(c) for c in "rgb"]).first()
+    return row["r"], row["g"], row["b"]
+
+
+def foreground(rgb: DataFrame, white: tuple[float, float, float] = (255.0,) * 3, beta: float = 0.15) -> DataFrame:
+    return rgb.where(sum(optical_density(white)) / 3 > beta)
+
+
+def _ordered(matrix: np.ndarray, max_angle: float) -> np.ndarray:
+    """Two unit columns in the order and with the signs of the reference."""
+    m = matrix / np.linalg.norm(matrix, axis=0)
+    ref = REFERENCE / np.linalg.norm(REFERENCE, axis=1)[:, None]
+    cos = ref @ m
+    if abs(cos[0, 0]) + abs(cos[1, 1]) < abs(cos[0, 1]) + abs(cos[1, 0]):
+        m, cos = m[:, ::-1], cos[:, ::-1]
+    m = m * np.where(np.diag(cos) < 0, -1, 1)
+    angles = np.degrees(np.arccos(np.clip(np.abs(np.diag(ref @ m)), 0, 1)))
+    if not np.isfinite(m).all() or np.linalg.matrix_rank(m) < 2 or (angles > max_angle).any():
+        raise StainFittingError(f"stains lie {angles.round(1)} degrees from the reference")
+    return m
+
+
+def fit_macenko(rgb: DataFrame, white: tuple[float, float, float] = (255.0,) * 3, alpha: float = 1.0, beta: float = 0.15, max_angle: float = 45.0) -> StainReference:
+    """Stain directions from the extreme angles in the plane of the two main directions.
+
+    The pixels are reduced to a 3 x 3 matrix of sums, and to percentiles.
+    """
+    tissue = foreground(rgb, white, beta)
+    od = optical_density(white)
+    sums = tissue.agg(*[F.sum(od[i] * od[j]).alias(f"s{i}{j}") for i in range(3) for j in range(i, 3)]).first()
+    if sums[0] is None:
+        raise StainFittingError("no tissue")
+    gram = np.array([[sums[f"s{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)])
+    axes = np.linalg.eigh(gram)[1][:, [2, 1]]
+    axes = axes * np.where(axes.sum(0) < 0, -1, 1)
+    u, v = _linear(od, axes.T)
+    angle = F.atan2(v, u)
+    low, high = tissue.agg(F.percentile(angle, alpha / 100), F.percentile(angle, 1 - alpha / 100)).first()
+    ends = np.array([[np.cos(low), np.cos(high)], [np.sin(low), np.sin(high)]])
+    matrix = _ordered(axes @ ends, max_angle)
+    amounts = _linear(od, np.linalg.pinv(matrix))
+    top = tissue.agg(*[F.percentile(a, 0.99) for a in amounts]).first()
+    return StainReference("macenko", white, matrix, tuple(max(t, 1e-6) for t in top))
+
+
+def concentrations(rgb: DataFrame, reference: StainReference) -> DataFrame:
+    h, e = _linear(optical_density(reference.white), np.linalg.pinv(reference.matrix))
+    return rgb.select("y", "x", h.alias("hematoxylin"), e.alias("eosin"))
+
+
+def _to_byte(c: Column) -> Column:
+    return F.bround(F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0)), 0)
+
+
+def apply_macenko(rgb: DataFrame, source: StainReference, target: StainReference) -> DataFrame:
+    """Amounts under the source's stains, scaled, shown with the target's; one linear map per pixel."""
+    scale = np.diag(np.array(target.maxima) / np.array(source.maxima))
+    od = _linear(optical_density(source.white), target.matrix @ scale @ np.linalg.pinv(source.matrix))
+    return rgb.select("y", "x", *[_to_byte(F.exp(-o) * (w + 1) - 1).alias(c) for c, o, w in zip("rgb", od, target.white, strict=True)])
+
+
+def lab() -> list[Column]:
+    lms = [F.log10(F.greatest(x, F.lit(1.0)) / 255.0) for x in _linear([F.col(c) for c in "rgb"], TO_LMS)]
+    return _linear(lms, TO_LAB)
+
+
+def fit_reinhard(rgb: DataFrame) -> StainReference:
+    row = rgb.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(lab()) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    if row["m0"] is None:
+        raise StainFittingError("no tissue")
+    return StainReference("reinhard", mean=tuple(row[f"m{i}"] for i in range(3)), std=tuple(max(row[f"s{i}"], 1e-6) for i in range(3)))
+
+
+def apply_reinhard(rgb: DataFrame, source: StainReference, target: StainReference) -> DataFrame:
+    moved = [(c - m) / s * t + n for c, m, s, n, t in zip(lab(), source.mean, source.std, target.mean, target.std, strict=True)]
+    lms = [F.pow(F.lit(10.0), x) * 255.0 for x in _linear(moved, np.linalg.inv(TO_LAB))]
+    back = _linear(lms, np.linalg.inv(TO_LMS))
+    return rgb.select("y", "x", *[_to_byte(v).alias(c) for c, v in zip("rgb", back, strict=True)])

@@ -1,4 +1,240 @@
-"""Queries over images."""
+"""Queries over images and label rasters, and their SQL counterparts."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.operators import images, qc, sepal, stain
+from tesserae.sources import views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _r(*names: str) -> list[F.Column]:
+    return [F.round(F.col(n), 6).alias(n) for n in names]
+
+
+PX = views.with_views("pixels")
+LB = views.with_views("pixels", "label_pixels")
+_TILED = PX + ", t AS MATERIALIZED (SELECT *, floor(y / 16.0)::BIGINT AS ty, floor(x / 21.0)::BIGINT AS tx FROM pixels), g AS MATERIALIZED (SELECT ty, tx, y, x, sum(val * CASE c WHEN 0 THEN 0.2126 WHEN 1 THEN 0.7152 ELSE 0.0722 END) AS val FROM t GROUP BY ALL)"
+
+
+def _tiled(spark: SparkSession, sf: str) -> DataFrame:
+    return images.tiles(views.pixels(spark, sf), 16, 21)
+
+
+@register("image_gray", PX + " SELECT y, x, round(sum(val * CASE c WHEN 0 THEN 0.2125 WHEN 1 THEN 0.7154 ELSE 0.0721 END), 6) AS val FROM pixels GROUP BY y, x")
+def _(spark, sf):
+    return images.gray(views.pixels(spark, sf)).select("y", "x", *_r("val"))
+
+
+@register("image_crop", PX + " SELECT i AS y, j AS x, c.c AS c, coalesce(p.val, -1.0) AS val FROM range(40) a(i), range(10) b(j), (VALUES (0), (1), (2)) c(c) LEFT JOIN pixels p ON p.y = i + 5 AND p.x = j + 15 AND p.c = c.c")
+def _(spark, sf):
+    return images.crop(views.pixels(spark, sf), 5, 15, 40, 10, cval=-1.0)
+
+
+@register("image_smooth")
+def _(spark, sf):
+    return images.smooth(views.pixels(spark, sf)).select("y", "x", "c", *_r("val"))
+
+
+@register(
+    "image_summary",
+    PX + ', t AS (SELECT floor(y / 16.0)::BIGINT AS ty, c, val FROM pixels) SELECT ty, c, quantile_cont(val, 0.9) AS "q90", quantile_cont(val, 0.5) AS "q50", quantile_cont(val, 0.1) AS "q10", round(avg(val), 6) AS mean, round(stddev_pop(val), 6) AS std FROM t GROUP BY ty, c',
+)
+def _(spark, sf):
+    s = images.summary(_tiled(spark, sf), ["ty"])
+    return s.select("ty", "c", F.col("`quantile_0.9`").alias("q90"), F.col("`quantile_0.5`").alias("q50"), F.col("`quantile_0.1`").alias("q10"), *_r("mean", "std"))
+
+
+@register(
+    "image_histogram",
+    PX + ", t AS (SELECT *, floor(y / 16.0)::BIGINT AS ty FROM pixels), b AS (SELECT ty, min(val) AS lo, max(val) AS hi FROM t GROUP BY ty) SELECT t.ty, c, least(floor((val - lo) / ((hi - lo) / 10)), 9)::INT AS bin, count(*) AS n FROM t JOIN b ON t.ty = b.ty WHERE hi > lo GROUP BY ALL",
+)
+def _(spark, sf):
+    return images.histogram(_tiled(spark, sf), ["ty"])
+
+
+@register(
+    "image_texture",
+    PX
+    + """, t AS (SELECT floor(y / 16.0)::BIGINT AS ty, y, x, c, val FROM pixels), o AS (SELECT a.ty, a.c, a.val AS i, b.val AS j FROM t a JOIN t b ON a.ty = b.ty AND a.c = b.c AND a.y = b.y AND b.x = a.x + 1),
+ s AS (SELECT ty, c, i, j, count(*) AS n FROM (SELECT * FROM o UNION ALL SELECT ty, c, j, i FROM o) GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY ty, c) AS p FROM s),
+ m AS (SELECT ty, c, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sum(p * p) AS asm_, sum(p * i) AS m, sum(p * i * i) AS q, sum(p * i * j) AS ij FROM p GROUP BY ALL)
+ SELECT ty, c, round(contrast, 6) AS contrast, round(dissimilarity, 6) AS dissimilarity, round(homogeneity, 6) AS homogeneity, round(asm_, 6) AS "ASM", round(CASE WHEN q - m * m > 1e-12 THEN (ij - m * m) / (q - m * m) ELSE 1 END, 6) AS correlation FROM m""",
+)
+def _(spark, sf):
+    return images.texture(_tiled(spark, sf), ["ty"]).select("ty", "c", *_r("contrast", "dissimilarity", "homogeneity", "ASM", "correlation"))
+
+
+@register(
+    "spot_features",
+    PX
+    + """, s AS (SELECT vec_id AS id, vec_id % 21 AS sx, vec_id AS sy FROM embeddings WHERE vec_id % 7 = 0)
+ SELECT id, c, count(*) AS n, round(avg(val), 6) AS mean, round(stddev_pop(val), 6) AS std, min(val) AS min, max(val) AS max FROM s JOIN pixels ON abs(y - sy) <= 3 AND abs(x - sx) <= 3 GROUP BY ALL""",
+)
+def _(spark, sf):
+    k = F.col("id")
+    spots = views.spots(spark, sf).where(k % 7 == 0).select("id", (k % 21).cast("double").alias("x"), k.cast("double").alias("y"))
+    return images.spot_features(views.pixels(spark, sf), spots, 3).select("id", "c", "n", *_r("mean", "std"), "min", "max")
+
+
+@register(
+    "label_regions",
+    LB
+    + """, m AS (SELECT label, count(*) AS area, avg(y) AS centroid_y, avg(x) AS centroid_x, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1, var_pop(y) + 1.0 / 12 AS a, var_pop(x) + 1.0 / 12 AS b, covar_pop(y, x) AS c FROM label_pixels WHERE label <> 0 GROUP BY label),
+ r AS (SELECT *, (a + b) / 2 + sqrt((a - b) * (a - b) / 4 + c * c) AS big, (a + b) / 2 - sqrt((a - b) * (a - b) / 4 + c * c) AS small FROM m)
+ SELECT label, area, centroid_y, centroid_x, y0, x0, y1, x1, round(area / ((y1 - y0 + 1) * (x1 - x0 + 1)), 6) AS extent, round(sqrt(4 * area / pi()), 6) AS equivalent_diameter,
+ round(4 * sqrt(big), 6) AS major_axis_length, round(4 * sqrt(greatest(small, 0)), 6) AS minor_axis_length, round(sqrt(greatest(1 - small / big, 0)), 6) AS eccentricity FROM r""",
+)
+def _(spark, sf):
+    r = images.regions(views.label_pixels(spark, sf))
+    return r.select("label", "area", "centroid_y", "centroid_x", "y0", "x0", "y1", "x1", *_r("extent", "equivalent_diameter", "major_axis_length", "minor_axis_length", "eccentricity"))
+
+
+@register("label_intensity", LB + " SELECT label, c, round(avg(val), 6) AS mean, round(stddev_pop(val), 6) AS std, min(val) AS min, max(val) AS max FROM label_pixels JOIN pixels USING (y, x) WHERE label <> 0 GROUP BY label, c")
+def _(spark, sf):
+    return images.label_intensity(views.pixels(spark, sf), views.label_pixels(spark, sf)).select("label", "c", *_r("mean", "std"), "min", "max")
+
+
+@register(
+    "label_histogram",
+    LB
+    + """, j AS (SELECT label, c, val FROM label_pixels JOIN pixels USING (y, x) WHERE label <> 0), b AS (SELECT label, min(val) AS lo, max(val) AS hi FROM j GROUP BY label),
+ n AS (SELECT j.label, c, least(floor((val - lo) / ((hi - lo) / 16)), 15)::INT AS bin, count(*) AS n FROM j JOIN b ON b.label = j.label WHERE hi > lo GROUP BY ALL) SELECT label, c, bin, round(n / sum(n) OVER (PARTITION BY label, c), 6) AS share FROM n""",
+)
+def _(spark, sf):
+    return images.cell_histogram(views.pixels(spark, sf), views.label_pixels(spark, sf)).select("label", "c", "bin", *_r("share"))
+
+
+@register(
+    "tile_specs",
+    LB
+    + """, m AS (SELECT label, avg(y) AS cy, avg(x) AS cx, greatest(max(y) - min(y) + 1, max(x) - min(x) + 1) AS e FROM label_pixels WHERE label <> 0 GROUP BY label)
+ SELECT label, floor(cy / 64)::BIGINT AS ty, floor(cx / 64)::BIGINT AS tx, (SELECT (ceil(max(e) / 2.0) + 1)::BIGINT FROM m) AS margin FROM m""",
+)
+def _(spark, sf):
+    return images.tile_specs(images.regions(views.label_pixels(spark, sf)), 64)
+
+
+_BINS = PX + """, v AS (SELECT y, x, sum(val * CASE c WHEN 0 THEN 0.2125 WHEN 1 THEN 0.7154 ELSE 0.0721 END) AS val FROM pixels GROUP BY y, x), e AS (SELECT min(val) AS lo, max(val) AS hi FROM v),
+ n AS (SELECT least(floor((val - lo) / ((hi - lo) / 256)), 255)::INT AS k, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n FROM v, e GROUP BY 1),
+ t AS (SELECT k, n, lo + (k + 0.5) * (hi - lo) / 256 AS t FROM n), c AS (SELECT k, t, sum(n) OVER (ORDER BY k) AS w0, sum(n * t) OVER (ORDER BY k) AS s0, sum(n) OVER () AS w, sum(n * t) OVER () AS s FROM t)"""
+
+
+@register("otsu_threshold", _BINS + " SELECT round(arg_max(t, v * 1e6 - k * 1e-9), 6) AS threshold FROM (SELECT k, t, round(w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)) / (w * w), 9) AS v FROM c WHERE w0 < w)")
+def _(spark, sf):
+    return images.otsu(images.gray(views.pixels(spark, sf))).select(*_r("threshold"))
+
+
+@register("detect_tissue")
+def _(spark, sf):
+    return images.detect_tissue(views.pixels(spark, sf), 0.0005)
+
+
+@register(
+    "qc_brightness",
+    _TILED + " SELECT ty, tx, round(avg(val), 6) AS brightness_mean, round(stddev_pop(val), 6) AS brightness_std, round(var_pop(val), 4) AS pop_variance FROM g GROUP BY ty, tx",
+)
+def _(spark, sf):
+    level = images.gray(_tiled(spark, sf), "qc")
+    a = level.groupBy("ty", "tx").agg(F.avg("val").alias("brightness_mean"), F.stddev_pop("val").alias("brightness_std"), F.round(F.var_pop("val"), 4).alias("pop_variance"))
+    return a.select("ty", "tx", *_r("brightness_mean", "brightness_std"), "pop_variance")
+
+
+_AROUND = "(SELECT a.ty, a.tx, a.y, a.x, i, j, n.val AS v FROM b a CROSS JOIN (VALUES (-1), (0), (1)) p(i) CROSS JOIN (VALUES (-1), (0), (1)) q(j) JOIN b n ON n.ty = a.ty AND n.tx = a.tx AND n.y = least(greatest(a.y + i, a.ya), a.yb) AND n.x = least(greatest(a.x + j, a.xa), a.xb))"
+
+
+@register(
+    "qc_sharpness",
+    _TILED
+    + f""", b AS MATERIALIZED (SELECT *, min(y) OVER w AS ya, max(y) OVER w AS yb, min(x) OVER w AS xa, max(x) OVER w AS xb FROM g WINDOW w AS (PARTITION BY ty, tx)),
+ s AS (SELECT ty, tx, y, x, sum(v * i * (2 - abs(j))) AS gy, sum(v * j * (2 - abs(i))) AS gx, sum(v * CASE WHEN i = 0 AND j = 0 THEN -4 WHEN abs(i) + abs(j) = 1 THEN 1 ELSE 0 END) AS lap FROM {_AROUND} GROUP BY ALL)
+ SELECT ty, tx, round(avg(gy * gy + gx * gx), 3) AS tenengrad_mean, round(var_pop(lap), 3) AS laplacian_variance FROM s GROUP BY ty, tx""",
+)
+def _(spark, sf):
+    s = qc.sharpness(images.gray(_tiled(spark, sf), "qc"))
+    return s.select("ty", "tx", F.round("tenengrad_mean", 3).alias("tenengrad_mean"), F.round("laplacian_variance", 3).alias("laplacian_variance"))
+
+
+@register(
+    "qc_entropy",
+    _TILED
+    + """, b AS (SELECT ty, tx, min(val) AS lo, max(val) AS hi FROM g GROUP BY ALL), n AS (SELECT ty, tx, CASE WHEN hi > lo THEN least(floor((val - lo) / ((hi - lo) / 256)), 255) ELSE 0 END AS k, count(*) AS n FROM g JOIN b USING (ty, tx) GROUP BY ALL),
+ p AS (SELECT *, n / sum(n) OVER (PARTITION BY ty, tx) AS p FROM n) SELECT ty, tx, round(abs(sum(-p * log2(p))), 6) AS entropy FROM p GROUP BY ty, tx""",
+)
+def _(spark, sf):
+    return qc.entropy(images.gray(_tiled(spark, sf), "qc")).select("ty", "tx", *_r("entropy"))
+
+
+@register("qc_tile_metrics")
+def _(spark, sf):
+    m = qc.unfocus(qc.tile_metrics(_tiled(spark, sf)), ["tenengrad_mean", "laplacian_variance", "haar_wavelet_energy"])
+    return m.select("ty", "tx", *_r(*[c for c in m.columns if c not in ("ty", "tx", "is_outlier")]), "is_outlier")
+
+
+@register("qc_high_frequencies")
+def _(spark, sf):
+    return qc.high_frequencies(images.gray(_tiled(spark, sf), "qc")).select("ty", "tx", *_r("fft_high_freq_energy"))
+
+
+@register(
+    "cut_scores",
+    LB
+    + """, o AS (SELECT label, count(*) AS area, avg(y) AS y, avg(x) AS x, max(x) - min(x) + 1 AS wx, max(y) - min(y) + 1 AS wy FROM label_pixels WHERE label <> 0 GROUP BY label)
+ SELECT label, area, y, x, round(CASE WHEN area >= 20 THEN greatest(wx, wy) / sqrt(4 * area / pi()) END, 6) AS score FROM o""",
+)
+def _(spark, sf):
+    return qc.cut_scores(views.label_pixels(spark, sf)).select("label", "area", "y", "x", *_r("score"))
+
+
+@register("tiling_qc")
+def _(spark, sf):
+    return qc.tiling_qc(views.label_pixels(spark, sf)).select("label", *_r("score", "smoothed"), "is_outlier")
+
+
+@register("stitched_labels")
+def _(spark, sf):
+    labels = views.label_pixels(spark, sf)
+    return qc.stitched_labels(labels, qc.stitch_groups(labels, max_size=1000))
+
+
+@register("stain_density", PX + ", w AS (SELECT y, x, max(val) FILTER (c = 0) AS r, max(val) FILTER (c = 1) AS g, max(val) FILTER (c = 2) AS b FROM pixels GROUP BY y, x) SELECT y, x, round(-ln((r + 1) / 256.0), 6) AS r, round(-ln((g + 1) / 256.0), 6) AS g, round(-ln((b + 1) / 256.0), 6) AS b FROM w")
+def _(spark, sf):
+    rgb = qc.wide(views.pixels(spark, sf))
+    return rgb.select("y", "x", *[F.round(c, 6).alias(n) for n, c in zip("rgb", stain.optical_density((255.0,) * 3), strict=True)])
+
+
+@register("stain_macenko")
+def _(spark, sf):
+    rgb = qc.wide(views.pixels(spark, sf))
+    own = stain.fit_macenko(rgb, max_angle=90.0)
+    return stain.apply_macenko(rgb, own, own)
+
+
+@register("stain_reinhard")
+def _(spark, sf):
+    rgb = qc.wide(views.pixels(spark, sf))
+    own = stain.fit_reinhard(rgb)
+    return stain.apply_reinhard(rgb, own, stain.StainReference("reinhard", mean=own.mean, std=tuple(s * 0.9 for s in own.std)))
+
+
+@register("sepal")
+def _(spark, sf):
+    points = views.spots(spark, sf)
+    return sepal.sepal(points, views.counts(spark, sf), max_neighs=4, n_iter=2000).select("lib", "gene", *_r("score"))
