@@ -37,12 +37,13 @@ def knn_edges(points: DataFrame, k: int, queries: DataFrame | None = None, start
     ends when the radius covers it.
     """
     p = points.select("lib", "id", "x", "y")
+    left = p if queries is None else queries.select("lib", "id", "x", "y")
     box = p.groupBy("lib").agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
-    span = box.agg(F.max(F.greatest("w", "h")).alias("span"), F.avg(F.sqrt(F.greatest(F.col("w") * F.col("h"), F.lit(1e-9)) * k / F.col("n"))).alias("r")).first()
-    if span is None or span["span"] is None:
+    whole = (p if queries is None else p.unionByName(left)).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))
+    span = whole.crossJoin(box.agg(F.avg(F.sqrt(F.greatest(F.col("w") * F.col("h"), F.lit(1e-9)) * k / F.col("n"))).alias("r"))).first()
+    if span["span"] is None:
         return radius_edges(p, 1.0)
-    radius = float(start or max(span["r"], 1e-6))
-    left = p if queries is None else queries.select("lib", "id", "x", "y")
+    radius = float(start or max(span["r"] or 0.0, float(span["span"]) * 1e-3, 1e-6))
     done: DataFrame | None = None
     rank = Window.partitionBy("lib", "src").orderBy("d2", "dst")
     while True:
