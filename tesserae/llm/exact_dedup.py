@@ -18,9 +18,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters of a text that take part in its splitters.
+HEAD_CHARS = 32
+
 NORMALISERS: dict[str, Callable[[Column], Column]] = {
     "none": lambda c: c,
     "space": lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")),
@@ -48,11 +51,17 @@ def content_groups(docs: DataFrame, keep: str = "max") -> DataFrame:
     """
     partial = docs.select("body", "id").mapInArrow(_combine_batches(keep), "body string, best long, n long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = partial.repartitionByRange(parts, "body").sortWithinPartitions("body")
+    # Splitters are sampled on the driver, so they are short: the first characters, then a
+    # hash that divides texts with one beginning.
+    keyed = partial.withColumns({"head": F.left("body", F.lit(HEAD_CHARS)), "h": F.xxhash64("body")})
+    runs = keyed.repartitionByRange(parts, "head", "h")
     best = F.max if keep == "max" else F.min
-    # The range partitioning and the sort serve this grouping: each run of neighbours with
-    # equal bytes becomes one row, without another exchange.
-    return runs.groupBy("body").agg(best("best").alias("keep_id"), F.sum("n").alias("group_size"))
+    # The range partitioning serves this window without another exchange: its sort puts equal
+    # texts side by side, and it compares each row's whole text with its neighbour's.
+    equal = Window.partitionBy("head", "h", "body")
+    first = F.row_number().over(equal.orderBy("best"))
+    found = runs.select("body", best("best").over(equal).alias("keep_id"), F.sum("n").over(equal).alias("group_size"), first.alias("r"))
+    return found.where("r = 1").drop("r")
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", normalise: str = "none", keep: str = "max") -> DataFrame:
