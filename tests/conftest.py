@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -10,6 +11,6 @@ from tesserae.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", 8, **{"spark.default.parallelism": "8"})
+    session = build_session("tests", os.environ.get("TEST_CPUS", "8"), **{"spark.default.parallelism": "8"})
     yield session
     session.stop()
