@@ -1,0 +1,13 @@
+"""Names of result tables."""
+
+from __future__ import annotations
+
+
+def graph_table(key: str = "spatial", kind: str = "connectivities") -> str:
+    """The edge table of a graph; a key that has the ending already keeps it."""
+    return key if key.endswith(f"_{kind}") else f"{key}_{kind}"
+
+
+def result_table(cluster: str, what: str) -> str:
+    """For instance ``celltype_nhood_enrichment``."""
+    return f"{cluster}_{what}"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import images, qc, sepal, stain
+from tesserae.operators import container, images, qc, sepal, stain
 from tesserae.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,3 +238,21 @@ def _(spark, sf):
 def _(spark, sf):
     points = views.spots(spark, sf)
     return sepal.sepal(points, views.counts(spark, sf), max_neighs=4, n_iter=2000).select("lib", "gene", *_r("score"))
+
+
+@register("container_shape", PX + " SELECT 'image' AS image_id, layer, max(y) + 1 AS height, max(x) + 1 AS width, 1::BIGINT AS depth, count(DISTINCT c) AS channels FROM (SELECT 'image' AS layer, * FROM pixels UNION ALL SELECT 'gray', y, x, 0, 0.0 FROM pixels WHERE c = 0) GROUP BY layer")
+def _(spark, sf):
+    box = container.ImageContainer.from_pixels(views.pixels(spark, sf))
+    level = images.gray(box.layer("image")).withColumn("c", F.lit(0))
+    return box.add(level, "gray").shape()
+
+
+@register("container_apply", PX + " SELECT y, x, c, 255.0 - val AS val FROM pixels")
+def _(spark, sf):
+    box = container.ImageContainer.from_pixels(views.pixels(spark, sf))
+    return box.apply(lambda p: p.assign(val=255.0 - p["val"]), "image", "inverse", chunk=64, depth=2).layer("inverse").select("y", "x", "c", "val")
+
+
+@register("container_segment")
+def _(spark, sf):
+    return container.ImageContainer.from_pixels(views.pixels(spark, sf)).segment("image", threshold=160.0).layer("segmented").select("y", "x", "val")

@@ -12,6 +12,7 @@ from tesserae.operators import autocorr, graph, graph_stats, ligrec, niche, patt
 from tesserae.plans import image_queries
 from tesserae.session import materialise
 from tesserae.sources import views
+from tesserae.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -406,5 +407,12 @@ def _(spark, sf):
     return niche.calculate_niche("spatialleiden", points, edges, latent=edges, layer_ratio=0.5)
 
 
+@register("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    out = windows.run_once(spark, sf, "events.parquet", schema, "ts", "event_type", "value")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n", F.round("total", 4).alias("total"))
+
+
 QUERIES.update(image_queries.QUERIES)
 ORACLES.update(image_queries.ORACLES)
