@@ -14,42 +14,108 @@ columns are ignored; any number of equal lengths is packed alike.
 
 from __future__ import annotations
 
-import array
+import json
 import math
-import sys
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.token_counts import byte_letters
 from tesserae.session import materialise
 
 CAPACITY = 2048
 #: Pieces of a packing group, on average.
 GROUP_PIECES = 20_000
 #: Words whose ids one worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: Texts that a worker holds as strings at once.
+SLICE = 500
 #: Bins filled less than this after the first round are packed again together.
 REPACK_BELOW = 0.98
 #: Passes of local search over the bins of a group without a bin emptied, after which it ends.
 IDLE_PASSES = 2
 
 
+#: Fixed value: the pattern that splits lower-case text before the merges.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_END = b"\0"
+
+
+def _letter_of(letters: dict[str, int], rank: int, end: str) -> str:
+    letter = next(c for c, b in letters.items() if b == rank % 256)
+    return letter if rank < 256 else letter + end
+
+
 class WordIds:
     """Token ids of texts, as little-endian 32-bit bytes, for a vocabulary that drops white space.
 
-    Words between spaces and line ends are encoded by the library one by one, which
-    equals encoding the text, and remembered.
+    Words between spaces and line ends are encoded one by one, which equals encoding
+    the text, and remembered.  Words of Latin letters, digits and signs are merged by
+    a byte-pair coder that holds the file's merges, many in one call; others go to the
+    library that reads the file.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {"": b""}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters = byte_letters()
+        end = model["end_of_word_suffix"]
+
+        def spelled(token: str) -> bytes:
+            # The end of a word is a byte that the words in question don't hold.
+            body, tail = (token[: -len(end)], _END) if token.endswith(end) else (token, b"")
+            return bytes(letters[c] for c in body) + tail
+
+        # Ranks: bytes, then bytes that end a word, then the merges in the file's order.
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + _END: 256 + b for b in range(256)}
+        for i, merge in enumerate(model["merges"]):
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            ranks.setdefault(spelled(left) + spelled(right), 512 + i)
+        ids = np.zeros(512 + len(model["merges"]), np.uint32)
+        last = np.zeros(len(ids), bool)
+        for token, number in model["vocab"].items():
+            try:
+                rank = ranks.get(spelled(token))
+            except KeyError:  # a special token, not spelled in the stand-ins for bytes
+                continue
+            if rank is not None and (rank >= 512 or token == _letter_of(letters, rank, end)):
+                ids[rank] = number
+                last[rank] = token.endswith(end)
+        self.ids, self.last = ids, last
+        self.coder = tiktoken.Encoding("words", pat_str="[^\0]*\0", mergeable_ranks=ranks, special_tokens={})
+        self.plain = re.compile("[!-~\u00a1-\u024f]+").fullmatch
+        self.split = regex.compile(WORDS).findall
+
+    def _learn(self, new: list[str]) -> None:
+        known = self.words
+        plain, other = [], []
+        for word in new:
+            (plain if self.plain(word) and "<|" not in word else other).append(word)
+        parts = [self.split(unicodedata.normalize("NFC", w).lower()) for w in plain]
+        made = np.array(self.coder.encode_ordinary("\0".join([p for part in parts for p in part] + [""])), np.int64)
+        ends = np.flatnonzero(self.last[made]) + 1
+        stops = np.concatenate([[0], ends])[np.cumsum([len(p) for p in parts], dtype=np.int64)] if parts else []
+        data = self.ids[made].astype("<u4").tobytes()
+        at = 0
+        for word, stop in zip(plain, stops, strict=True):
+            known[word] = data[4 * at : 4 * int(stop)]
+            at = int(stop)
+        if other:
+            for word, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+                known[word] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
@@ -61,12 +127,7 @@ class WordIds:
         if len(known) > CACHE_WORDS:
             known.clear()
             known[""] = b""
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for word, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = array.array("I", made.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            known[word] = ids.tobytes()
+        self._learn([w for w in dict.fromkeys(words) if w not in known])
         return b"".join([known[w] for w in words])
 
 
@@ -84,15 +145,17 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
         encode = _ENCODERS[vocabulary].encode
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, body in enumerate(batch.column("_body").to_pylist()):
-                ids = encode(body) + mark
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    at.append(i)
-                    piece.append(k // (4 * capacity))
-                    start.append(k // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+            bodies = batch.column("_body")
+            for low in range(0, len(bodies), SLICE):
+                for i, body in enumerate(bodies.slice(low, SLICE).to_pylist(), low):
+                    ids = encode(body) + mark
+                    for k in range(0, len(ids), 4 * capacity):
+                        part = ids[k : k + 4 * capacity]
+                        at.append(i)
+                        piece.append(k // (4 * capacity))
+                        start.append(k // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_key").take(pa.array(at, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["_key", "piece", "start", "length", "ids_crc32"],

@@ -31,7 +31,7 @@ LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 CACHE_WORDS = 400_000
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable stand-ins of the vocabulary file and the bytes they mean."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
@@ -44,7 +44,7 @@ class PrefixCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         to_bytes = lambda token: bytes(letters[c] for c in token)
         self.special = [t["content"] for t in data["added_tokens"]]
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
