@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import quality
+from tesserae.llm import quality, url_filter
 
 _Q = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -46,6 +46,52 @@ FROM b
 """
 
 
+#: Rules of the url query: host, path, verdict.
+URL_RULES = [
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
+
+
+def _op4() -> str:
+    u = url_filter
+    rest = "CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+    host = f"translate(regexp_extract({rest}, '(?s)^([^/?#]*)([^?#]*)', 1), '{u.UPPER}', '{u.UPPER.lower()}')"
+    path = f"regexp_extract({rest}, '(?s)^([^/?#]*)([^?#]*)', 2)"
+    end, stem = r"regexp_extract(s, '(\.[A-Za-z]{1,5})$', 1)", r"regexp_replace(s, '\.[A-Za-z]{1,5}$', '')"
+    template = f"""list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: concat(CASE
+ WHEN regexp_matches({stem}, '^[0-9]+$') THEN '{{n}}' WHEN regexp_matches({stem}, '^[0-9]{{4}}-[0-9]{{1,2}}(-[0-9]{{1,2}})?$') THEN '{{date}}'
+ WHEN regexp_matches({stem}, '^[0-9a-fA-F-]{{12,}}$') THEN '{{hex}}' WHEN regexp_matches({stem}, '^[^-_]+([-_][^-_]+){{2,}}$') THEN '{{slug}}'
+ WHEN regexp_matches({stem}, '[0-9]') THEN regexp_replace({stem}, '[0-9]+', '{{n}}', 'g') ELSE {stem} END, {end}))"""
+    rules = sorted(URL_RULES, key=lambda r: -len(r.name))
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    case = lambda pick: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{pick(r)}'" for r in rules) + " END"
+    deep = "SELECT *, array_to_string(steps[1:depth], '/') AS node, CASE WHEN depth > 0 THEN array_to_string(steps[1:depth - 1], '/') END AS parent FROM (SELECT *, unnest(range(0, len(steps) + 1)) AS depth FROM {})"
+    prior = u.PRIOR_LABELS
+    return f"""
+WITH p AS MATERIALIZED (SELECT page_id, url, {host} AS host, {path} AS path FROM pages), t AS MATERIALIZED (SELECT *, {template} AS steps FROM p),
+l AS (SELECT host, steps, bad::BIGINT AS bad FROM (SELECT host, steps, regexp_extract(path, '/([0-9]{{1,18}})(\\.[a-z]+)?/?$', 1) AS n FROM t WHERE url IS NOT NULL)
+ JOIN (SELECT doc_id::VARCHAR AS n, (toxic = 1 OR quality = 0) AS bad FROM labels) USING (n) WHERE bad IS NOT NULL),
+c AS (SELECT host, steps, count(*)::BIGINT AS n, sum(bad)::BIGINT AS b FROM l GROUP BY ALL),
+nodes AS MATERIALIZED (SELECT host, node, parent, depth, sum(n)::BIGINT AS n, sum(b)::BIGINT AS b FROM ({deep.format('c')}) GROUP BY ALL),
+br AS MATERIALIZED (SELECT x.*, x.n >= {u.MIN_LABELS} AND y.n - x.n > 0 AND
+ ((x.b * (y.n - x.n) - (y.b - x.b) * x.n) * (x.b * (y.n - x.n) - (y.b - x.b) * x.n))::DOUBLE * y.n > (y.b * (y.n - y.b) * x.n * (y.n - x.n))::DOUBLE * {u.MERGE_Z * u.MERGE_Z} AS apart
+ FROM nodes x JOIN nodes y ON y.host = x.host AND y.node = x.parent AND y.depth = x.depth - 1 WHERE x.depth > 0),
+pooled AS (SELECT host, parent, depth, sum(n)::BIGINT AS mn, sum(b)::BIGINT AS mb FROM br WHERE NOT apart GROUP BY ALL),
+a AS (SELECT count(*) AS an, coalesce(sum(bad), 0)::DOUBLE AS ab FROM l),
+w AS (SELECT d.host, d.steps, d.depth, coalesce(o.n, q.mn) AS n, coalesce(o.b, q.mb) AS b FROM ({deep.format('(SELECT DISTINCT host, steps FROM t)')}) d
+ LEFT JOIN br o ON o.apart AND o.host = d.host AND o.node = d.node AND o.depth = d.depth LEFT JOIN pooled q ON q.host = d.host AND q.parent = d.parent AND q.depth = d.depth),
+dp AS (SELECT host, steps, arg_max(n, depth) FILTER (n >= {u.MIN_LABELS}) AS n, arg_max(b, depth) FILTER (n >= {u.MIN_LABELS}) AS b FROM w GROUP BY ALL),
+h AS (SELECT dp.*, coalesce((r.b + CASE WHEN an > 0 THEN ab / an ELSE 0.0 END * {prior}) / (r.n + {prior}), CASE WHEN an > 0 THEN ab / an ELSE 0.0 END) AS hs FROM dp CROSS JOIN a LEFT JOIN nodes r ON r.depth = 0 AND r.host = dp.host),
+v AS (SELECT host, steps, coalesce((b + hs * {prior}) / (n + {prior}), hs) AS share FROM h)
+SELECT page_id, t.host, path, {case(lambda r: r.name)} AS rule, coalesce({case(lambda r: r.verdict)}, CASE WHEN share >= {u.MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict,
+ concat('/', array_to_string(t.steps, '/')) AS template, round(share, 6) AS bad_share FROM t JOIN v ON v.host = t.host AND v.steps = t.steps
+""".replace("(host = ", "(t.host = ").replace("ends_with(host", "ends_with(t.host")
+
+
 def links_sql(n: int, percent: int, source: str = "documents") -> str:
     """Common table expressions up to ``comp(id, component)``: components of n-word Jaccard links."""
     space = "concat(chr(9), chr(10), chr(11), chr(12), chr(13))"
@@ -68,4 +114,4 @@ SELECT jd.id AS doc_id, coalesce(jn.n, 0)::BIGINT AS n_shingles, comp.component
 FROM jd LEFT JOIN jn ON jn.id = jd.id JOIN comp ON comp.id = jd.id
 """
 
-ORACLES: dict[str, str] = {"op7_content_sort": OP7, "op8_line_rules": _op8(), "op10_ngram_jaccard": OP10}
+ORACLES: dict[str, str] = {"op4_url_templates": _op4(), "op7_content_sort": OP7, "op8_line_rules": _op8(), "op10_ngram_jaccard": OP10}

@@ -9,21 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import exact_dedup, langid, merge_dropout, ngram_join, packing, quality, shards, suffix_dedup, token_counts, url_filter
-from tesserae.llm.oracles import ORACLES
+from tesserae.llm.oracles import ORACLES, URL_RULES
 from tesserae.session import table
 
 __all__ = ["ORACLES", "QUERIES"]
 
-#: Rules of the url query: host, path, verdict.
-URL_RULES = [
-    url_filter.Rule("com", "/", "allow"),
-    url_filter.Rule("example.com", "/en/", "block"),
-    url_filter.Rule("www.example.com", "/en/", "allow"),
-    url_filter.Rule("net", "/es/", "block"),
-    url_filter.Rule("net", "/fr/", "block"),
-]
-
-
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
