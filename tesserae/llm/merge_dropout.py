@@ -16,9 +16,10 @@ encoded alike; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import re
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ SPACE = "▁"
 VARIANTS = 4
 RATE = 0.1
 #: Segmentations that one worker keeps.
-CACHE_WORDS = 600_000
-_MASK = (1 << 64) - 1
+CACHE_WORDS = 800_000
+#: The last place in a word that an agenda entry can name, and the last value of the keyed hash.
+_PLACE = (1 << 34) - 1
+_SKIPS = (1 << 16) - 1
 
 
 class MergeDropout:
@@ -60,57 +63,73 @@ class MergeDropout:
                 self.ids[piece] = i
                 self.bytes.append(piece.replace(SPACE, " ").encode())
         self.seed, self.variants = seed, variants
-        self.limit = int(rate * (1 << 64))
+        # Candidates are ordered by score, then by place: both and the length share one number.
+        scores = sorted({-self.scores[i] for i in self.ids.values()})
+        places = {score: k for k, score in enumerate(scores)}
+        if max(map(len, self.ids)) > 31:
+            raise ValueError("a piece is too long")
+        self.rank_of = {piece: places[-self.scores[i]] << 39 | len(piece) for piece, i in self.ids.items()}
+        # Which values of the keyed hash mean a skip, spread by the seed.
+        keyed = [xxhash.xxh64_intdigest(i.to_bytes(4, "little"), seed) for i in range(_SKIPS + 1)]
+        self.skips = bytes(k < rate * (1 << 64) for k in keyed) if rate else b""
         self.caches: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(variants)]
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def _word(self, word: str, variant: int) -> bytes:
-        """The ids of one word, whose spaces are written as U+2581."""
-        ids, scores, limit = self.ids, self.scores, self.limit
-        base = xxhash.xxh64_intdigest(word, (self.seed * 1_000_003 + variant) & _MASK)
-        parts: list[str | None] = list(word)
-        n = len(parts)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        agenda: list[tuple[float, int, int, str]] = []
+        """The ids of one word, whose spaces are written as U+2581.
+
+        Symbols are known by their first character's place and by where they end.  The
+        agenda holds score rank, place and length in one number; a candidate that comes up
+        still stands if two symbols side by side fill its span.
+        """
+        find = self.rank_of.get
+        n = len(word)
+        if n > _PLACE:
+            raise ValueError("a word is too long")
+        end = list(range(1, n + 1))
+        start = list(range(n))  # of the symbol that ends behind a place
+        agenda = []
         for i in range(n - 1):
-            piece = word[i : i + 2]
-            if piece in ids:
-                agenda.append((-scores[ids[piece]], i, i + 1, piece))
-        heapq.heapify(agenda)
+            rank = find(word[i : i + 2])
+            if rank is not None:
+                agenda.append(rank | i << 5)
+        heapify(agenda)
+        skips = self.skips
+        base = xxhash.xxh32_intdigest(word, self.seed * 1_000_003 + variant & 0xFFFFFFFF) if skips else 0
         while agenda:
-            _, left, right, piece = heapq.heappop(agenda)
-            a, b = parts[left], parts[right] if right < n else None
-            if a is None or b is None or after[left] != right or len(a) + len(b) != len(piece):
+            top = heappop(agenda)
+            left = top >> 5 & _PLACE
+            stop = left + (top & 31)
+            middle = end[left]
+            if middle <= left or middle >= stop or end[middle] != stop:
                 continue
-            if limit:
-                h = (base + left * 0x9E3779B97F4A7C15 + ids[piece] * 0xC2B2AE3D27D4EB4F) & _MASK
-                h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & _MASK
-                h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & _MASK
-                if (h ^ (h >> 33)) < limit:
-                    continue
-            parts[left], parts[right] = piece, None
-            nxt = after[left] = after[right]
-            if nxt < n:
-                before[nxt] = left
-                more = piece + parts[nxt]
-                if more in ids:
-                    heapq.heappush(agenda, (-scores[ids[more]], left, nxt, more))
-            prev = before[left]
-            if prev >= 0:
-                more = parts[prev] + piece
-                if more in ids:
-                    heapq.heappush(agenda, (-scores[ids[more]], prev, left, more))
-        made: list[int] = []
-        for part in parts:
-            if part is None:
+            if skips and skips[(base + left * 40_503 + (top >> 39) * 30_011) & _SKIPS]:
                 continue
+            end[left] = stop
+            end[middle] = 0
+            start[stop - 1] = left
+            if stop < n:
+                rank = find(word[left : end[stop]])
+                if rank is not None:
+                    heappush(agenda, rank | left << 5)
+            if left:
+                before = start[left - 1]
+                rank = find(word[before:stop])
+                if rank is not None:
+                    heappush(agenda, rank | before << 5)
+        made: list[int] = []
+        at = 0
+        ids = self.ids
+        while at < n:
+            part = word[at : end[at]]
             known = ids.get(part)
             if known is None:
                 made += [self.byte_ids[x] for x in part.encode("utf-8", "surrogatepass")]
             else:
                 made.append(known)
-        return np.array(made, "<u2").tobytes()
+            at = end[at]
+        return array("H", made).tobytes()
 
     def _own_mark(self, text: str, variant: int) -> bytes:
         """A text that holds U+2581 itself: that character becomes bytes between the parts."""
@@ -137,11 +156,14 @@ class MergeDropout:
             try:
                 made[shift :: self.variants] = [cache[w] for w in some]
             except KeyError:
-                if len(cache) * self.variants > CACHE_WORDS:
-                    cache.clear()
+                if len(cache) * 2 * self.variants > CACHE_WORDS:  # words not met again are forgotten
+                    self.older[variant], cache = cache, {}
+                    self.caches[variant] = cache
+                older = self.older[variant]
                 for w in some:
                     if w not in cache:
-                        cache[w] = self._word(w, variant)
+                        known = older.get(w)
+                        cache[w] = self._word(w, variant) if known is None else known
                 made[shift :: self.variants] = [cache[w] for w in some]
         return np.frombuffer(b"".join(made), "<u2").astype(np.int32)
 
