@@ -61,17 +61,28 @@ _POSITION_BITS = 20
 
 def _words(text: Column) -> Column:
     """Runs of characters other than white space, as an array."""
-    flat = F.translate(text, SPACE, " " * len(SPACE))
-    return F.filter(F.split(flat, " "), lambda w: w != "")
+    flat = text
+    for c in SPACE[1:]:
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
+    parts = F.split(flat, " ")
+    gaps = F.contains(flat, F.lit("  ")) | F.startswith(flat, F.lit(" ")) | F.endswith(flat, F.lit(" ")) | (flat == "")
+    return F.when(gaps, F.filter(parts, lambda w: w != "")).otherwise(parts)
 
 
-def _chars(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are among ``chars``."""
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    """How many characters of ``text`` are among ``chars``; each is looked for by itself, which is quick."""
+    out = F.lit(0)
+    for c in chars:
+        out = out + ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))) / len(c.encode())).cast("int")
+    return out
 
 
 def _word_chars(text: Column) -> Column:
-    return F.char_length(F.translate(text, SPACE, ""))
+    return F.char_length(text) - _count(text, SPACE)
+
+
+def _has_word(text: Column) -> Column:
+    return text.rlike("[^ \\t\\n\\x0b\\f\\r]")
 
 
 def _covered(starts: Column) -> Column:
@@ -86,17 +97,16 @@ def _covered(starts: Column) -> Column:
 def line_passes(line: Column) -> Column:
     """Whether one line survives: punctuation, navigation and boilerplate rules."""
     body = F.lower(F.trim(line))
-    words = _chars(line, " ") + 1  # close enough for a share, and it splits nothing
+    words = _count(line, " ") + 1  # close enough for a share, and it splits nothing
     boiler = F.lit(False)
     for phrase in BOILERPLATE:
         boiler = boiler | F.contains(body, F.lit(phrase))
-    bars = _chars(line, "|»›•→>")
-    menu = (bars * 100 > words * SEPARATOR_PERCENT) & (bars >= 2)
-    single = F.rtrim(F.translate(body, ".:>»|", "")).isin(*NAVIGATION)
-    noisy = _chars(line, SYMBOLS) * 100 > words * SYMBOL_WORD_PERCENT
-    endless = (words >= LONG_LINE_WORDS) & (_chars(line, CLOSING) == 0)
-    blank = F.translate(line, SPACE, "") == ""
-    return blank | ~((boiler & (words <= 60)) | menu | single | ((words >= 10) & noisy) | endless)
+    bars = _count(line, "|»›•→>")
+    menu = (bars >= 2) & (bars * 100 > words * SEPARATOR_PERCENT)
+    single = (F.octet_length(line) < 200) & F.rtrim(F.translate(body, ".:>»|", "")).isin(*NAVIGATION)
+    noisy = (words >= 10) & (_count(line, SYMBOLS) * 100 > words * SYMBOL_WORD_PERCENT)
+    endless = (words >= LONG_LINE_WORDS) & ~line.rlike("[" + "".join("\\" + c for c in CLOSING) + "]")
+    return ~_has_word(line) | ~(((words <= 60) & boiler) | menu | single | noisy | endless)
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
@@ -108,42 +118,41 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", max_lost_per
         n >= 3,
         F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))),
     ).otherwise(F.array().cast("array<bigint>"))
-    worded = F.filter("lines", lambda x: F.translate(x, SPACE, "") != "")
+    worded = F.filter("lines", _has_word)
     counted = split.select(
         "key",
         "body",
-        "words",
         "lines",
         n.alias("n_words"),
         _word_chars(F.col("body")).alias("word_chars"),
-        _chars(F.col("body"), SYMBOLS).alias("n_symbols"),
+        _count(F.col("body"), SYMBOLS).alias("n_symbols"),
         worded.alias("worded"),
         trigrams.alias("tri"),
     )
-    repeats = counted.withColumn("repeats", F.size("tri") - F.size(F.array_distinct("tri")))
     # A hash and a position share one long, so that sorting longs brings equal windows together.
     packed = F.sort_array(F.transform("tri", lambda h, i: F.shiftleft(h, _POSITION_BITS).bitwiseOR(i.cast("long"))))
-    sorted_ = repeats.withColumn("packed", F.when((F.col("repeats") > 0) & (F.col("n_words") < (1 << _POSITION_BITS)), packed))
+    sorted_ = counted.withColumn("packed", F.when(F.col("n_words") < (1 << _POSITION_BITS), packed))
     same = lambda a, b: F.shiftright(a, _POSITION_BITS) == F.shiftright(b, _POSITION_BITS)
-    # The sort key keeps 44 bits of the hash; texts where that merges two windows take the longer way.
+    follows = F.filter("packed", lambda p, i: (i > 0) & same(p, F.get("packed", F.greatest(i - 1, F.lit(0)))))
+    counted = sorted_.withColumn("again", F.size(follows))
+    # The sort key keeps 44 bits of the hash; texts where that merges two windows, and
+    # those with too many words for the position, take the longer way.
+    repeats = F.size("tri") - F.size(F.array_distinct("tri"))
+    marked = counted.withColumn("clash", F.col("packed").isNull() | ((F.col("again") > 0) & (F.col("again") != repeats)))
     again = F.filter(
         "packed",
-        lambda p, i: F.coalesce(same(p, F.get("packed", i + 1)), F.lit(False)) | F.coalesce((i > 0) & same(p, F.get("packed", F.greatest(i - 1, F.lit(0)))), F.lit(False)),
+        lambda p, i: ((i > 0) & same(p, F.get("packed", F.greatest(i - 1, F.lit(0))))) | F.coalesce(same(p, F.get("packed", i + 1)), F.lit(False)),
     )
-    marked = sorted_.withColumn("starts", F.sort_array(F.transform(again, lambda p: p.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).cast("int"))))
-    short = F.size(F.array_distinct(F.transform("tri", lambda h: F.shiftleft(h, _POSITION_BITS))))
-    clash = F.col("packed").isNull() | (short != F.size(F.array_distinct("tri")))
+    starts = F.sort_array(F.transform(again, lambda p: p.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).cast("int")))
+    marked = marked.withColumn("starts", F.when(~F.col("clash") & (F.col("again") > 0), starts))
     slow_sorted = F.sort_array(F.transform("tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    slow = F.sort_array(
-        F.transform(
-            F.filter(
-                slow_sorted,
-                lambda p: F.size(F.filter(F.col("tri"), lambda h: h == p["h"])) > 1,
-            ),
-            lambda p: p["i"],
-        )
+    marked = marked.withColumn("slow", F.when(F.col("clash"), slow_sorted))
+    twice = F.filter(
+        "slow",
+        lambda p, i: ((i > 0) & (p["h"] == F.get("slow", F.greatest(i - 1, F.lit(0)))["h"])) | F.coalesce(p["h"] == F.get("slow", i + 1)["h"], F.lit(False)),
     )
-    n_repeat = F.when(F.col("repeats") == 0, F.lit(0).cast("long")).when(clash, _covered(slow)).otherwise(_covered(F.col("starts")))
+    marked = marked.withColumn("starts", F.when(F.col("clash"), F.sort_array(F.transform(twice, lambda p: p["i"]))).otherwise(F.col("starts")))
+    n_repeat = F.when(F.col("starts").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("starts")))
     out = marked.select(
         "key",
         "body",
@@ -157,7 +166,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", max_lost_per
     )
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     clean = out.withColumn("cleaned", F.array_join("kept_lines", "\n"))
-    lost = F.col("word_chars") - _word_chars(F.col("cleaned"))
+    lost = F.when(F.size("kept_lines") == F.col("n_lines"), F.lit(0)).otherwise(F.col("word_chars") - _word_chars(F.col("cleaned")))
     return clean.select(
         F.col("key").alias(key),
         "n_words",
