@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,6 +14,11 @@ from pyspark.sql import functions as F
 
 from tesserae.session import materialise
 
+#: Cells that the search for near vectors deals to at most, and values that its pivots hold in all.
+MAX_PIVOTS, MAX_PIVOT_VALUES = 4096, 4_000_000
+#: Vectors that visit a cell in one task.
+MAX_VISITS = 65_536
+
 
 def next_hop(front: DataFrame, edges: DataFrame) -> DataFrame:
     """Path weights one hop further: the product of two adjacency matrices."""
@@ -170,17 +177,97 @@ def calculate_niche(flavor: str, nodes: DataFrame, edges: DataFrame, expr: DataF
     return finish(communities(feature_neighbors(as_vectors(rows, nodes)), resolution), nodes, **post)
 
 
-def feature_neighbors(vectors: DataFrame, k: int = 15, tables: int = 6, width: float = 1.0) -> DataFrame:
-    """Nearest vectors among those that share a bucket of random projections: ``src, dst, w``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-    scaled = StandardScaler(inputCol="features", outputCol="z", withMean=True).fit(vectors).transform(vectors).select("id", F.col("z").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=width, numHashTables=tables, seed=1).fit(scaled)
-    hashed = model.transform(scaled).select("id", vector_to_array("features").alias("v"), F.posexplode(F.transform("h", lambda x: vector_to_array(x)[0])).alias("t", "b"))
-    near = Window.partitionBy("t", "b").orderBy("id")
-    # Buckets are walked in order of id: each vector meets the next ones, not the whole bucket.
-    rows = hashed.withColumn("next", F.collect_list(F.struct("id", "v")).over(near.rowsBetween(1, 2 * k)))
-    pairs = rows.select("id", "v", F.explode("next").alias("o")).select(F.col("id").alias("src"), F.col("o.id").alias("dst"), F.aggregate(F.zip_with("v", "o.v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b).alias("d")).distinct()
-    both = pairs.union(pairs.select("dst", "src", "d"))
-    top = both.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))).where(F.col("r") <= k)
-    return top.select("src", "dst", (1 / (1 + F.sqrt("d"))).alias("w"))
+def feature_neighbors(vectors: DataFrame, k: int = 15) -> DataFrame:
+    """The ``k`` nearest vectors of each, by distance and then id, after scaling: ``src, dst, w``.
+
+    Equal vectors are searched once.  Distinct ones are dealt to the nearest of some pivots;
+    the search in the own cell bounds the k-th distance, and then each vector visits every
+    other cell that the triangle inequality does not rule out, so the result is exact.
+    """
+    scaled = StandardScaler(inputCol="features", outputCol="z", withMean=True).fit(vectors).transform(vectors).select("id", vector_to_array("z").alias("v"))
+    cells = materialise(scaled.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))), "scaled")  # no negative zeros
+    order = Window.partitionBy("v").orderBy("id")
+    first = cells.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    groups = materialise(first.groupBy("v").agg(F.min("id").alias("g"), F.sort_array(F.collect_list("id")).alias("ids")), "groups")
+    n = groups.count()
+    if not n:
+        return cells.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+    width = len(groups.first()["v"])
+    some = max(1, min(int(n**0.5), MAX_PIVOTS, MAX_PIVOT_VALUES // max(width, 1)))
+    pivots = np.array([r["v"] for r in groups.orderBy(F.xxhash64("v"), "g").limit(some).select("v").collect()], float).reshape(-1, width)
+    kind = dict(cells.dtypes)["id"]
+    group = f"g {kind}, v array<double>, ids array<{kind}>, cell int"
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            v = np.array(rows["v"].tolist(), float).reshape(-1, width)
+            d = np.concatenate([_squares(v[a:b], pivots) for a, b in _blocks(len(v), len(pivots))]) if len(v) else np.empty((0, len(pivots)))
+            yield rows.assign(cell=d.argmin(1).astype("int32"), far=np.sqrt(d.min(1)))
+
+    dealt = materialise(groups.mapInPandas(deal, f"{group}, far double"), "dealt")
+    radius = np.full(len(pivots), -np.inf)
+    for r in dealt.groupBy("cell").agg(F.max("far").alias("far")).collect():  # a row for each pivot
+        radius[r["cell"]] = r["far"]
+
+    def within(rows: pd.DataFrame) -> pd.DataFrame:
+        out = _ranked(rows, rows, k)
+        bound = [found[-1][0] if len(found) > k else float("inf") for found in out]
+        return rows[["g", "v", "cell"]].assign(bound=bound, found=[[{"d": d, "id": i} for d, i in found] for found in out])
+
+    found = f"array<struct<d: double, id: {kind}>>"
+    own = materialise(dealt.drop("far").groupBy("cell").applyInPandas(lambda rows: within(rows), f"g {kind}, v array<double>, cell int, bound double, found {found}"), "own")
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            v = np.array(rows["v"].tolist(), float).reshape(-1, width)
+            bound, home = np.sqrt(rows["bound"].to_numpy(float)), rows["cell"].to_numpy()
+            for a, b in _blocks(len(v), len(pivots)):
+                gap = np.sqrt(_squares(v[a:b], pivots)) - radius
+                # A little more than the bound, so that ties and rounding lose nothing.
+                near = gap <= (bound[a:b] * (1 + 1e-9) + 1e-9)[:, None]
+                near[np.arange(b - a), home[a:b]] = False
+                i, c = np.nonzero(near)
+                yield pd.DataFrame({"g": rows["g"].to_numpy()[a:b][i], "v": rows["v"].to_numpy()[a:b][i], "cell": c.astype("int32")})
+
+    def elsewhere(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = _ranked(asked, rows, k) if len(asked) and len(rows) else []
+        return pd.DataFrame({"g": asked["g"].to_numpy()[: len(out)] if len(rows) else [], "found": [[{"d": d, "id": i} for d, i in found] for found in out]})
+
+    asked = materialise(own.select("g", "v", "cell", "bound").mapInPandas(visits, f"g {kind}, v array<double>, cell int"), "asked")
+    # A cell that many vectors visit is searched in several tasks; a row for each pivot at most.
+    parts = F.broadcast(asked.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / MAX_VISITS) + 1).cast("int").alias("n")))
+    dealt_asked = asked.join(parts, "cell").select("g", "v", "cell", F.pmod(F.xxhash64("g"), F.col("n")).cast("int").alias("part"))
+    visited = dealt.drop("far").join(parts, "cell").select("g", "v", "ids", "cell", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    others = dealt_asked.groupBy("cell", "part").cogroup(visited.groupBy("cell", "part")).applyInPandas(lambda a, b: elsewhere(a, b), f"g {kind}, found {found}")
+    merged = own.select("g", "found").union(others).groupBy("g").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k + 1).alias("best"))
+    member = cells.join(groups.select("v", "g"), "v").select("id", "g")
+    near = member.join(merged, "g").select(F.col("id").alias("src"), F.slice(F.filter("best", lambda x: x["id"] != F.col("id")), 1, k).alias("best"))
+    return near.select("src", F.explode("best").alias("o")).select("src", F.col("o.id").alias("dst"), (1 / (1 + F.sqrt("o.d"))).alias("w"))
+
+
+def _blocks(rows: int, columns: int) -> list[tuple[int, int]]:
+    """Ranges of rows whose matrix of distances stays small."""
+    step = max(1, 2_000_000 // max(columns, 1))
+    return [(a, min(a + step, rows)) for a in range(0, rows, step)]
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows, summed in order of the columns."""
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        out += (a[:, j, None] - b[None, :, j]) ** 2
+    return out
+
+
+def _ranked(asked: pd.DataFrame, rows: pd.DataFrame, k: int) -> list[list[tuple[float, int]]]:
+    """For each asked vector its ``k`` + 1 nearest members of ``rows``: (squared distance, id) in order."""
+    a, b = (np.array(x["v"].tolist(), float).reshape(len(x), -1) for x in (asked, rows))
+    ids = list(rows["ids"])
+    out = []
+    for lo, hi in _blocks(len(a), len(b)):
+        d = _squares(a[lo:hi], b)
+        last = np.partition(d, k, axis=1)[:, k] if len(b) > k + 1 else np.full(hi - lo, np.inf)
+        for own, edge in zip(d, last, strict=True):
+            some = np.nonzero(own <= edge)[0]  # every vector has a member, so k + 1 vectors are enough, with all ties
+            out.append(sorted((float(own[i]), m) for i in some for m in ids[i])[: k + 1])
+    return out
