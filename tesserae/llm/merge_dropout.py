@@ -2,12 +2,13 @@
 
 A text is cut where no piece of the vocabulary reaches: before a run of spaces that
 follows another character.  In each such word, candidate merges wait in an agenda by
-score and position; one that comes up is skipped for good when a hash keyed by the
-seed, the variant, the word, the position and the piece falls below the dropout rate.
-With rate 0 the result is the library's own encoding.
+score and position; one that comes up is skipped for good with the dropout rate, as
+decided by a hash keyed by the seed, the record, the word's place in it and the number
+of candidates that came up before.  With rate 0 the result is the library's own encoding.
 
-The variant changes from word to word of a record and from record to record, among
-``VARIANTS`` many, so a worker can keep the segmentations of words that recur.
+The first 64 decisions of an occurrence are the bits of one number.  Most numbers skip
+nothing that comes up, so a worker keeps each word's plain segmentation, and those of
+the bits that were met before.
 
 Defined results: a null text counts as empty and has no pieces; a text's own U+2581
 is written as bytes, so that it is told from a space; repeated rows with one key are
@@ -16,6 +17,7 @@ encoded alike; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -28,17 +30,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-VARIANTS = 4
+#: Values of the first 64 decisions, which each occurrence of a word draws by itself.
+VARIANTS = 1 << 64
 RATE = 0.1
 #: Segmentations that one worker keeps.
 CACHE_WORDS = 800_000
-#: The last place in a word that an agenda entry can name, and the last value of the keyed hash.
+#: The last place in a word that an agenda entry can name.
 _PLACE = (1 << 34) - 1
-_SKIPS = (1 << 16) - 1
+#: Binary digits of the dropout rate, and texts that are encoded together.
+_DIGITS, _TEXTS = 16, 200
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class MergeDropout:
-    def __init__(self, path: str, rate: float = RATE, seed: int = 0, variants: int = VARIANTS):
+    def __init__(self, path: str, rate: float = RATE, seed: int = 0):
         import sentencepiece
 
         if not 0 <= rate < 1:
@@ -62,22 +73,42 @@ class MergeDropout:
                     raise ValueError("a piece reaches over a space")
                 self.ids[piece] = i
                 self.bytes.append(piece.replace(SPACE, " ").encode())
-        self.seed, self.variants = seed, variants
+        self.rate, self.seed = rate, seed
         # Candidates are ordered by score, then by place: both and the length share one number.
         scores = sorted({-self.scores[i] for i in self.ids.values()})
         places = {score: k for k, score in enumerate(scores)}
         if max(map(len, self.ids)) > 31:
             raise ValueError("a piece is too long")
         self.rank_of = {piece: places[-self.scores[i]] << 39 | len(piece) for piece, i in self.ids.items()}
-        # Which values of the keyed hash mean a skip, spread by the seed.
-        keyed = [xxhash.xxh64_intdigest(i.to_bytes(4, "little"), seed) for i in range(_SKIPS + 1)]
-        self.skips = bytes(k < rate * (1 << 64) for k in keyed) if rate else b""
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(variants)]
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.varied: dict[int, bytes | None] = {}
+        self.older: dict[int, bytes | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the tables of words; the empty word stands for a text's own U+2581."""
+        self.varied, self.older = {}, {}
+        self.known: dict[str, int] = {"": 0}
+        self.names = [""]
+        self.plain = [np.array([self.byte_ids[x] for x in SPACE.encode()], "<u2").tobytes()]
+        self.asked = [0]  # candidates that come up when none is skipped
+        self.mask = np.zeros(1 << 12, np.uint64)  # their bits; all bits if there are more
+
+    def _learn(self, word: str) -> int:
+        made, asked = self._word(word)
+        i = self.known[word] = len(self.plain)
+        self.names.append(word)
+        self.plain.append(made)
+        self.asked.append(asked)
+        if i == len(self.mask):
+            self.mask = np.concatenate([self.mask, np.zeros_like(self.mask)])
+        self.mask[i] = (1 << min(asked, 64)) - 1
+        return i
+
+    def _word(self, word: str, bits: int = 0, more: int | None = None) -> tuple[bytes, int]:
+        """The ids of one word, whose spaces are written as U+2581, and the candidates that came up.
 
-    def _word(self, word: str, variant: int) -> bytes:
-        """The ids of one word, whose spaces are written as U+2581.
+        ``bits`` says which of the first 64 are skipped; ``more`` keys the hash for later ones.
 
         Symbols are known by their first character's place and by where they end.  The
         agenda holds score rank, place and length in one number; a candidate that comes up
@@ -95,8 +126,8 @@ class MergeDropout:
             if rank is not None:
                 agenda.append(rank | i << 5)
         heapify(agenda)
-        skips = self.skips
-        base = xxhash.xxh32_intdigest(word, self.seed * 1_000_003 + variant & 0xFFFFFFFF) if skips else 0
+        asked = 0
+        least = self.rate * (1 << 64)
         while agenda:
             top = heappop(agenda)
             left = top >> 5 & _PLACE
@@ -104,7 +135,11 @@ class MergeDropout:
             middle = end[left]
             if middle <= left or middle >= stop or end[middle] != stop:
                 continue
-            if skips and skips[(base + left * 40_503 + (top >> 39) * 30_011) & _SKIPS]:
+            asked += 1
+            if asked <= 64:
+                if bits >> (asked - 1) & 1:
+                    continue
+            elif more is not None and xxhash.xxh64_intdigest(asked.to_bytes(8, "little"), more) < least:
                 continue
             end[left] = stop
             end[middle] = 0
@@ -129,43 +164,81 @@ class MergeDropout:
             else:
                 made.append(known)
             at = end[at]
-        return array("H", made).tobytes()
+        return array("H", made).tobytes(), asked
 
-    def _own_mark(self, text: str, variant: int) -> bytes:
-        """A text that holds U+2581 itself: that character becomes bytes between the parts."""
-        mark = np.array([self.byte_ids[x] for x in SPACE.encode()], "<u2").tobytes()
-        parts = (" " + text).split(SPACE)
-        return mark.join(b"".join(self._word(w, variant) for w in self.words(part.replace(" ", SPACE))) for part in parts)
+    def _split(self, text: str) -> list[str]:
+        if SPACE in text:  # the text's own: an empty word between the parts
+            made: list[str] = []
+            for part in (" " + text).split(SPACE):
+                made += [*self.words(part.replace(" ", SPACE)), ""]
+            return made[:-1]
+        if "  " in text or text.startswith(" ") or text.endswith(" "):
+            return self.words(SPACE + text.replace(" ", SPACE))
+        return [SPACE + w for w in text.split(" ")] if text else []
+
+    def _bits(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers whose bits are set with the dropout rate, one for each key."""
+        out = np.zeros_like(keys)
+        digits = round(self.rate * (1 << _DIGITS))
+        for k in range(_DIGITS):
+            drawn = _mixed(keys + np.uint64(_STEP * (k + 1) & (1 << 64) - 1))
+            out = out | drawn if digits >> k & 1 else out & drawn
+        return out
+
+    def _skipped(self, i: int, bits: int, key: int) -> bytes:
+        """Word ``i`` when ``bits`` skip some candidate of its plain way."""
+        take = self.asked[i] + 2
+        if take > 64:
+            return self._word(self.names[i], bits, key)[0]
+        while take <= 64:
+            # As many bits as may be asked for; where they are too few, None is kept.
+            name = i << 65 | 1 << take | bits & (1 << take) - 1
+            made = self.varied.get(name, b"?")
+            if made == b"?":
+                made = self.older.get(name, b"?")
+                if made == b"?":
+                    ids, asked = self._word(self.names[i], bits, key)
+                    made = ids if asked <= take else None
+                self.varied[name] = made
+            if made is not None:
+                return made
+            take += 4
+        return self._word(self.names[i], bits, key)[0]
+
+    def encode_all(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
+        """Piece ids of each text; the keys name the records."""
+        if len(self.plain) * 2 > CACHE_WORDS:  # words are learned anew
+            self._forget()
+        if len(self.varied) * 4 > CACHE_WORDS:  # what is not met again is forgotten
+            self.varied, self.older = {}, self.varied
+        split = [self._split(t) for t in texts]
+        flat = list(itertools.chain.from_iterable(split))
+        known = self.known
+        try:
+            which = [known[w] for w in flat]
+        except KeyError:
+            which = [i if (i := known.get(w)) is not None else self._learn(w) for w in flat]
+        made = list(map(self.plain.__getitem__, which))
+        sizes = [len(w) for w in split]
+        if self.rate and flat:
+            record = np.array([xxhash.xxh64_intdigest(k, self.seed) for k in keys], np.uint64)
+            ends = np.cumsum(sizes)
+            place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes) + 1
+            own = _mixed(np.repeat(record, sizes) + place.astype(np.uint64) * np.uint64(_STEP))
+            bits = self._bits(own)
+            masks = self.mask[which]
+            some = np.nonzero(((bits & masks) != 0) | (masks == np.uint64((1 << 64) - 1)))[0]
+            for j, b, key in zip(some.tolist(), bits[some].tolist(), own[some].tolist(), strict=True):
+                made[j] = self._skipped(which[j], b, key)
+        out, at = [], 0
+        for n in sizes:
+            out.append(np.frombuffer(b"".join(made[at : at + n]), "<u2").astype(np.int32))
+            at += n
+        return out
 
     def encode(self, text: str, key: str) -> np.ndarray:
         """Piece ids of ``text``; ``key`` names the record."""
-        if not text:
-            return np.empty(0, np.int32)
-        first = xxhash.xxh64_intdigest(key, self.seed) % self.variants
-        if SPACE in text:
-            return np.frombuffer(self._own_mark(text, first), "<u2").astype(np.int32)
-        if "  " in text or text.startswith(" ") or text.endswith(" "):
-            words = self.words(SPACE + text.replace(" ", SPACE))
-        else:
-            words = [SPACE + w for w in text.split(" ")]
-        made: list[bytes] = [b""] * len(words)
-        for shift in range(self.variants):
-            variant = (first + shift) % self.variants
-            cache = self.caches[variant]
-            some = words[shift :: self.variants]
-            try:
-                made[shift :: self.variants] = [cache[w] for w in some]
-            except KeyError:
-                if len(cache) * 2 * self.variants > CACHE_WORDS:  # words not met again are forgotten
-                    self.older[variant], cache = cache, {}
-                    self.caches[variant] = cache
-                older = self.older[variant]
-                for w in some:
-                    if w not in cache:
-                        known = older.get(w)
-                        cache[w] = self._word(w, variant) if known is None else known
-                made[shift :: self.variants] = [cache[w] for w in some]
-        return np.frombuffer(b"".join(made), "<u2").astype(np.int32)
+        return self.encode_all([text], [key])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``, without the space that encoding put in front."""
@@ -188,7 +261,8 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model, rate, seed)
         for batch in batches:
-            made = [own.encode(t, k or "") for k, t in zip(batch.column("_name").to_pylist(), batch.column("_body").to_pylist(), strict=True)]
+            names, texts = [k or "" for k in batch.column("_name").to_pylist()], batch.column("_body").to_pylist()
+            made = [ids for i in range(0, len(texts), _TEXTS) for ids in own.encode_all(texts[i : i + _TEXTS], names[i : i + _TEXTS])]
             ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
             flat = np.concatenate(made) if made else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_body"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["_key", "_body", "ids"])
