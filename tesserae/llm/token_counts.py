@@ -2,10 +2,11 @@
 
 The tokens of a prefix end with a token that fits the tokens before it; which one is
 decided by whether the pair would survive encoding.  So one pass over the bytes of a
-word gives the last token, and the count, of each of its prefixes, and truncation
-or budget questions are answered by looking counts up.
+word gives the last token, and the count, of each of its prefixes.  They are returned as
+the change that every byte makes, and the total, the limit's verdict and truncation to any
+budget are read from that.
 
-Words recur, so a worker keeps the totals of words that it has met; the cache is
+Words recur, so a worker keeps the changes of words that it has met; the cache is
 emptied when it reaches a limit.
 
 Defined results: a null or empty text has no tokens; repeated rows count alike; an
@@ -16,8 +17,10 @@ from __future__ import annotations
 
 import itertools
 import json
+import operator
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Contractions that the pattern takes as one word although it is three characters.
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
-#: Words whose totals one worker keeps.
+#: Words whose changes one worker keeps.
 CACHE_WORDS = 400_000
 
 
@@ -70,9 +73,12 @@ class PrefixCounter:
         self.rank = order
         self.longest = max(map(len, order))
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, int] = {}
+        self.words: dict[str, bytes] = {}
         self.find = regex.compile(PATTERN).findall
-        self.odd_space = regex.compile(r"[ ](?=\s)|[ ]$").search
+        # A text between two of which no prefix reaches over: white space and what follows it.
+        self.runs = regex.compile(r"\s*\S+|\s+").findall
+        self.odd_space = regex.compile(r"[ ](?=\s)|(?<=\s)[ ]|[ ]$").search
+        self.blank = regex.compile(r"\s+").fullmatch
 
     def _fit(self, a: int, b: int) -> bool:
         """Whether tokens a, b stay apart when their bytes are encoded together.
@@ -122,25 +128,46 @@ class PrefixCounter:
                 break
         return count
 
-    def _chunk(self, chunk: str) -> int:
-        words = self.words
-        total = 0
-        for word in self.find(chunk):
-            known = words.get(word)
-            total += self.word_prefixes(word.encode("utf-8", "surrogatepass"))[-1] if known is None else known
-        if len(words) >= CACHE_WORDS:
-            words.clear()
-        words[chunk] = total
-        return total
+    def _keep(self, piece: str, made: bytes) -> bytes:
+        if len(self.words) >= CACHE_WORDS:
+            self.words.clear()
+        self.words[piece] = made
+        return made
+
+    def _word(self, word: str) -> bytes:
+        counts = self.word_prefixes(word.encode("utf-8", "surrogatepass"))
+        if word in LONG_CONTRACTIONS:
+            counts[2] = 2
+        return self._keep(word, _steps(counts))
+
+    def _chunk(self, chunk: str) -> bytes:
+        found = self.find(chunk)
+        made: list[bytes] = []
+        i, shift = 0, 0
+        while i < len(found):
+            word = found[i]
+            if word[-1].isspace() and self.blank(word):
+                run = [*itertools.takewhile(self.blank, found[i:])]
+                i += len(run)
+                counts = self.word_prefixes("".join(run).encode())
+                made.append(_steps(counts))
+                # Before another word the run is split.
+                shift = sum(self.word_prefixes(w.encode())[-1] for w in run) - counts[-1] if len(run) > 1 else 0
+                continue
+            known = self.words.get(word)
+            known = self._word(word) if known is None else known
+            made.append(_steps([0, known[0] + shift]) + known[1:] if shift else known)
+            i, shift = i + 1, 0
+        return made[0] if len(found) == 1 else self._keep(chunk, b"".join(made))
 
     def _chunks(self, text: str) -> list[str]:
-        """Pieces of text between which no word of the pattern reaches.
+        """Pieces of text between which no word of the pattern reaches, at any of its prefixes.
 
-        A single space before another character always begins a word; where spaces
-        stand otherwise, the pattern itself splits the text.
+        A single space between other characters always begins a word; where spaces
+        stand otherwise, white space goes with what follows it.
         """
         if self.odd_space(text):
-            return self.find(text)
+            return self.runs(text)
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
 
@@ -153,69 +180,42 @@ class PrefixCounter:
                 at = found.end()
         yield text[at:], False
 
-    def chunk_counts(self, text: str) -> tuple[list[str], list[int]]:
-        chunks: list[str] = []
-        counts: list[int] = []
-        for part, special in self._segments(text):
+    def changes(self, text: str | None) -> bytes:
+        """The change of the count by each byte of the text, as signed bytes.
+
+        A prefix may end where the pattern splits it differently than the whole
+        text: inside white space before a word, and inside a contraction.
+        """
+        made: list[bytes] = []
+        before = ""
+        for part, special in self._segments(text or ""):
             if special:
-                chunks.append(part)
-                counts.append(1)
+                # Until it is complete, the special string is text like what stands before it.
+                base = self.count(before)
+                counts = [base, *[self.count(before + part[:i]) for i in range(1, len(part))], base + 1]
+                made.append(np.diff(counts).astype(np.int8).tobytes())
+                before = ""
             elif part:
-                own = self._chunks(part)
                 words, chunk = self.words, self._chunk
-                chunks += own
-                counts += [n if (n := words.get(c)) is not None else chunk(c) for c in own]
-        return chunks, counts
+                own = self._chunks(part)
+                made += [x if (x := words.get(c)) is not None else chunk(c) for c in own]
+                before = part
+        return b"".join(made)
 
     def count(self, text: str | None) -> int:
-        return sum(self.chunk_counts(text)[1]) if text else 0
-
-    def fitting_bytes(self, text: str | None, budget: int) -> int:
-        """Bytes of the longest prefix of whole words that has at most ``budget`` tokens."""
-        if not text:
-            return 0
-        chunks, counts = self.chunk_counts(text)
-        sums = list(itertools.accumulate(counts))
-        whole = sum(1 for s in sums if s <= budget)
-        return len("".join(chunks[:whole]).encode("utf-8", "surrogatepass"))
+        return total(self.changes(text))
 
     def prefixes(self, text: str | None) -> list[int]:
-        """Token counts of every prefix of the text's bytes, the empty one included.
+        """Token counts of every prefix of the text's bytes, the empty one included."""
+        return [0, *np.cumsum(np.frombuffer(self.changes(text), np.int8), dtype=np.int64).tolist()]
 
-        A prefix may end where the pattern splits it differently than the whole
-        text: inside white space before a word, and inside a contraction.
-        """
-        out = [0]
-        before, base = "", 0
-        for part, special in self._segments(text or ""):
-            if special:
-                # Until it is complete, the special string is text like what stands before it.
-                out += [n for i in range(1, len(part)) for n in [base + self.count(before + part[:i])]]
-                before, base = "", out[len(out) - len(part)] + 1
-                out.append(base)
-                continue
-            before, base = part, out[-1]
-            words = self.find(part)
-            i = 0
-            while i < len(words):
-                start = out[-1]
-                if not words[i].isspace():
-                    self._word(words[i], start, out)
-                    i += 1
-                    continue
-                run = [w for w in itertools.takewhile(str.isspace, words[i:])]
-                i += len(run)
-                out += [start + n for n in self.word_prefixes("".join(run).encode())[1:]]
-                if i < len(words):  # before another word the run is split
-                    self._word(words[i], start + sum(self.word_prefixes(w.encode())[-1] for w in run), out)
-                    i += 1
-        return out
-
-    def _word(self, word: str, base: int, out: list[int]) -> None:
-        counts = [base + n for n in self.word_prefixes(word.encode("utf-8", "surrogatepass"))[1:]]
-        if word in LONG_CONTRACTIONS:
-            counts[1] = base + 2
-        out += counts
+
+def _steps(counts: list[int]) -> bytes:
+    """Differences of the counts as signed bytes."""
+    made = list(map(operator.sub, counts[1:], counts))
+    if made and not -128 <= min(made) <= max(made) <= 127:
+        raise ValueError("a byte changes the count by too much")
+    return bytes([x & 255 for x in made])
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -228,27 +228,43 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
+def total(changes: bytes) -> int:
+    """Tokens of the whole text."""
+    return int(np.frombuffer(changes, np.int8).sum(dtype=np.int64))
+
+
+def fitting_bytes(changes: bytes, body: bytes, budget: int) -> int:
+    """Bytes of the longest prefix of whole characters that has at most ``budget`` tokens."""
+    counts = np.concatenate([[0], np.cumsum(np.frombuffer(changes, np.int8), dtype=np.int64)])
+    ends = np.ones(len(counts), bool)  # where no character is cut
+    ends[:-1] = np.frombuffer(body, np.uint8) & 0xC0 != 0x80
+    return int(np.nonzero((counts <= budget) & ends)[0][-1])
+
+
 def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
-    """Bytes, tokens and the limit's verdict for every whole text.
+    """Bytes, tokens, the limit's verdict and the counts of all prefixes for every whole text.
 
-    ``fit_bytes`` is where a cut at a word's end keeps the text within the limit.
+    ``prefix_changes`` has a signed byte for each byte of the text: what it adds to the
+    tokens.  ``fit_bytes`` is the longest cut at a character's end within the limit.
     """
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(vocabulary)
         for batch in batches:
-            bytes_, tokens, fitting = [], [], []
-            for body in batch.column("_body").to_pylist():
-                size = len(body.encode("utf-8", "surrogatepass"))
-                n = counts.count(body)
-                bytes_.append(size)
+            bytes_, tokens, fitting, made = [], [], [], []
+            for text_ in batch.column("_body").to_pylist():
+                body = text_.encode("utf-8", "surrogatepass")
+                changes = counts.changes(text_)
+                n = total(changes)
+                bytes_.append(len(body))
                 tokens.append(n)
-                fitting.append(size if n <= limit else counts.fitting_bytes(body, limit))
+                fitting.append(len(body) if n <= limit else fitting_bytes(changes, body, limit))
+                made.append(changes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_key"), pa.array(bytes_, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fitting, pa.int64())],
-                names=["_key", "n_bytes", "n_tokens", "over_limit", "fit_bytes"],
+                [batch.column("_key"), pa.array(bytes_, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fitting, pa.int64()), pa.array(made, pa.binary())],
+                names=["_key", "n_bytes", "n_tokens", "over_limit", "fit_bytes", "prefix_changes"],
             )
 
     kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_key {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long").withColumnRenamed("_key", key)
+    return rows.mapInArrow(run, f"_key {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long, prefix_changes binary").withColumnRenamed("_key", key)
