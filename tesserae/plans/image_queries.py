@@ -237,7 +237,7 @@ def _(spark, sf):
 @register("sepal")
 def _(spark, sf):
     points = views.spots(spark, sf)
-    return sepal.sepal(points, views.counts(spark, sf), max_neighs=4, n_iter=2000).select("lib", "gene", *_r("score"))
+    return sepal.sepal(points, views.counts(spark, sf), max_neighs=4).select("lib", "gene", *_r("score"))
 
 
 @register("container_shape", PX + " SELECT 'image' AS image_id, layer, max(y) + 1 AS height, max(x) + 1 AS width, 1::BIGINT AS depth, count(DISTINCT c) AS channels FROM (SELECT 'image' AS layer, * FROM pixels UNION ALL SELECT 'gray', y, x, 0, 0.0 FROM pixels WHERE c = 0) GROUP BY layer")

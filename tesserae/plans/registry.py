@@ -127,6 +127,8 @@ def _(spark, sf):
 
 
 PERMS, SEED = 20, 3
+#: Permutations of the queries that have no SQL.
+ALL_PERMS = 1000
 
 
 @register(
@@ -225,7 +227,7 @@ for _mode in ("moran", "geary"):
 @register("spatial_autocorr_permuted")
 def _(spark, sf):
     points, edges = spot_graph(spark, sf)
-    out = autocorr.spatial_autocorr(edges, points, views.counts(spark, sf), n_perms=PERMS, seed=SEED)
+    out = autocorr.spatial_autocorr(edges, points, views.counts(spark, sf), n_perms=ALL_PERMS, seed=SEED)
     return out.select("gene", *map(_r, ("stat", "pval_norm", "pval_sim", "pval_z_sim", "var_sim")))
 
 
@@ -281,7 +283,7 @@ def _(spark, sf):
 
 @register("ripley_simulated")
 def _(spark, sf):
-    return patterns.ripley(views.cloud(spark, sf), "L", n_sims=5, n_points=100, n_steps=10, max_dist=60.0)
+    return patterns.ripley(views.cloud(spark, sf), "L")
 
 
 @register(
@@ -355,7 +357,7 @@ def _(spark, sf):
 @register("ligrec_fdr")
 def _(spark, sf):
     pairs = ligrec.prepare_interactions(spark, _GENES)
-    out = ligrec.ligrec(views.counts(spark, sf), views.spots(spark, sf).select("id", "cl"), pairs, n_perms=PERMS, seed=SEED, method="fdr_bh", axis="interactions")
+    out = ligrec.ligrec(views.counts(spark, sf), views.spots(spark, sf).select("id", "cl"), pairs, n_perms=ALL_PERMS, seed=SEED, method="fdr_bh", axis="interactions")
     return ligrec.significant(out, means_range=(0.0, 100.0)).select("source", "target", "cluster_1", "cluster_2", _r("mean"), _r("pvalue"), _r("pvalue_adj"), _r("log2_mean"))
 
 
