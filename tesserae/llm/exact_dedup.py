@@ -1,11 +1,15 @@
 """Exact deduplication by sorting content.
 
-Splitters sampled by Spark's range partitioning deal the normalised texts out by
-byte order, each partition is sorted externally, and neighbours are compared in
-full.  Before the texts travel, the copies in one Arrow batch are combined into one
-row (text, largest or smallest id, count), so a group with a third of all rows is
-sent once per batch.  Group members learn their group's keeper over the 32-byte
-digest of their text; no list of members is ever built.
+Splitters sampled by Spark's range partitioning deal the normalised texts out, each
+partition is sorted externally, and neighbours are compared in full.  The order is by the
+first ``HEAD_CHARS`` characters, then by a hash that divides the many texts with one
+beginning (and keeps the splitters that reach the driver short), then by the whole text.
+
+Before the texts travel, the copies in one Arrow batch are combined into one row: text,
+ids, best id and count, under a tag.  So a group with a third of all rows is sent once per
+batch.  The sorted runs give each tag its group's keeper and size, and the tag, which is
+unique, brings them back to the ids; no key is ever hot and no list of a group's members
+is built.
 
 Defined results: a null text counts as the empty text; a null id never stays while
 another one is there; rows that repeat an id with the same text are one document in
@@ -21,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.session import materialise
+
 #: Characters of a text that take part in its splitters.
 HEAD_CHARS = 32
 
@@ -37,31 +43,29 @@ def _combine_batches(keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             if not batch.num_rows:
                 continue
             rows = pa.table({"body": pc.cast(batch.column("body"), pa.large_string()), "id": batch.column("id"), "one": pa.array([1] * batch.num_rows, pa.int64())})
-            made = rows.group_by("body").aggregate([("id", keep), ("one", "sum")])
-            out = pa.table({"body": pc.cast(made["body"], pa.string()), "best": made[f"id_{keep}"], "n": made["one_sum"]})
+            made = rows.group_by("body").aggregate([("id", keep), ("one", "sum"), ("id", "list")])
+            out = pa.table({"body": pc.cast(made["body"], pa.string()), "ids": made["id_list"], "best": made[f"id_{keep}"], "n": made["one_sum"]})
             yield from out.combine_chunks().to_batches()
 
     return run
 
 
-def content_groups(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """``body``, ``keep_id``, ``group_size``: a row for each different text, in byte order.
+def combine_copies(rows: DataFrame, keep: str) -> DataFrame:
+    """``tag``, ``body``, ``ids``, ``best`` and ``n`` for the different texts of each Arrow batch, as a written table."""
+    partial = rows.select("body", "id").mapInArrow(_combine_batches(keep), "body string, ids array<long>, best long, n long")
+    return materialise(partial.withColumn("tag", F.monotonically_increasing_id()), "copies")
+
 
-    ``docs`` has columns ``id`` (long) and ``body`` (string without nulls).
-    """
-    partial = docs.select("body", "id").mapInArrow(_combine_batches(keep), "body string, best long, n long")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Splitters are sampled on the driver, so they are short: the first characters, then a
-    # hash that divides texts with one beginning.
-    keyed = partial.withColumns({"head": F.left("body", F.lit(HEAD_CHARS)), "h": F.xxhash64("body")})
+def sorted_groups(copies: DataFrame, keep: str = "max") -> DataFrame:
+    """``tag``, ``keep_id``, ``group_size`` and ``digest`` of every row of ``copies``, from its sorted runs."""
+    parts = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = copies.select("tag", "body", "best", "n", F.left("body", F.lit(HEAD_CHARS)).alias("head"), F.xxhash64("body").alias("h"))
     runs = keyed.repartitionByRange(parts, "head", "h")
     best = F.max if keep == "max" else F.min
     # The range partitioning serves this window without another exchange: its sort puts equal
     # texts side by side, and it compares each row's whole text with its neighbour's.
     equal = Window.partitionBy("head", "h", "body")
-    first = F.row_number().over(equal.orderBy("best"))
-    found = runs.select("body", best("best").over(equal).alias("keep_id"), F.sum("n").over(equal).alias("group_size"), first.alias("r"))
-    return found.where("r = 1").drop("r")
+    return runs.select("tag", best("best").over(equal).alias("keep_id"), F.sum("n").over(equal).alias("group_size"), F.sha2("body", 256).alias("digest"))
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", normalise: str = "none", keep: str = "max") -> DataFrame:
@@ -69,10 +73,9 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", norma
     if keep not in ("max", "min"):
         raise ValueError("keep must be max or min")
     body = NORMALISERS[normalise](F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(key).cast("long").alias("id"), body.alias("body"))
-    groups = content_groups(rows, keep).select(F.sha2("body", 256).alias("digest"), "keep_id", "group_size")
-    members = rows.select("id", F.sha2("body", 256).alias("digest"))
-    return members.join(groups, "digest").select(
+    copies = combine_copies(docs.select(F.col(key).cast("long").alias("id"), body.alias("body")), keep)
+    judged = copies.select("tag", "ids").join(sorted_groups(copies, keep), "tag")
+    return judged.select(F.explode("ids").alias("id"), "keep_id", "group_size", "digest").select(
         F.col("id").alias(key),
         "keep_id",
         "group_size",

@@ -6,6 +6,9 @@ it is rejected when the runner-up comes too close.  Texts are compressed whole,
 blocks, so that a long text keeps being compared with the dictionaries rather than
 with its own beginning.
 
+A dictionary is made of whole excerpts, in order of their texts' hashes, as long as they
+fit into ``DICTIONARY_BYTES``; scripts of more bytes a character get fewer excerpts.
+
 Defined results: a null text or one without a letter is ``und`` with score 0 and is
 rejected; null labels are not learned from; with no labelled row every text is
 ``und``; ties go to the first language in order; repeated rows are judged alike; an
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 #: A model is fitted on so many different texts of each language at most, one excerpt of each.
 SAMPLE_TEXTS = 400
 EXCERPT_CHARS = 600
-DICTIONARY_BYTES = 128 << 10
+DICTIONARY_BYTES = 256 << 10
 MAX_LANGUAGES = 200
+#: Excerpts are chosen among so many parts of the labelled texts first, so that no task ranks a whole language.
+PARTS = 64
 LEVEL = 6
 BLOCK_BYTES = 16 << 10
 #: Rejected when the second-best size is not larger than the best by this share.
@@ -42,8 +47,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, by
     most ``SAMPLE_TEXTS * EXCERPT_CHARS`` characters a language.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("body"))
-    ranked = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", F.xxhash64("body").alias("h")).distinct().withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= SAMPLE_TEXTS)
+    if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    hashes = rows.select("lang", F.xxhash64("body").alias("h")).distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h")) <= SAMPLE_TEXTS
+    chosen = hashes.withColumn("in", first("lang", "part")).where("in").withColumn("in", first("lang")).where("in")
     start = F.pmod(F.col("h"), F.greatest(F.char_length("body") - EXCERPT_CHARS, F.lit(0)) + 1).cast("int") + 1
     found = (
         rows.withColumn("h", F.xxhash64("body"))
@@ -51,12 +59,21 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, by
         .select("lang", "h", F.lower(F.substr("body", start, F.lit(EXCERPT_CHARS))).alias("part"))
         .dropDuplicates(["lang", "h"])
     )
-    model: dict[str, list[tuple[int, str]]] = {}
+    excerpts: dict[str, list[tuple[int, str]]] = {}
     for row in found.collect():
-        model.setdefault(row["lang"], []).append((row["h"], row["part"]))
-    if len(model) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return {name: "\n".join(part for _, part in sorted(parts)).encode()[:DICTIONARY_BYTES] for name, parts in sorted(model.items())}
+        excerpts.setdefault(row["lang"], []).append((row["h"], row["part"]))
+    return {name: dictionary([part for _, part in sorted(parts)]) for name, parts in sorted(excerpts.items())}
+
+
+def dictionary(parts: list[str]) -> bytes:
+    """Whole excerpts, one line each, as long as they fit."""
+    out = bytearray()
+    for part in parts:
+        line = part.encode("utf-8", "surrogatepass")
+        if len(out) + len(line) >= DICTIONARY_BYTES:
+            break
+        out += line + b"\n"
+    return bytes(out)
 
 
 class Classifier:
@@ -84,15 +101,18 @@ class Classifier:
         return self.names[best], score, margin, margin < min_margin
 
 
-def classify(docs: DataFrame, model: dict[str, bytes], text: str = "text", keep: dict[str, Column] | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
+def classify(docs: DataFrame, model: dict[str, bytes], text: str = "text", keep: dict[str, Column] | None = None, min_margin: float = MIN_MARGIN, body: str | None = None) -> DataFrame:
     """``lang_pred``, ``score``, ``margin`` and ``rejected`` beside the columns in ``keep``.
 
-    The dictionaries travel as one broadcast variable of bounded size.
+    ``body`` names the kept column that is the text, if it is kept, so that it travels once.
+    Kept columns must not have the names of the new ones.  The dictionaries travel as one
+    broadcast variable of bounded size.
     """
     kept = keep or {}
-    # A text that is kept anyway travels once.
-    extra = [] if text in kept else [F.col(text).alias("_body")]
-    body = text if text in kept else "_body"
+    if clash := {"lang_pred", "score", "margin", "rejected"} & set(kept):
+        raise ValueError(f"kept columns named like new ones: {sorted(clash)}")
+    extra = [] if body else [F.col(text).alias("_body")]
+    body = body or "_body"
     rows = docs.select(*[c.alias(n) for n, c in kept.items()], *extra)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     count = len(kept)

@@ -14,18 +14,39 @@ FROM d JOIN g ON d.body = g.body
 """
 
 
+def _op3(shards: int = 8, buckets: int = 1024) -> str:
+    number = lambda text: f"('0x' || substr(md5({text}), 1, 13))::BIGINT"
+    key = "coalesce(doc_id::VARCHAR, '')"
+    costs = ", ".join(f"-ln(({number(f"concat('0:{i}:', {key})")}::DOUBLE + 0.5) / {1 << 52}.0)" for i in range(shards + 1))
+    half = lambda x: f"CASE WHEN {x} & 1 = 1 THEN xor({x} >> 1, 3988292384) ELSE {x} >> 1 END"
+    steps = "x"
+    for _ in range(8):
+        steps = f"list_transform({steps}, lambda v: {half('v')})" if steps != "x" else f"list_transform(range(256), lambda v: {half('v')})"
+    digits = "hex(encode(coalesce(text, '')))"
+    byte = lambda at: f"(strpos('0123456789ABCDEF', substr(h, {at}, 1)) - 1)"
+    return f"""
+WITH x AS MATERIALIZED (SELECT {steps} AS rule),
+t AS MATERIALIZED (SELECT text, list_transform(range(1, len(h) // 2 + 1), lambda i: {byte("2 * i - 1")} * 16 + {byte("2 * i")}) AS bytes FROM (SELECT DISTINCT text, {digits} AS h FROM documents WHERE text <> '')),
+s AS (SELECT text, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, rule[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS crc FROM t, x),
+d AS (SELECT doc_id, (strlen(coalesce(d.text, '')) + 1)::BIGINT AS size, coalesce(crc, 0) AS text_crc32, [{costs}] AS costs FROM documents d LEFT JOIN s ON d.text = s.text),
+p AS (SELECT doc_id, size, text_crc32, list_position(costs[1:{shards}], list_min(costs[1:{shards}])) - 1 AS shard, list_position(costs, list_min(costs)) - 1 AS grown_shard,
+ {number(f"concat('slot:', {key}, ':', size, ':', text_crc32)")} % {buckets} AS bucket FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, (row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown_shard::INT AS grown_shard FROM p
+"""
+
+
 def _op8() -> str:
     space = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
     gone = lambda x, chars: f"length(translate({x}, {chars}, ''))"
     n = lambda x, chars: f"(length({x}) - {gone(x, chars)})"
-    boiler = " OR ".join(f"contains(lower(trim(x)), {_Q(p)})" for p in quality.BOILERPLATE)
-    words = f"({n('x', _Q(' '))} + 1)"
+    boiler = " OR ".join(f"contains(lower(x), {_Q(p)})" for p in quality.BOILERPLATE)
+    words = f"len(regexp_extract_all(x, {_Q(quality.WORD)}))"
     bars = n("x", _Q("|»›•→>"))
-    single = f"rtrim(translate(lower(trim(x)), {_Q('.:>»|')}, '')) IN ({', '.join(map(_Q, quality.NAVIGATION))})"
+    single = f"regexp_matches(lower(x), {_Q(quality.NAVIGATION_LINE)})"
     noisy = f"{n('x', _Q(quality.SYMBOLS))} * 100 > {words} * {quality.SYMBOL_WORD_PERCENT}"
     endless = f"({words} >= {quality.LONG_LINE_WORDS} AND {n('x', _Q(quality.CLOSING))} = 0)"
     menu = f"({bars} * 100 > {words} * {quality.SEPARATOR_PERCENT} AND {bars} >= 2)"
-    passes = f"(translate(x, {space}, '') = '' OR NOT ((({boiler}) AND {words} <= 60) OR {menu} OR {single} OR ({words} >= 10 AND {noisy}) OR {endless}))"
+    passes = f"(translate(x, {space}, '') = '' OR NOT ((({boiler}) AND {words} <= {quality.BOILERPLATE_WORDS}) OR {menu} OR {single} OR ({words} >= 10 AND {noisy}) OR {endless}))"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 w AS (SELECT doc_id, body, list_filter(string_split(translate(body, {space}, '      '), ' '), lambda x: x <> '') AS words, string_split(body, chr(10)) AS lines FROM d),
@@ -69,26 +90,34 @@ def _op4() -> str:
     rules = sorted(URL_RULES, key=lambda r: -len(r.name))
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     case = lambda pick: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{pick(r)}'" for r in rules) + " END"
-    deep = "SELECT *, array_to_string(steps[1:depth], '/') AS node, CASE WHEN depth > 0 THEN array_to_string(steps[1:depth - 1], '/') END AS parent FROM (SELECT *, unnest(range(0, len(steps) + 1)) AS depth FROM {})"
-    prior = u.PRIOR_LABELS
+    z, prior = float(u.MERGE_Z * u.MERGE_Z), float(u.PRIOR_LABELS)
+    levels, walk = "", ""
+    for d in range(1, u.MAX_DEPTH + 1):
+        gap, spread = "(x.b * (y.n - x.n) - (y.b - x.b) * x.n)", "(y.b * (y.n - y.b) * x.n * (y.n - x.n))"
+        levels += f"""
+k{d} AS MATERIALIZED (SELECT host, node, steps[{d}] AS seg, sum(n)::DOUBLE AS n, sum(b)::DOUBLE AS b FROM r{d - 1} WHERE len(steps) >= {d} GROUP BY ALL),
+m{d} AS MATERIALIZED (SELECT x.*, x.seg <> '{u.WILDCARD}' AND x.n >= {u.MIN_LABELS} AND y.n > x.n AND {gap} * {gap} * y.n > {spread} * {z} AS apart
+ FROM k{d} x JOIN (SELECT host, node, sum(n) AS n, sum(b) AS b FROM k{d} GROUP BY ALL) y ON x.host = y.host AND x.node = y.node),
+r{d} AS MATERIALIZED (SELECT r.host, r.steps, r.n, r.b, concat(r.node, '/', coalesce(o.seg, '{u.WILDCARD}')) AS node
+ FROM r{d - 1} r LEFT JOIN m{d} o ON o.apart AND o.host = r.host AND o.node = r.node AND o.seg = r.steps[{d}] WHERE len(r.steps) >= {d}),
+n{d} AS MATERIALIZED (SELECT host, concat(node, '/', CASE WHEN apart THEN seg ELSE '{u.WILDCARD}' END) AS node, sum(n) AS n, sum(b) AS b FROM m{d} GROUP BY ALL HAVING sum(n) >= {u.MIN_LABELS}),"""
+        walk += f"""
+v{d} AS MATERIALIZED (SELECT q.host, q.steps, q.node, CASE WHEN e.n IS NOT NULL THEN q.node ELSE q.branch END AS branch, coalesce((e.b + q.share * {prior}) / (e.n + {prior}), q.share) AS share
+ FROM (SELECT w.host, w.steps, w.branch, w.share, CASE WHEN len(w.steps) >= {d} THEN concat(w.node, '/', coalesce(o.seg, '{u.WILDCARD}')) END AS node
+  FROM v{d - 1} w LEFT JOIN m{d} o ON o.apart AND o.host = w.host AND o.node = w.node AND o.seg = w.steps[{d}]) q LEFT JOIN n{d} e ON e.host = q.host AND e.node = q.node),"""
+    base = "coalesce((SELECT sum(b)::DOUBLE / sum(n) FROM c), 0.0)"
     return f"""
-WITH p AS MATERIALIZED (SELECT page_id, url, {host} AS host, {path} AS path FROM pages), t AS MATERIALIZED (SELECT *, {template} AS steps FROM p),
+WITH p AS MATERIALIZED (SELECT page_id, url, {host} AS host, {path} AS path FROM pages), t0 AS MATERIALIZED (SELECT *, {template} AS s FROM p),
+t AS MATERIALIZED (SELECT * EXCLUDE (s), CASE WHEN len(s) > {u.MAX_DEPTH} THEN list_append(s[1:{u.MAX_DEPTH - 1}], '{u.DEEPER}') ELSE s END AS steps FROM t0),
 l AS (SELECT host, steps, bad::BIGINT AS bad FROM (SELECT host, steps, regexp_extract(path, '/([0-9]{{1,18}})(\\.[a-z]+)?/?$', 1) AS n FROM t WHERE url IS NOT NULL)
  JOIN (SELECT doc_id::VARCHAR AS n, (toxic = 1 OR quality = 0) AS bad FROM labels) USING (n) WHERE bad IS NOT NULL),
-c AS (SELECT host, steps, count(*)::BIGINT AS n, sum(bad)::BIGINT AS b FROM l GROUP BY ALL),
-nodes AS MATERIALIZED (SELECT host, node, parent, depth, sum(n)::BIGINT AS n, sum(b)::BIGINT AS b FROM ({deep.format('c')}) GROUP BY ALL),
-br AS MATERIALIZED (SELECT x.*, x.n >= {u.MIN_LABELS} AND y.n - x.n > 0 AND
- ((x.b * (y.n - x.n) - (y.b - x.b) * x.n) * (x.b * (y.n - x.n) - (y.b - x.b) * x.n))::DOUBLE * y.n > (y.b * (y.n - y.b) * x.n * (y.n - x.n))::DOUBLE * {u.MERGE_Z * u.MERGE_Z} AS apart
- FROM nodes x JOIN nodes y ON y.host = x.host AND y.node = x.parent AND y.depth = x.depth - 1 WHERE x.depth > 0),
-pooled AS (SELECT host, parent, depth, sum(n)::BIGINT AS mn, sum(b)::BIGINT AS mb FROM br WHERE NOT apart GROUP BY ALL),
-a AS (SELECT count(*) AS an, coalesce(sum(bad), 0)::DOUBLE AS ab FROM l),
-w AS (SELECT d.host, d.steps, d.depth, coalesce(o.n, q.mn) AS n, coalesce(o.b, q.mb) AS b FROM ({deep.format('(SELECT DISTINCT host, steps FROM t)')}) d
- LEFT JOIN br o ON o.apart AND o.host = d.host AND o.node = d.node AND o.depth = d.depth LEFT JOIN pooled q ON q.host = d.host AND q.parent = d.parent AND q.depth = d.depth),
-dp AS (SELECT host, steps, arg_max(n, depth) FILTER (n >= {u.MIN_LABELS}) AS n, arg_max(b, depth) FILTER (n >= {u.MIN_LABELS}) AS b FROM w GROUP BY ALL),
-h AS (SELECT dp.*, coalesce((r.b + CASE WHEN an > 0 THEN ab / an ELSE 0.0 END * {prior}) / (r.n + {prior}), CASE WHEN an > 0 THEN ab / an ELSE 0.0 END) AS hs FROM dp CROSS JOIN a LEFT JOIN nodes r ON r.depth = 0 AND r.host = dp.host),
-v AS (SELECT host, steps, coalesce((b + hs * {prior}) / (n + {prior}), hs) AS share FROM h)
+c AS MATERIALIZED (SELECT host, steps, count(*)::BIGINT AS n, sum(bad)::BIGINT AS b FROM l GROUP BY ALL),
+r0 AS MATERIALIZED (SELECT *, '' AS node FROM c),{levels}
+h AS MATERIALIZED (SELECT host, sum(n)::DOUBLE AS n, sum(b)::DOUBLE AS b FROM c GROUP BY host),
+v0 AS MATERIALIZED (SELECT d.host, d.steps, '' AS node, '' AS branch, coalesce((h.b + {base} * {prior}) / (h.n + {prior}), {base}) AS share FROM (SELECT DISTINCT host, steps FROM t) d LEFT JOIN h ON h.host = d.host),{walk}
+z AS (SELECT * FROM v{u.MAX_DEPTH})
 SELECT page_id, t.host, path, {case(lambda r: r.name)} AS rule, coalesce({case(lambda r: r.verdict)}, CASE WHEN share >= {u.MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict,
- concat('/', array_to_string(t.steps, '/')) AS template, round(share, 6) AS bad_share FROM t JOIN v ON v.host = t.host AND v.steps = t.steps
+ concat('/', array_to_string(t.steps, '/')) AS template, branch, round(share, 6) AS bad_share FROM t JOIN z ON z.host = t.host AND z.steps = t.steps
 """.replace("(host = ", "(t.host = ").replace("ends_with(host", "ends_with(t.host")
 
 
@@ -114,4 +143,4 @@ SELECT jd.id AS doc_id, coalesce(jn.n, 0)::BIGINT AS n_shingles, comp.component
 FROM jd LEFT JOIN jn ON jn.id = jd.id JOIN comp ON comp.id = jd.id
 """
 
-ORACLES: dict[str, str] = {"op4_url_templates": _op4(), "op7_content_sort": OP7, "op8_line_rules": _op8(), "op10_ngram_jaccard": OP10}
+ORACLES: dict[str, str] = {"op3_rendezvous_shards": _op3(), "op4_url_templates": _op4(), "op7_content_sort": OP7, "op8_line_rules": _op8(), "op10_ngram_jaccard": OP10}

@@ -20,6 +20,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,22 @@ CACHE_WORDS = 300_000
 SLICE = 500
 #: Bins filled less than this after the first round are packed again together.
 REPACK_BELOW = 0.98
-#: Passes of local search over the bins of a group without a bin emptied, after which it ends.
-IDLE_PASSES = 2
+
+@dataclass(frozen=True)
+class Effort:
+    """How far the local search goes; it is a heuristic, and these decide where it gives up.
+
+    ``share`` of the open bins, the emptiest first (``least`` of them at least), are worked
+    on in each pass; ``pair_items`` of a bin's largest pieces make pairs for two-for-one
+    exchanges; a partner that would keep more than ``rest`` tokens free is not taken; the
+    search ends after ``idle`` passes that emptied no bin.
+    """
+
+    share: float = 0.25
+    least: int = 16
+    pair_items: int = 12
+    rest: int = 64
+    idle: int = 2
 
 
 #: Fixed value: the pattern that splits lower-case text before the merges.
@@ -192,8 +207,8 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 class _Search:
     """Bins that are not full, found by what is left and by item size plus what is left."""
 
-    def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int):
-        self.sizes, self.bins, self.capacity = sizes, bins, capacity
+    def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int, effort: Effort):
+        self.sizes, self.bins, self.capacity, self.effort = sizes, bins, capacity, effort
         self.left = [capacity - sum(sizes[i] for i in b) for b in bins]
         self.room: list[set[int]] = [set() for _ in range(capacity + 1)]
         self.swaps: list[set[tuple[int, int]]] = [set() for _ in range(capacity + 1)]
@@ -249,7 +264,7 @@ class _Search:
                 if b != a and gain > 0 and self.capacity - self.left[b] + gain > fill:
                     return b, i
             at += 1
-            if at - size > 64:  # what is left over would outweigh the gain
+            if at - size > self.effort.rest:  # what is left over would outweigh the gain
                 return None
         return None
 
@@ -273,7 +288,7 @@ class _Search:
             if found := self._partner(a, self.sizes[i]):
                 self._change(a, (i,), found[0], (found[1],))
                 return True
-        short = own[:12]  # two for one: both stand in one bin, so pairs are few
+        short = own[: self.effort.pair_items]  # two for one
         for x in range(len(short)):
             for y in range(x + 1, len(short)):
                 pair = self.sizes[short[x]] + self.sizes[short[y]]
@@ -283,18 +298,18 @@ class _Search:
         return False
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, idle_passes: int = IDLE_PASSES) -> list[list[int]]:
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int, effort: Effort = Effort()) -> list[list[int]]:
     """Empties the worst bins by exchanges that each raise the sum of squared fills."""
     need = -(-sum(sizes) // capacity)
     if len(bins) <= need:
         return bins
-    state = _Search(sizes, bins, capacity)
+    state = _Search(sizes, bins, capacity, effort)
     alive = sum(1 for b in state.bins if b)
     idle = 0
-    while alive > need and idle < idle_passes:
+    while alive > need and idle < effort.idle:
         before = alive
         worst = sorted((b for b in range(len(state.bins)) if state.bins[b] and state.left[b]), key=lambda b: -state.left[b])
-        for b in worst[: max(16, len(worst) // 4)]:
+        for b in worst[: max(effort.least, int(len(worst) * effort.share))]:
             steps = 0
             while state.bins[b] and steps < 4 * capacity and state.improve(b):
                 steps += 1
@@ -306,15 +321,15 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int, idle_pa
     return [b for b in state.bins if b]
 
 
-def pack_sizes(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    return local_search(sizes, best_fit(sizes, capacity), capacity)
+def pack_sizes(sizes: list[int], capacity: int = CAPACITY, effort: Effort = Effort()) -> list[list[int]]:
+    return local_search(sizes, best_fit(sizes, capacity), capacity, effort)
 
 
-def _pack_group(capacity: int):
+def _pack_group(capacity: int, effort: Effort):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_h", "_key", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
         sizes = rows["length"].tolist()
-        bins = pack_sizes(sizes, capacity)
+        bins = pack_sizes(sizes, capacity, effort)
         sequence, offset, fill = [0] * len(sizes), [0] * len(sizes), [0] * len(sizes)
         for number, items in enumerate(bins):
             at = 0
@@ -328,7 +343,7 @@ def _pack_group(capacity: int):
     return run
 
 
-def pack(made: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(made: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, effort: Effort = Effort()) -> DataFrame:
     """``sequence_id`` and ``offset`` for the pieces in ``made``, which should be a written table."""
     short = made.where(F.col("length") < capacity)
     n = short.count()
@@ -347,7 +362,7 @@ def pack(made: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group_p
     # Rows that repeat one another in full are spread by their order, or a group could be unbounded.
     first = keyed.withColumn("_group", F.pmod(F.xxhash64("_h", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     packed = materialise(
-        first.groupBy("_group").applyInPandas(_pack_group(capacity), f"{columns}, _bin long, offset long, _fill long"),
+        first.groupBy("_group").applyInPandas(_pack_group(capacity, effort), f"{columns}, _bin long, offset long, _fill long"),
         "packed",
     )
     loose = F.col("_fill") < capacity * REPACK_BELOW
@@ -355,7 +370,7 @@ def pack(made: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group_p
     m = again.count()
     bins_again = max(1, math.ceil(m / group_pieces))
     second = again.drop("_bin", "offset", "_fill").withColumn("_group", F.pmod(F.xxhash64("_h", "_group", F.lit(1)), F.lit(bins_again)).cast("int"))
-    repacked = second.groupBy("_group").applyInPandas(_pack_group(capacity), f"{columns}, _bin long, offset long, _fill long")
+    repacked = second.groupBy("_group").applyInPandas(_pack_group(capacity, effort), f"{columns}, _bin long, offset long, _fill long")
     # Numbers: two of every four belong to the rounds, one to full pieces.
     number = lambda base, group, b: (F.shiftleft(group.cast("long"), 34) + b) * 4 + base
     out = ["_key", "piece", "start", "length", "ids_crc32"]
@@ -373,6 +388,6 @@ def pack(made: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group_p
     return kept.unionByName(moved).unionByName(full).withColumnRenamed("_key", key)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, effort: Effort = Effort()) -> DataFrame:
     made = materialise(pieces(docs, vocabulary, key, text, capacity), "pieces")
-    return pack(made, key, capacity, group_pieces)
+    return pack(made, key, capacity, group_pieces, effort)

@@ -48,6 +48,8 @@ NAVIGATION = ("home", "about", "contact", "login", "log in", "sign in", "registe
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: A line of boilerplate has this many words at most; a longer one that mentions a phrase is prose.
+BOILERPLATE_WORDS = 60
 #: A line with this many words or more should end a sentence somewhere.
 LONG_LINE_WORDS = 25
 #: Separators (bars, arrows, bullets) per 100 words from which a line is navigation.
@@ -94,19 +96,24 @@ def _covered(starts: Column) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, b: a + b.cast("long"))
 
 
+#: One navigation phrase, with nothing but marks and white space around it; for lower-case lines.
+NAVIGATION_LINE = f"^[ \\t\\x0b\\f\\r.:>»|]*(?:{'|'.join(NAVIGATION)})[ \\t\\x0b\\f\\r.:>»|]*\\z"
+WORD = "[^ \\t\\n\\x0b\\f\\r]+"
+
+
 def line_passes(line: Column) -> Column:
     """Whether one line survives: punctuation, navigation and boilerplate rules."""
-    body = F.lower(F.trim(line))
-    words = _count(line, " ") + 1  # close enough for a share, and it splits nothing
+    low = F.lower(line)
+    words = F.regexp_count(line, F.lit(WORD))
     boiler = F.lit(False)
     for phrase in BOILERPLATE:
-        boiler = boiler | F.contains(body, F.lit(phrase))
+        boiler = boiler | F.contains(low, F.lit(phrase))
     bars = _count(line, "|»›•→>")
     menu = (bars >= 2) & (bars * 100 > words * SEPARATOR_PERCENT)
-    single = (F.octet_length(line) < 200) & F.rtrim(F.translate(body, ".:>»|", "")).isin(*NAVIGATION)
+    single = low.rlike(NAVIGATION_LINE)
     noisy = (words >= 10) & (_count(line, SYMBOLS) * 100 > words * SYMBOL_WORD_PERCENT)
     endless = (words >= LONG_LINE_WORDS) & ~line.rlike("[" + "".join("\\" + c for c in CLOSING) + "]")
-    return ~_has_word(line) | ~(((words <= 60) & boiler) | menu | single | noisy | endless)
+    return ~_has_word(line) | ~((boiler & (words <= BOILERPLATE_WORDS)) | menu | single | noisy | endless)
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:

@@ -56,9 +56,10 @@ def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id have no remainder: they are not held out, and nothing is learned from them."""
     docs = table(spark, sf_dir, "documents")
-    held_out = langid.fold(F.col("doc_id")) == 2
-    model = langid.fit(docs.where(~held_out))
+    held_out = F.coalesce(langid.fold(F.col("doc_id")) == 2, F.lit(False))
+    model = langid.fit(docs.where(langid.fold(F.col("doc_id")) != 2))
     return langid.classify(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
 
 

@@ -6,6 +6,10 @@ word gives the last token, and the count, of each of its prefixes.  They are ret
 the change that every byte makes, and the total, the limit's verdict and truncation to any
 budget are read from that.
 
+Where the library's tables of letters, digits and white space differ from those of the
+pattern's engine, words come from the library's own splitter: each character outside
+ASCII is tried once in both.
+
 Words recur, so a worker keeps the changes of words that it has met; the cache is
 emptied when it reaches a limit.
 
@@ -25,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 #: Fixed value: the pattern that splits text before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -79,6 +84,21 @@ class PrefixCounter:
         self.runs = regex.compile(r"\s*\S+|\s+").findall
         self.odd_space = regex.compile(r"[ ](?=\s)|(?<=\s)[ ]|[ ]$").search
         self.blank = regex.compile(r"\s+").fullmatch
+        self.library = Tokenizer.from_file(path).pre_tokenizer
+        self.kinds = [("a", regex.compile(r"\p{L}").fullmatch), ("1", regex.compile(r"\p{N}").fullmatch), (".", regex.compile(r"[^\s\p{L}\p{N}]").fullmatch)]
+        self.agreed: set[str] = set()
+        self.odd: set[str] = set()
+
+    def _split(self, chunk: str) -> list[str]:
+        """The words of a chunk."""
+        if not chunk.isascii():
+            for c in set(chunk) - self.agreed - self.odd:
+                # A character goes on with one of its kind.
+                alike = all((len(self.library.pre_tokenize_str(one + c)) == 1) == bool(kind(c)) for one, kind in self.kinds)
+                (self.agreed if alike else self.odd).add(c)
+            if self.odd and not self.odd.isdisjoint(chunk):
+                return [chunk[a:b] for _, (a, b) in self.library.pre_tokenize_str(chunk)]
+        return self.find(chunk)
 
     def _fit(self, a: int, b: int) -> bool:
         """Whether tokens a, b stay apart when their bytes are encoded together.
@@ -141,7 +161,7 @@ class PrefixCounter:
         return self._keep(word, _steps(counts))
 
     def _chunk(self, chunk: str) -> bytes:
-        found = self.find(chunk)
+        found = self._split(chunk)
         made: list[bytes] = []
         i, shift = 0, 0
         while i < len(found):

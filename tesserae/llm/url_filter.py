@@ -2,16 +2,20 @@
 
 Per host, each url's path becomes a template: segments that vary by record
 (numbers, dates, hashes, long slugs, query-like names) turn into wildcards.  The
-templates of a host form a tree.  Labelled urls are counted at every node.  A
-branch whose share of bad labels does not differ significantly from its siblings'
-is merged with them into one wildcard branch, so its counts are pooled.  A url gets
-the verdict of the deepest branch on its path that has enough labels: its smoothed
-share of bad labels, drawn towards the parent's share, must stay below a limit.
-Hosts without labels fall back to the share over all labels.
+templates of a host form a tree, which is worked down level by level.  A branch whose
+share of bad labels does not differ significantly from its siblings', or that has too few
+labels to tell, is merged with them into one wildcard branch; what lies below merged
+branches is added up before it is looked at in turn.  So segments that vary in a host
+without telling anything become wildcards too, whatever they look like.
+
+A url gets the verdict of the deepest node on its path that has enough labels: its share
+of bad labels, drawn towards the smoothed share of the node above, must stay below a
+limit.  Hosts without labels fall back to the share over all labels.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and
 is judged by the overall share; repeated urls are judged alike; empty tables give no
-rows; without any label every url is allowed; other columns are ignored.
+rows; without any label every url is allowed; segments from the ``MAX_DEPTH``-th on are
+one segment; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +25,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.hot import join_unique
+from tesserae.session import materialise
+
 #: A branch is separate when its share differs from its siblings' by this many standard errors.
 MERGE_Z = 2.5
 #: Labels that a branch needs before it is judged by itself.
@@ -29,6 +36,10 @@ MIN_LABELS = 10
 PRIOR_LABELS = 20
 #: Templates with this smoothed share of bad labels or more are rejected.
 MAX_BAD = 0.5
+#: Levels of the tree below a host.  All segments from the last level on are one segment.
+MAX_DEPTH = 6
+#: The segment of merged branches, and the one that stands for all deeper ones.
+WILDCARD, DEEPER = "*", "**"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -83,51 +94,65 @@ def with_template(urls: DataFrame) -> DataFrame:
     """Adds ``host``, ``path`` and ``steps``: the template's segments under the host."""
     host, path = host_and_path(F.col("url"))
     out = urls.withColumns({"host": host, "path": path})
-    return out.withColumn("steps", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), segment_template))
+    out = out.withColumn("steps", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), segment_template))
+    deep = F.concat(F.slice("steps", 1, MAX_DEPTH - 1), F.array(F.lit(DEEPER)))
+    return out.withColumn("steps", F.when(F.size("steps") > MAX_DEPTH, deep).otherwise(F.col("steps")))
+
 
+def _smoothed(bad: Column, n: Column, towards: Column) -> Column:
+    return (bad + towards * F.lit(float(PRIOR_LABELS))) / (n + F.lit(float(PRIOR_LABELS)))
 
-def _prefixes(counts: DataFrame) -> DataFrame:
-    """A row for each node above and at a template: ``node`` and its ``parent``."""
-    deep = counts.select("*", F.explode(F.sequence(F.lit(0), F.size("steps"))).alias("depth"))
-    node = F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "/")
-    parent = F.when(F.col("depth") > 0, F.array_join(F.slice("steps", F.lit(1), F.col("depth") - 1), "/"))
-    return deep.select("*", node.alias("node"), parent.alias("parent"))
+
+def _branches(rows: DataFrame) -> DataFrame:
+    """Counts of the children of every node, and whether each is a branch of its own.
+
+    The two shares, of a child and of its siblings, are compared with a pooled variance,
+    squared so that no root is taken, in floating point throughout.
+    """
+    children = rows.groupBy("host", "node", "segment").agg(F.sum("n").cast("double").alias("n"), F.sum("b").cast("double").alias("b"))
+    # A node may have very many children; they are added up before they meet.
+    parents = children.groupBy("host", "node").agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"))
+    n, b, pn, pb = (F.col(c) for c in ("n", "b", "pn", "pb"))
+    gap = b * (pn - n) - (pb - b) * n
+    spread = pb * (pn - pb) * n * (pn - n)
+    apart = (F.col("segment") != WILDCARD) & (n >= MIN_LABELS) & (pn > n) & (gap * gap * pn > spread * F.lit(MERGE_Z * MERGE_Z))
+    return children.join(parents, ["host", "node"]).select("host", "node", "segment", "n", "b", apart.alias("apart"))
+
+
+def _below(node: Column, segment: Column) -> Column:
+    return F.concat(node, F.lit("/"), F.coalesce(segment, F.lit(WILDCARD)))
 
 
 def template_verdicts(templates: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``host``, ``steps``, ``bad_share`` and ``verdict`` of every template.
+    """``templates`` with ``branch``, ``bad_share`` and ``verdict``.
 
     ``templates`` has distinct (host, steps); ``labelled`` has (host, steps, bad) with
     a row for each labelled url, ``bad`` 0 or 1.  Labels are added up by template
     first, so a host with a third of all urls weighs no more than its templates.
     """
-    counts = labelled.groupBy("host", "steps").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b"))
-    nodes = _prefixes(counts).groupBy("host", "node", "parent", "depth").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    up = nodes.select(F.col("host"), F.col("node").alias("parent"), (F.col("depth") + 1).alias("depth"), F.col("n").alias("pn"), F.col("b").alias("pb"))
-    beside = nodes.where("depth > 0").join(up, ["host", "parent", "depth"])
-    # Difference of two shares with a pooled variance, squared so that no root is taken.
-    rest_n, rest_b = F.col("pn") - F.col("n"), F.col("pb") - F.col("b")
-    gap = F.col("b") * rest_n - rest_b * F.col("n")
-    spread = F.col("pb") * (F.col("pn") - F.col("pb")) * F.col("n") * rest_n
-    apart = (F.col("n") >= MIN_LABELS) & (rest_n > 0) & ((gap * gap).cast("double") * F.col("pn") > spread.cast("double") * (MERGE_Z * MERGE_Z))
-    branches = beside.withColumn("apart", apart)
-    pooled = branches.where(~F.col("apart")).groupBy("host", "parent", "depth").agg(F.sum("n").alias("mn"), F.sum("b").alias("mb"))
-    own = branches.where("apart").select("host", "node", "depth", F.col("n").alias("on"), F.col("b").alias("ob"))
-    roots = nodes.where("depth = 0").select("host", F.col("n").alias("rn"), F.col("b").alias("rb"))
-    overall = labelled.agg(F.count(F.lit(1)).alias("an"), F.coalesce(F.sum("bad"), F.lit(0)).alias("ab"))
-    walk = (
-        _prefixes(templates)
-        .join(own, ["host", "node", "depth"], "left")
-        .join(pooled, ["host", "parent", "depth"], "left")
-        .withColumn("n", F.coalesce("on", "mn"))
-        .withColumn("b", F.coalesce("ob", "mb"))
-    )
-    deepest = walk.groupBy("host", "steps").agg(F.max(F.when(F.col("n") >= MIN_LABELS, F.struct("depth", "n", "b"))).alias("at"))
-    judged = deepest.join(roots, "host", "left").crossJoin(F.broadcast(overall))  # a table of one row
-    base = F.when(F.col("an") > 0, F.col("ab").cast("double") / F.col("an")).otherwise(F.lit(0.0))
-    host_share = F.coalesce((F.col("rb") + base * PRIOR_LABELS) / (F.col("rn") + PRIOR_LABELS), base)
-    share = F.coalesce((F.col("at.b") + host_share * PRIOR_LABELS) / (F.col("at.n") + PRIOR_LABELS), host_share)
-    return judged.select("host", "steps", share.alias("bad_share"), F.when(share >= MAX_BAD, "block").otherwise("allow").alias("verdict"))
+    counts = materialise(labelled.groupBy("host", "steps").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b")), "labels")
+    overall = counts.agg((F.sum("b").cast("double") / F.sum("n")).alias("base"))  # one row
+    hosts = counts.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("b").cast("double").alias("b"))
+    base = F.coalesce("base", F.lit(0.0))
+    known = F.coalesce(_smoothed(F.col("b"), F.col("n"), base), base)
+    walk = templates.join(hosts, "host", "left").crossJoin(F.broadcast(overall))
+    walk = walk.select(*templates.columns, F.lit("").alias("node"), F.lit("").alias("branch"), known.alias("share"))
+    rows = counts.withColumn("node", F.lit(""))
+    for depth in range(1, (counts.agg(F.max(F.size("steps"))).first()[0] or 0) + 1):
+        rows = rows.where(F.size("steps") >= depth).withColumn("segment", F.get("steps", F.lit(depth - 1)))
+        branches = materialise(_branches(rows), "branches")
+        own = branches.where("apart").select("host", "node", "segment", F.col("segment").alias("own"))
+        rows = materialise(rows.join(own, ["host", "node", "segment"], "left").select("host", "steps", "n", "b", _below(F.col("node"), F.col("own")).alias("node")), "labels")
+        merged = _below(F.col("node"), F.when(F.col("apart"), F.col("segment")))
+        nodes = branches.groupBy("host", merged.alias("node")).agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("n") >= MIN_LABELS)
+        # A template that ends above this level has no segment here and keeps its share.
+        walk = walk.withColumn("segment", F.get("steps", F.lit(depth - 1))).join(own, ["host", "node", "segment"], "left")
+        walk = walk.withColumn("node", F.when(F.col("segment").isNotNull(), _below(F.col("node"), F.col("own")))).drop("own", "segment")
+        share = F.coalesce(_smoothed(F.col("b"), F.col("n"), F.col("share")), F.col("share"))
+        branch = F.when(F.col("n").isNotNull(), F.col("node")).otherwise(F.col("branch"))
+        walk = walk.join(nodes, ["host", "node"], "left").select(*templates.columns, "node", branch.alias("branch"), share.alias("share"))
+    share = F.col("share")
+    return walk.select(*templates.columns, "branch", share.alias("bad_share"), F.when(share >= MAX_BAD, "block").otherwise("allow").alias("verdict"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url") -> DataFrame:
@@ -137,14 +162,16 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], key: str = "pa
     """
     urls = with_template(pages.select(F.col(key).alias("key"), F.col(url).alias("url")))
     seen = with_template(labels.select("url", F.col("bad").cast("long").alias("bad"))).select("host", "steps", "bad")
-    verdicts = template_verdicts(urls.select("host", "steps").distinct(), seen)
+    templates = urls.groupBy("host", "steps").agg(F.count(F.lit(1)).alias("urls"))
+    verdicts = materialise(template_verdicts(templates, seen), "verdicts")
     name, ruled = matched_rule(F.col("host"), F.col("path"), rules)
-    return urls.join(verdicts, ["host", "steps"], "left").select(
+    return join_unique(urls, verdicts, ["host", "steps"], "urls", ["key", "url"]).select(
         F.col("key").alias(key),
         "host",
         "path",
         name.alias("rule"),
         F.coalesce(ruled, F.col("verdict"), F.lit("allow")).alias("verdict"),
         F.concat(F.lit("/"), F.array_join("steps", "/")).alias("template"),
+        "branch",
         F.round("bad_share", 6).alias("bad_share"),
     )
