@@ -35,11 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``; only a session without that
-    setting (a test on one machine) gets a temporary folder of its own.
+    It is read from ``spark.checkpoint.dir``.  Only a session on one machine may lack that
+    setting and gets a temporary folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -54,15 +56,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage in a form that outlives any executor.
+    This cuts the lineage in a form that outlives any executor.  The table goes when the
+    driver ends, since the plans made of it may run until then.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a written scratch table deleted when the driver ends."""
+    files, jvm_path = _place(spark, path)
+    files.deleteOnExit(jvm_path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later plan reads."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    files, jvm_path = _place(spark, path)
+    files.delete(jvm_path, True)
