@@ -4,16 +4,20 @@ Which suffixes are indexed is decided by content: in every window of ``LENGTH``
 the ``GRAM``-byte string with the least hash is its anchor, so equal windows have equal
 anchors at equal offsets, and each anchor stands for a run of windows.  A batch of
 documents gets an array of its anchors' suffixes in order (first bytes, then a hash of
-the gram that resolves longer ties).  The array is merge-scanned against the arrays of
+the gram that resolves longer ties), each with how often it occurs.  The array is merge-scanned against the arrays of
 all levels; suffixes that meet an equal gram are marked.  Then the batch enters level
 0, and two arrays of one level merge into one of the next, so n batches leave about
 log2(n) arrays and every suffix is rewritten that often.
 
 Marked anchors are resolved exactly.  An anchor whose whole segment (the bytes of all
-its windows) occurs elsewhere has every window repeated; for the rest the windows
-themselves are compared within the anchor's group.  Equal segments are one row by
-then, and groups of very many different segments are split by offset, which windows
-never cross.
+its windows) occurs elsewhere has every window repeated, as told by two hashes of 64 bits.
+For the rest the windows themselves are compared within the anchor's group: their hashes
+bring equal ones together and their bytes decide.  Windows of a group with more than
+``SPLIT_SEGMENTS`` different segments are dealt out and counted by hashes of 128 bits.
+
+An array holds suffixes by their first bytes and a hash, not by position and whole bytes:
+with the bytes of all grams, writing and merging the levels would take several times the
+input on disk.
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH`` bytes keep
 all of it; rows that repeat an id with the same text are copies of one another and lose
@@ -33,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import bytehash
+from tesserae.llm.hot import join_unique
 from tesserae.session import drop_path, materialise, scratch_path
 
 _U = np.uint64
@@ -40,9 +45,8 @@ LENGTH = 400
 GRAM = 100
 #: Batches in which a whole table enters the index.
 BATCHES = 4
-#: Groups with more different segments than this are split by offset.
+#: Groups with more different segments than this aren't held in one task.
 SPLIT_SEGMENTS = 4096
-OFFSET_BLOCK = 32
 _POSITION = (1 << 24) - 1
 _ENTRY = "id long, at long, low long, high long, head long, gram long, segment long"
 
@@ -139,8 +143,12 @@ class SuffixIndex:
         self.levels[level] = path
 
     def repeated(self) -> DataFrame:
-        """The suffixes (by first bytes and gram) that occur twice or more among all batches."""
-        return self.spark.read.schema("head long, gram long").parquet(*self.marked).distinct()
+        """The suffixes (by first bytes and gram) that occur twice or more among all batches, and how often."""
+        marked = self.spark.read.schema("head long, gram long").parquet(*self.marked).distinct()
+        every = self._array(self.levels[max(self.levels)])
+        for level in sorted(self.levels)[:-1]:
+            every = every.union(self._array(self.levels[level]))
+        return every.join(marked, ["head", "gram"], "left_semi").groupBy("head", "gram").agg(F.sum("n").alias("n"))
 
     def close(self) -> None:
         for path in [*self.levels.values(), *self.marked]:
@@ -148,53 +156,95 @@ class SuffixIndex:
         self.levels, self.marked = {}, []
 
 
-def _repeated_windows(length: int, gram: int):
+def again(held: list[tuple[int, np.ndarray, bytes]], length: int) -> list[np.ndarray]:
+    """Which windows of each member occur twice or more among all; a member has a group, hashes of its windows and bytes."""
+    hashes = np.concatenate([h[1] for h in held])
+    base = np.cumsum([0, *(len(h[1]) for h in held)])
+    _, first, inverse, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    last = np.zeros(len(n), np.int64)
+    last[inverse] = np.arange(len(hashes))
+    at = np.arange(len(hashes))
+    partner = np.where(first[inverse] == at, last[inverse], first[inverse])
+    repeated = n[inverse] > 1
+    # Bytes decide: runs of windows whose partners are a run too are compared at once.
+    theirs = np.searchsorted(base, partner, "right") - 1
+    mine = np.searchsorted(base, at, "right") - 1
+    starts = np.flatnonzero(repeated & ~np.concatenate([[False], repeated[:-1] & (mine[1:] == mine[:-1]) & (theirs[1:] == theirs[:-1]) & (partner[1:] == partner[:-1] + 1)]))
+    ends = np.flatnonzero(repeated & ~np.concatenate([repeated[1:] & (mine[1:] == mine[:-1]) & (theirs[1:] == theirs[:-1]) & (partner[1:] == partner[:-1] + 1), [False]]))
+    for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
+        a, b = held[mine[x]], held[theirs[x]]
+        p, q = x - int(base[mine[x]]), int(partner[x] - base[theirs[x]])
+        if a[0] != b[0] or a[2][p : p + y - x + length] != b[2][q : q + y - x + length]:
+            break
+    else:
+        return np.split(repeated, base[1:-1])
+    # Two different windows with one hash: count the windows themselves.
+    seen: dict[tuple[int, bytes], int] = {}
+    for g, own, body in held:
+        for k in range(len(own)):
+            window = (g, body[k : k + length])
+            seen[window] = seen.get(window, 0) + 1
+    return [np.array([seen[g, body[k : k + length]] > 1 for k in range(len(own))], bool) for g, own, body in held]
+
+
+_SPANS = "id long, start long, stop long"
+
+
+def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["id", "start", "stop"])
+
+
+def _repeated_windows(length: int):
     """From rows of groups in order, the repeated windows of segments that occur once.
 
-    Rows arrive sorted by (gram, block); a group that goes on in the next Arrow batch
-    waits for it as hashes.
+    Rows arrive sorted by gram; a group that goes on in the next Arrow batch waits for it.
     """
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
+    def flush(held: list[tuple], own: list[tuple]) -> pa.RecordBatch:
         out: list[tuple[int, int, int]] = []
-        if held:
-            counts = np.concatenate([h[3] for h in held])
-            _, inverse, n = np.unique(counts, return_inverse=True, return_counts=True)
-            again = n[inverse] > 1
-            at = 0
-            for id_, low, single, own in held:
-                mine = again[at : at + len(own)]
-                at += len(own)
-                if not single or not mine.any():
-                    continue
+        for (id_, low, single), mine in zip(own, again(held, length) if held else [], strict=True):
+            if single and mine.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
                 out += [(id_, low + int(a), low + int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["id", "start", "stop"])
+        return _spans(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        last = None
+        own: list[tuple] = []
+        last, windows = None, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
             get = lambda name, b=batch: b.column(name).to_pylist()
-            for g, block, id_, at, low, high, count, body in zip(*map(get, ("gram", "block", "id", "at", "low", "high", "count", "body")), strict=True):
-                # Small groups are resolved together: their keys differ by gram.
-                if (g, block) != last and sum(len(h[3]) for h in held) > 500_000:
-                    yield flush(held)
-                    held = []
-                last = (g, block)
+            for g, id_, at, low, high, count, body in zip(*map(get, ("gram", "id", "at", "low", "high", "count", "body")), strict=True):
+                # Small groups are resolved together: their hashes differ by gram.
+                if g != last and windows > 500_000:
+                    yield flush(held, own)
+                    held, own, windows = [], [], 0
+                last = g
                 hashes = bytehash.window_hashes(np.frombuffer(body, np.uint8), length)
                 offset = at - np.arange(low, high + 1)
-                own = bytehash.mix(bytehash.mix(hashes, 3) ^ bytehash.mix(np.full(len(offset), g, np.int64).view(_U) + offset.astype(_U) * _U(0x9E3779B97F4A7C15), 5))
-                if block >= 0:  # other offsets of this group are in other rows
-                    inside = offset // OFFSET_BLOCK == block
-                    first = int(np.argmax(inside)) if inside.any() else 0
-                    own = own[inside]
-                    held.append((id_, low + first, count == 1, own))
-                else:
-                    held.append((id_, low, count == 1, own))
-        yield flush(held)
+                keys = bytehash.mix(bytehash.mix(hashes, 3) ^ bytehash.mix(np.full(len(offset), g, np.int64).view(_U) + offset.astype(_U) * _U(0x9E3779B97F4A7C15), 5))
+                held.append((g, keys, body))
+                own.append((id_, low, count == 1))
+                windows += len(keys)
+        yield flush(held, own)
+
+    return run
+
+
+def _every_window(length: int):
+    """A row for each window of segments in very large groups: two hashes, its text and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = lambda name, b=batch: b.column(name).to_pylist()
+            for id_, low, high, count, body in zip(*map(get, ("id", "low", "high", "count", "body")), strict=True):
+                digests = b"".join(xxhash.xxh3_128_digest(body[k : k + length]) for k in range(high - low + 1))
+                pairs = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                n = len(pairs)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(n, id_)), pa.array(np.arange(low, high + 1)), pa.array(np.full(n, count))],
+                    names=["k1", "k2", "id", "start", "count"],
+                )
 
     return run
 
@@ -209,17 +259,18 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     index = SuffixIndex(spark)
     for i in range(batches):
         index.add(every.where(F.col("batch") == i))
-    marked = materialise(every.drop("batch").join(index.repeated(), ["head", "gram"], "left_semi"), "repeated")
+    suffixes = materialise(index.repeated(), "suffixes")
     index.close()
+    marked = materialise(join_unique(every.drop("batch"), suffixes, ["head", "gram"], "n", ["id", "at"], "inner").drop("n"), "repeated")
     drop_path(spark, path)
     one = F.struct("id", "at", "low", "high")
-    segments = marked.groupBy("gram", "segment").agg(F.count(F.lit(1)).alias("count"), F.min(one).alias("one"))
-    groups = segments.groupBy("gram").agg(F.min("count").alias("least"), F.count(F.lit(1)).alias("size"))
-    known = materialise(segments.join(groups, "gram"), "segments")
+    segments = materialise(marked.groupBy("gram", "segment").agg(F.count(F.lit(1)).alias("count"), F.min(one).alias("one")), "segments")
+    groups = materialise(segments.groupBy("gram").agg(F.min("count").alias("least"), F.count(F.lit(1)).alias("size")), "groups")
     # Equal segments elsewhere: all windows are repeated.
-    whole = marked.join(known.where("count > 1").select("gram", "segment"), ["gram", "segment"], "left_semi").select("id", F.col("low").alias("start"), (F.col("high") + length).alias("stop"))
+    twice = segments.where("count > 1").select("gram", "segment", "count")
+    whole = join_unique(marked, twice, ["gram", "segment"], "count", ["id", "at"], "inner").select("id", F.col("low").alias("start"), (F.col("high") + length).alias("stop"))
     # Groups with a segment that occurs once are opened, one row for each different segment.
-    opened = known.where("least = 1 and size > 1").select("gram", "size", "count", "one.*")
+    opened = join_unique(segments, groups, ["gram"], "size", ["segment"]).where("least = 1 and size > 1").select("gram", "size", "count", "one.*")
     lists = opened.groupBy("id").agg(F.collect_list(F.struct("gram", "size", "count", "at", "low", "high")).alias("open"))
     ids = marked.select("id").distinct().join(lists, "id", "left")
     body = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.encode(F.col(text), "UTF-8").alias("body"))
@@ -234,12 +285,16 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         "o.high",
         F.expr(f"substring(body, cast(o.low as int) + 1, cast(o.high - o.low as int) + {length})").alias("body"),
     )
-    blocks = F.when(F.col("size") > SPLIT_SEGMENTS, F.sequence(F.floor((F.col("at") - F.col("high")) / OFFSET_BLOCK), F.floor((F.col("at") - F.col("low")) / OFFSET_BLOCK))).otherwise(F.array(F.lit(-1).cast("long")))
-    spread = rows.select("gram", F.explode(blocks).alias("block"), "count", "id", "at", "low", "high", "body")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = spread.repartition(n, "gram", "block").sortWithinPartitions("gram", "block")
-    some = ordered.mapInArrow(_repeated_windows(length, gram), "id long, start long, stop long")
-    return whole.union(some), texts.select("id", "body")
+    ordered = rows.where(F.col("size") <= SPLIT_SEGMENTS).repartition(n, "gram").sortWithinPartitions("gram")
+    some = whole.union(ordered.mapInArrow(_repeated_windows(length), _SPANS))
+    if not groups.where((F.col("size") > SPLIT_SEGMENTS) & (F.col("least") == 1)).isEmpty():
+        large = rows.where(F.col("size") > SPLIT_SEGMENTS).select("id", "low", "high", "count", "body")
+        windows = materialise(large.mapInArrow(_every_window(length), "k1 long, k2 long, id long, start long, count long"), "windows")
+        counts = materialise(windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "counts")
+        found = join_unique(windows.where("count = 1"), counts, ["k1", "k2"], "times", ["id", "start"], "inner")
+        some = some.union(found.select("id", "start", (F.col("start") + length).alias("stop")))
+    return some, texts.select("id", "body")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

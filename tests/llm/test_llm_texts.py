@@ -183,6 +183,15 @@ def test_suffix_dedup(spark, split, monkeypatch):
     assert got == brute_cut(texts, 24)
 
 
+def test_windows_are_compared_by_bytes():
+    bodies = [b"abcdefgh", b"xbcdefgx", b"qqqqqqqq"]
+    same = np.zeros(5, np.uint64)  # every window has one hash
+    right = suffix_dedup.again([(1, np.array([1, 2, 3, 4, 5], "u8"), bodies[0]), (1, np.array([6, 2, 3, 4, 7], "u8"), bodies[1])], 4)
+    assert [x.tolist() for x in right] == [[False, True, True, True, False]] * 2
+    made = suffix_dedup.again([(1, same, bodies[0]), (1, same, bodies[1]), (1, same, bodies[2])], 4)
+    assert [x.tolist() for x in made] == [[False, True, True, True, False], [False, True, True, True, False], [True] * 5]
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.remove_repeats(docs_of(spark, ["a"]).limit(0)).count() == 0
 
