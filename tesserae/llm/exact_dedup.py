@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.session import materialise
+from tesserae.session import materialise, release
 
 #: Characters of a text that take part in its splitters.
 HEAD_CHARS = 32
@@ -75,10 +75,13 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", norma
     body = NORMALISERS[normalise](F.coalesce(F.col(text), F.lit("")))
     copies = combine_copies(docs.select(F.col(key).cast("long").alias("id"), body.alias("body")), keep)
     judged = copies.select("tag", "ids").join(sorted_groups(copies, keep), "tag")
-    return judged.select(F.explode("ids").alias("id"), "keep_id", "group_size", "digest").select(
+    out = judged.select(F.explode("ids").alias("id"), "keep_id", "group_size", "digest").select(
         F.col("id").alias(key),
         "keep_id",
         "group_size",
         F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
+    made = materialise(out, "exact_groups")  # without the texts, so that their table can go
+    release(copies)
+    return made

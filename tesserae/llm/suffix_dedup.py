@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import bytehash
-from tesserae.llm.hot import join_unique
-from tesserae.session import drop_path, materialise, scratch_path
+from tesserae.llm.hot import join_unique, keep_known
+from tesserae.session import drop_path, materialise, release, scratch_path
 
 _U = np.uint64
 LENGTH = 400
@@ -126,10 +126,11 @@ class SuffixIndex:
         """Indexes the suffixes in ``batch`` (rows of ``entries``) and marks what repeats."""
         path = self._write(batch.select("head", "gram", F.lit(1).cast("long").alias("n")))
         array = self._array(path)
-        found = array.where("n > 1").select("head", "gram")
+        found = array.where("n > 1")
         for level in self.levels.values():
             # Both sides are ordered by suffix: a merge scan.
-            found = found.union(array.join(self._array(level).hint("merge"), ["head", "gram"], "left_semi").select("head", "gram"))
+            known = self._array(level).withColumnRenamed("n", "before")
+            found = found.union(array.join(known.hint("merge"), ["head", "gram"]).select("head", "gram", F.col("n") + F.col("before")))
         hits = scratch_path(self.spark, "marked")
         found.write.parquet(hits)
         self.marked.append(hits)
@@ -143,12 +144,8 @@ class SuffixIndex:
         self.levels[level] = path
 
     def repeated(self) -> DataFrame:
-        """The suffixes (by first bytes and gram) that occur twice or more among all batches, and how often."""
-        marked = self.spark.read.schema("head long, gram long").parquet(*self.marked).distinct()
-        every = self._array(self.levels[max(self.levels)])
-        for level in sorted(self.levels)[:-1]:
-            every = every.union(self._array(self.levels[level]))
-        return every.join(marked, ["head", "gram"], "left_semi").groupBy("head", "gram").agg(F.sum("n").alias("n"))
+        """The suffixes (by first bytes and gram) that occur twice or more among all batches, and about how often."""
+        return self.spark.read.schema("head long, gram long, n long").parquet(*self.marked).groupBy("head", "gram").agg(F.sum("n").alias("n"))
 
     def close(self) -> None:
         for path in [*self.levels.values(), *self.marked]:
@@ -261,14 +258,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         index.add(every.where(F.col("batch") == i))
     suffixes = materialise(index.repeated(), "suffixes")
     index.close()
-    marked = materialise(join_unique(every.drop("batch"), suffixes, ["head", "gram"], "n", ["id", "at"], "inner").drop("n"), "repeated")
+    marked = materialise(keep_known(every.drop("batch"), suffixes, ["head", "gram"], "n").drop("head"), "repeated")
     drop_path(spark, path)
+    release(suffixes)
     one = F.struct("id", "at", "low", "high")
     segments = materialise(marked.groupBy("gram", "segment").agg(F.count(F.lit(1)).alias("count"), F.min(one).alias("one")), "segments")
     groups = materialise(segments.groupBy("gram").agg(F.min("count").alias("least"), F.count(F.lit(1)).alias("size")), "groups")
     # Equal segments elsewhere: all windows are repeated.
     twice = segments.where("count > 1").select("gram", "segment", "count")
-    whole = join_unique(marked, twice, ["gram", "segment"], "count", ["id", "at"], "inner").select("id", F.col("low").alias("start"), (F.col("high") + length).alias("stop"))
+    whole = keep_known(marked, twice, ["gram", "segment"], "count").select("id", F.col("low").alias("start"), (F.col("high") + length).alias("stop"))
     # Groups with a segment that occurs once are opened, one row for each different segment.
     opened = join_unique(segments, groups, ["gram"], "size", ["segment"]).where("least = 1 and size > 1").select("gram", "size", "count", "one.*")
     lists = opened.groupBy("id").agg(F.collect_list(F.struct("gram", "size", "count", "at", "low", "high")).alias("open"))
@@ -292,7 +290,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         large = rows.where(F.col("size") > SPLIT_SEGMENTS).select("id", "low", "high", "count", "body")
         windows = materialise(large.mapInArrow(_every_window(length), "k1 long, k2 long, id long, start long, count long"), "windows")
         counts = materialise(windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "counts")
-        found = join_unique(windows.where("count = 1"), counts, ["k1", "k2"], "times", ["id", "start"], "inner")
+        found = keep_known(windows.where("count = 1"), counts, ["k1", "k2"], "times")
         some = some.union(found.select("id", "start", (F.col("start") + length).alias("stop")))
     return some, texts.select("id", "body")
 

@@ -97,6 +97,7 @@ def test_hot_keys_are_dealt(spark):
     got = {r["id"]: r["n"] for r in hot.join_unique(left, right, ["k"], "n", ["id"], one_in=10).collect()}
     assert len(got) == 3000 and got[0] == got[1999] == 2000 and got[2500] == 1 and got[2999] is None
     assert hot.join_unique(left, right, ["k"], "n", ["id"], how="inner").count() == 2999
+    assert hot.keep_known(left, right, ["k"], "n", one_in=10).count() == 2999
     assert hot.join_unique(left.limit(0), right.limit(0), ["k"], "n", ["id"]).count() == 0
 
 
