@@ -63,7 +63,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch = path
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialise`` that no later plan reads."""
+    for made in tables:
+        drop_path(made.sparkSession, made.scratch)
 
 
 def _place(spark: SparkSession, path: str):
