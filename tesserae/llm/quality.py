@@ -109,10 +109,12 @@ def line_passes(line: Column) -> Column:
     for phrase in BOILERPLATE:
         boiler = boiler | F.contains(low, F.lit(phrase))
     bars = _count(line, "|»›•→>")
-    menu = (bars >= 2) & (bars * 100 > words * SEPARATOR_PERCENT)
+    menu = line.rlike("[|»›•→>]") & (bars >= 2) & (bars * 100 > words * SEPARATOR_PERCENT)
     single = low.rlike(NAVIGATION_LINE)
-    noisy = (words >= 10) & (_count(line, SYMBOLS) * 100 > words * SYMBOL_WORD_PERCENT)
-    endless = (words >= LONG_LINE_WORDS) & ~line.rlike("[" + "".join("\\" + c for c in CLOSING) + "]")
+    # Cheap questions come first, so that words are counted on few lines.
+    some = lambda chars: line.rlike("[" + "".join("\\" + c for c in chars) + "]")
+    noisy = some(SYMBOLS) & (words >= 10) & (_count(line, SYMBOLS) * 100 > words * SYMBOL_WORD_PERCENT)
+    endless = ~some(CLOSING) & (words >= LONG_LINE_WORDS)
     return ~_has_word(line) | ~((boiler & (words <= BOILERPLATE_WORDS)) | menu | single | noisy | endless)
 
 
