@@ -91,7 +91,7 @@ class PrefixCounter:
 
     def _split(self, chunk: str) -> list[str]:
         """The words of a chunk."""
-        if not chunk.isascii():
+        if not chunk.isascii() and not self.agreed.issuperset(chunk):
             for c in set(chunk) - self.agreed - self.odd:
                 # A character goes on with one of its kind.
                 alike = all((len(self.library.pre_tokenize_str(one + c)) == 1) == bool(kind(c)) for one, kind in self.kinds)
