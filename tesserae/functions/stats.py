@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.session import materialise
+
 #: Coefficients of the rational approximation 26.2.17 of the normal distribution
 #: function in the Handbook of Mathematical Functions; its error is below 7.5e-8.
 NORMAL_P = 0.2316419
@@ -45,6 +47,22 @@ def adjust(df: DataFrame, p: str, by: Sequence[str] = (), key: Sequence[str] = (
     return df.withColumn(out or f"{p}_adj", F.when(F.col(p).isNotNull(), value)).drop("_m", "_r")
 
 
+def number_rows(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` with their place, from 1, in the order of a column; no task sees them all.
+
+    Range partitions are sorted and numbered by themselves; what comes before each is the
+    sum of the sizes of the others, a row for each partition.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartitionByRange(parts, order).sortWithinPartitions(order)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # its low bits count within a partition
+    runs = materialise(sorted_.withColumns({"_part": F.spark_partition_id(), "_inside": inside}), "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = runs.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as partitions
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return runs.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_inside") + 1).cast("long")).select(*rows.columns, name)
+
+
 def permuted(nodes: DataFrame, n_perms: int, seed: int, value: str = "cl", by: Sequence[str] = ()) -> DataFrame:
     """``perm, id, value``: labels reordered by a hash of seed, permutation and id.
 
@@ -53,8 +71,10 @@ def permuted(nodes: DataFrame, n_perms: int, seed: int, value: str = "cl", by: S
     """
     strata = list(by)
     ranked = nodes.select(*strata, "id", value)
-    base = Window.partitionBy(*strata).orderBy("id") if strata else Window.partitionBy(F.lit(0)).orderBy("id")
-    labels = ranked.withColumn("_r", F.row_number().over(base)).select(*strata, "_r", value)
+    if strata:
+        labels = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy("id"))).select(*strata, "_r", value)
+    else:
+        labels = number_rows(ranked, "id", "_r").select("_r", value)
     many = ranked.drop(value).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))))
     code = F.md5(F.concat_ws("|", F.lit(seed), F.col("perm"), F.col("id")))
     drawn = many.withColumn("_r", F.row_number().over(Window.partitionBy("perm", *strata).orderBy(code, "id")))

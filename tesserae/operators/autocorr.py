@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.stats import adjust, normal_tail
+from tesserae.functions.stats import adjust, normal_tail, number_rows
 from tesserae.session import materialise
 
 
@@ -53,8 +53,11 @@ def statistic(edges: DataFrame, nodes: DataFrame, expr: DataFrame, mode: str) ->
     o = values.join(out_sum, "id").groupBy(*perm, "gene").agg(F.sum(F.col("wo") * F.col("value")).alias("ox"), F.sum(F.col("wo") * F.col("value") * F.col("value")).alias("oxx"))
     i = values.join(in_sum, "id").groupBy(*perm, "gene").agg(F.sum(F.col("wi") * F.col("value")).alias("ix"), F.sum(F.col("wi") * F.col("value") * F.col("value")).alias("ixx"))
     square = values.groupBy("gene").agg(F.sum(F.col("value") * F.col("value")).alias("xx"))
-    all_ = o.join(i, [*perm, "gene"], "full").join(cross, [*perm, "gene"], "left").join(mean, "gene").join(square, "gene")
-    all_ = (all_.join(s0, perm) if perm else all_.crossJoin(F.broadcast(s0))).na.fill(0.0, ["xy", "ox", "oxx", "ix", "ixx"])
+    # Every feature is there, also one without values at any edge's end; s0 has a row for each permutation.
+    all_ = mean.join(square, "gene").crossJoin(F.broadcast(s0))
+    for part in (o, i, cross):
+        all_ = all_.join(part, [*perm, "gene"], "left")
+    all_ = all_.na.fill(0.0, ["xy", "ox", "oxx", "ix", "ixx"])
     m, n = F.col("mean"), F.col("n")
     total = F.col("xx") - n * m * m
     if mode == "moran":
@@ -85,8 +88,7 @@ def spatial_autocorr(edges: DataFrame, nodes: DataFrame, expr: DataFrame, mode:
     out = with_moments.withColumn("var_norm", var).withColumn("pval_norm", tail * 2 if two_tailed else tail).select("gene", "stat", "pval_norm", "var_norm")
     ps = ["pval_norm"]
     if n_perms:
-        base = Window.partitionBy(F.lit(0)).orderBy("id")
-        numbered = nodes.select("id").withColumn("r", F.row_number().over(base))
+        numbered = number_rows(nodes.select("id"), "id", "r")
         code = F.md5(F.concat_ws("|", F.lit(seed), F.col("perm"), F.col("id")))
         many = nodes.select("id").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))))
         drawn = many.withColumn("r", F.row_number().over(Window.partitionBy("perm").orderBy(code, "id"))).join(numbered.withColumnRenamed("id", "src"), "r")
