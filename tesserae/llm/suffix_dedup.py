@@ -213,7 +213,7 @@ def _repeated_windows(length: int):
             get = lambda name, b=batch: b.column(name).to_pylist()
             for g, id_, at, low, high, count, body in zip(*map(get, ("gram", "id", "at", "low", "high", "count", "body")), strict=True):
                 # Small groups are resolved together: their hashes differ by gram.
-                if g != last and windows > 500_000:
+                if g != last and windows > 200_000:
                     yield flush(held, own)
                     held, own, windows = [], [], 0
                 last = g
