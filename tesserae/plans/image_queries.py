@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import container, images, qc, sepal, stain
+from tesserae.operators import container, images, qc, sepal, stain, tiling
 from tesserae.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,12 +85,12 @@ def _(spark, sf):
 @register(
     "spot_features",
     PX
-    + """, s AS (SELECT vec_id AS id, vec_id % 21 AS sx, vec_id AS sy FROM embeddings WHERE vec_id % 7 = 0)
+    + """, s AS (SELECT vec_id AS id, vec_id % 21 AS sx, vec_id AS sy FROM embeddings)
  SELECT id, c, count(*) AS n, round(avg(val), 6) AS mean, round(stddev_pop(val), 6) AS std, min(val) AS min, max(val) AS max FROM s JOIN pixels ON abs(y - sy) <= 3 AND abs(x - sx) <= 3 GROUP BY ALL""",
 )
 def _(spark, sf):
     k = F.col("id")
-    spots = views.spots(spark, sf).where(k % 7 == 0).select("id", (k % 21).cast("double").alias("x"), k.cast("double").alias("y"))
+    spots = views.spots(spark, sf).select("id", (k % 21).cast("double").alias("x"), k.cast("double").alias("y"))
     return images.spot_features(views.pixels(spark, sf), spots, 3).select("id", "c", "n", *_r("mean", "std"), "min", "max")
 
 
@@ -142,6 +142,47 @@ def _(spark, sf):
     return images.otsu(images.gray(views.pixels(spark, sf))).select(*_r("threshold"))
 
 
+_CLASSED = """f AS (SELECT tile_id, count(*) AS n FROM t JOIN m ON m.y >= y0 AND m.y < y1 AND m.x >= x0 AND m.x < x1 GROUP BY tile_id),
+ q AS (SELECT t.*, coalesce(n, 0) / CASE WHEN (least(y1, h) - greatest(y0, 0)) > 0 AND (least(x1, w) - greatest(x0, 0)) > 0 THEN (least(y1, h) - greatest(y0, 0)) * (least(x1, w) - greatest(x0, 0)) END AS share FROM t LEFT JOIN f USING (tile_id), s)"""
+_KIND = "round(share, 6) AS tissue_fraction, CASE WHEN share >= 0.5 THEN 'tissue' WHEN coalesce(share, 0) = 0 THEN 'background' ELSE 'partial_tissue' END AS tile_classification, coalesce(share >= 0.5, false) AS suitable"
+
+
+def _mask(spark: SparkSession, sf: str) -> DataFrame:
+    return views.label_pixels(spark, sf).where("label <> 0").select("y", "x")
+
+
+@register(
+    "make_tiles",
+    LB
+    + f""", m AS MATERIALIZED (SELECT y, x FROM label_pixels WHERE label <> 0), s AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM pixels), k AS (SELECT avg(y) AS cy, avg(x) AS cx FROM m),
+ o AS (SELECT h, w, round_even(cy - (floor(cy / 16) * 16 + 8), 0)::BIGINT AS oy, round_even(cx - (floor(cx / 8) * 8 + 4), 0)::BIGINT AS ox FROM s, k),
+ d AS (SELECT *, (h - least(oy, 0) + 15) // 16 AS ny, (w - least(ox, 0) + 7) // 8 AS nx FROM o), r AS (SELECT *, unnest(range(ny)) AS ty FROM d), g AS (SELECT *, unnest(range(nx)) AS tx FROM r),
+ t AS MATERIALIZED (SELECT concat('tile_x', tx, '_y', ty) AS tile_id, ty, tx, least(greatest(ty * 16 + oy, 0), h) AS y0, least(greatest(tx * 8 + ox, 0), w) AS x0,
+  CASE WHEN ty = ny - 1 THEN h ELSE least(greatest(ty * 16 + oy + 16, 0), h) END AS y1, CASE WHEN tx = nx - 1 THEN w ELSE least(greatest(tx * 8 + ox + 8, 0), w) END AS x1 FROM g), {_CLASSED}
+ SELECT tile_id, ty, tx, y0, x0, y1, x1, {_KIND} FROM q""",
+)
+def _(spark, sf):
+    size, mask = tiling.image_size(views.pixels(spark, sf)), _mask(spark, sf)
+    tiles = tiling.make_tiles(size, (16, 8), mask)
+    return tiling.classify_tiles(tiles, mask, size, 0.5).withColumn("tissue_fraction", *_r("tissue_fraction"))
+
+
+@register(
+    "spot_tiles",
+    LB
+    + f""", m AS MATERIALIZED (SELECT y, x FROM label_pixels WHERE label <> 0), s AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM pixels),
+ p AS (SELECT vec_id AS id, (vec_id % 3 * 7)::DOUBLE AS x, floor(vec_id / 3.0) * 7 + 3.5 AS y FROM embeddings), v AS (SELECT round(y - lag(y) OVER (ORDER BY y), 6) AS step FROM (SELECT DISTINCT y FROM p)),
+ a AS (SELECT floor(step) AS side FROM v WHERE step IS NOT NULL GROUP BY step ORDER BY count(*) DESC, step LIMIT 1),
+ t AS MATERIALIZED (SELECT concat('spot_tile_', id) AS tile_id, id, floor(y - side / 2)::BIGINT AS y0, floor(x - side / 2)::BIGINT AS x0, ceil(y + side / 2)::BIGINT AS y1, ceil(x + side / 2)::BIGINT AS x1 FROM p, a), {_CLASSED}
+ SELECT tile_id, id, y0, x0, y1, x1, {_KIND} FROM q""",
+)
+def _(spark, sf):
+    k = F.col("id")
+    spots = views.spots(spark, sf).select("id", (k % 3 * 7).cast("double").alias("x"), (F.floor(k / 3.0) * 7 + 3.5).cast("double").alias("y"))
+    size, mask = tiling.image_size(views.pixels(spark, sf)), _mask(spark, sf)
+    return tiling.classify_tiles(tiling.spot_tiles(spots), mask, size, 0.5).withColumn("tissue_fraction", *_r("tissue_fraction"))
+
+
 @register("detect_tissue")
 def _(spark, sf):
     return images.detect_tissue(views.pixels(spark, sf), 0.0005)

@@ -45,16 +45,16 @@ def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def expr(spark: SparkSession, sf_dir: str, genes: int = 16) -> DataFrame:
-    """The first components of the embeddings as measured features, in long form."""
-    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, genes).alias("v"))
+def expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components of the embeddings as measured features, in long form."""
+    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return vec.select("id", F.posexplode("v").alias("g", "value")).select("id", F.concat(F.lit("g"), F.col("g")).alias("gene"), F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
-def counts(spark: SparkSession, sf_dir: str, genes: int = 16) -> DataFrame:
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-negative counts made of the features; zeros are absent."""
     up = F.floor(F.greatest(F.col("value"), F.lit(0.0)) * 20).cast("double")
-    return expr(spark, sf_dir, genes).withColumn("value", up).where("value > 0")
+    return expr(spark, sf_dir).withColumn("value", up).where("value > 0")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ VIEWS_SQL = {
     "lattice": "SELECT floor(c_custkey / 400.0)::BIGINT AS lib, c_custkey AS id, (c_custkey % 40)::DOUBLE AS x, floor(c_custkey / 40.0)::DOUBLE AS y, c_mktsegment AS cl, c_acctbal AS value FROM customer",
     "cloud": "SELECT p_brand AS lib, p_partkey AS id, (p_partkey * 7919 % 10007) / 10.0::DOUBLE AS x, (p_partkey * 104729 % 10009) / 10.0::DOUBLE AS y, p_type AS cl FROM part",
     "spots": "SELECT floor(vec_id / 500.0)::BIGINT AS lib, vec_id AS id, (vec_id % 25)::DOUBLE AS x, floor(vec_id / 25.0)::DOUBLE AS y, concat('c', label) AS cl FROM embeddings",
-    "expr": "SELECT vec_id AS id, concat('g', i) AS gene, round(embedding[i + 1]::DOUBLE, 4) AS value FROM embeddings, range(16) r(i)",
+    "expr": "SELECT vec_id AS id, concat('g', i) AS gene, round(embedding[i + 1]::DOUBLE, 4) AS value FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)",
     "counts": "SELECT * FROM (SELECT id, gene, floor(greatest(value, 0.0) * 20)::DOUBLE AS value FROM expr) WHERE value > 0",
     "pixels": "SELECT vec_id::BIGINT AS y, floor(i / 3.0)::BIGINT AS x, (i % 3)::INT AS c, least(greatest(floor((round(embedding[i + 1]::DOUBLE, 4) + 1) * 127.5), 0), 255)::DOUBLE AS val FROM embeddings, range(63) r(i)",
     "label_pixels": "SELECT y, x, (CASE WHEN y % 10 < 2 OR x % 7 < 2 THEN 0 ELSE floor(y / 10.0) * 3 + floor(x / 7.0) + 1 END)::BIGINT AS label FROM pixels WHERE c = 0",
