@@ -72,6 +72,7 @@ def spatial_autocorr(edges: DataFrame, nodes: DataFrame, expr: DataFrame, mode:
     """Statistic, analytic variance and p-value, and those of permutations when asked for.
 
     A permutation reorders the rows of the weights, as hashes of seed, number and id order them.
+    Values that agree to 9 digits are equal, so sums in another order give the same p-value.
     """
     weights = materialise(row_normalised(edges) if transformation else edges, "weights")
     observed = statistic(weights, nodes, expr, mode)
@@ -94,7 +95,7 @@ def spatial_autocorr(edges: DataFrame, nodes: DataFrame, expr: DataFrame, mode:
         drawn = many.withColumn("r", F.row_number().over(Window.partitionBy("perm").orderBy(code, "id"))).join(numbered.withColumnRenamed("id", "src"), "r")
         moved = weights.select("src", "dst", "w").join(drawn.select("perm", "src", F.col("id").alias("new")), "src").select("perm", F.col("new").alias("src"), "dst", "w")
         sims = statistic(materialise(moved, "permuted-weights"), nodes, expr, mode).select("gene", F.col("stat").alias("sim"))
-        own = sims.join(observed.select("gene", "stat"), "gene").groupBy("gene").agg(F.sum((F.col("sim") >= F.col("stat")).cast("int")).alias("c"), F.avg("sim").alias("ms"), F.var_pop("sim").alias("var_sim"))
+        own = sims.join(observed.select("gene", "stat"), "gene").groupBy("gene").agg(F.sum((F.round("sim", 9) >= F.round("stat", 9)).cast("int")).alias("c"), F.avg("sim").alias("ms"), F.var_pop("sim").alias("var_sim"))
         zs = F.abs(F.col("stat") - F.col("ms")) / F.sqrt("var_sim")
         low = F.least(F.col("c"), F.lit(n_perms) - F.col("c"))
         out = out.join(own, "gene", "left").withColumn("pval_sim", (low + 1) / F.lit(n_perms + 1.0)).withColumn("pval_z_sim", F.when(F.col("var_sim") > 0, normal_tail(zs))).drop("c", "ms")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import container, images, qc, sepal, stain, tiling
+from tesserae.plans import tile_sql
 from tesserae.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +49,16 @@ def _(spark, sf):
     return images.crop(views.pixels(spark, sf), 5, 15, 40, 10, cval=-1.0)
 
 
-@register("image_smooth")
+_MIRROR = "CASE WHEN o.{0} + k < 0 THEN -(o.{0} + k) - 1 WHEN o.{0} + k >= {1} THEN 2 * {1} - 1 - (o.{0} + k) ELSE o.{0} + k END"
+
+
+@register(
+    "image_smooth",
+    PX
+    + f""", s AS (SELECT max(y) + 1 AS h, max(x) + 1 AS wd FROM pixels), e AS (SELECT k, exp(-0.5 * k * k) AS g FROM range(-4, 5) r(k)), kn AS (SELECT k, g / (SELECT sum(g) FROM e) AS g FROM e),
+ a AS MATERIALIZED (SELECT o.y, o.x, o.c, sum(p.val * g) AS val FROM pixels o CROSS JOIN kn CROSS JOIN s JOIN pixels p ON p.x = o.x AND p.c = o.c AND p.y = {_MIRROR.format("y", "h")} GROUP BY ALL)
+ SELECT o.y, o.x, o.c, round(sum(p.val * g), 6) AS val FROM a o CROSS JOIN kn CROSS JOIN s JOIN a p ON p.y = o.y AND p.c = o.c AND p.x = {_MIRROR.format("x", "wd")} GROUP BY ALL""",
+)
 def _(spark, sf):
     return images.smooth(views.pixels(spark, sf)).select("y", "x", "c", *_r("val"))
 
@@ -223,13 +233,13 @@ def _(spark, sf):
     return qc.entropy(images.gray(_tiled(spark, sf), "qc")).select("ty", "tx", *_r("entropy"))
 
 
-@register("qc_tile_metrics")
+@register("qc_tile_metrics", _TILED + tile_sql.METRICS)
 def _(spark, sf):
     m = qc.unfocus(qc.tile_metrics(_tiled(spark, sf)), ["tenengrad_mean", "laplacian_variance", "haar_wavelet_energy"])
     return m.select("ty", "tx", *_r(*[c for c in m.columns if c not in ("ty", "tx", "is_outlier")]), "is_outlier")
 
 
-@register("qc_high_frequencies")
+@register("qc_high_frequencies", _TILED + tile_sql.HIGH_FREQUENCIES)
 def _(spark, sf):
     return qc.high_frequencies(images.gray(_tiled(spark, sf), "qc")).select("ty", "tx", *_r("fft_high_freq_energy"))
 
@@ -244,12 +254,12 @@ def _(spark, sf):
     return qc.cut_scores(views.label_pixels(spark, sf)).select("label", "area", "y", "x", *_r("score"))
 
 
-@register("tiling_qc")
+@register("tiling_qc", LB + tile_sql.TILING_QC)
 def _(spark, sf):
     return qc.tiling_qc(views.label_pixels(spark, sf)).select("label", *_r("score", "smoothed"), "is_outlier")
 
 
-@register("stitched_labels")
+@register("stitched_labels", LB + tile_sql.STITCHED)
 def _(spark, sf):
     labels = views.label_pixels(spark, sf)
     return qc.stitched_labels(labels, qc.stitch_groups(labels, max_size=1000))
@@ -268,7 +278,7 @@ def _(spark, sf):
     return stain.apply_macenko(rgb, own, own)
 
 
-@register("stain_reinhard")
+@register("stain_reinhard", PX + tile_sql.REINHARD)
 def _(spark, sf):
     rgb = qc.wide(views.pixels(spark, sf))
     own = stain.fit_reinhard(rgb)
@@ -294,6 +304,12 @@ def _(spark, sf):
     return box.apply(lambda p: p.assign(val=255.0 - p["val"]), "image", "inverse", chunk=64, depth=2).layer("inverse").select("y", "x", "c", "val")
 
 
-@register("container_segment")
+@register(
+    "container_segment",
+    PX
+    + """, g AS (SELECT y, x, sum(val * CASE c WHEN 0 THEN 0.2125 WHEN 1 THEN 0.7154 ELSE 0.0721 END) AS val FROM pixels GROUP BY y, x), m AS MATERIALIZED (SELECT y, x, y * (SELECT max(x) + 2 FROM g WHERE val >= 160) + x AS id FROM g WHERE val >= 160),
+ near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), reach AS (SELECT id, id AS other FROM m UNION SELECT reach.id, near.b FROM reach JOIN near ON near.a = reach.other)
+ SELECT y, x, min(other + 1)::DOUBLE AS val FROM reach JOIN m USING (id) GROUP BY y, x""",
+)
 def _(spark, sf):
     return container.ImageContainer.from_pixels(views.pixels(spark, sf)).segment("image", threshold=160.0).layer("segmented").select("y", "x", "val")

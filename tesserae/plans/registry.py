@@ -97,7 +97,15 @@ def _(spark, sf):
     return graph.cosine(lattice_graph(spark, sf)[1]).select("lib", "src", "dst", _r("w"))
 
 
-@register("delaunay_graph")
+@register(
+    "delaunay_graph",
+    views.with_views("cloud")
+    + """, t AS (SELECT a.lib, a.id AS a, b.id AS b, c.id AS c, a.x AS ax, a.y AS ay, b.x - a.x AS bx, b.y - a.y AS b_y, c.x - a.x AS cx, c.y - a.y AS cy FROM cloud a JOIN cloud b ON a.lib = b.lib AND a.id < b.id JOIN cloud c ON c.lib = a.lib AND b.id < c.id),
+ d AS (SELECT *, 2 * (bx * cy - b_y * cx) AS d FROM t), o AS (SELECT lib, a, b, c, ax, ay, (cy * (bx * bx + b_y * b_y) - b_y * (cx * cx + cy * cy)) / d AS ux, (bx * (cx * cx + cy * cy) - cx * (bx * bx + b_y * b_y)) / d AS uy FROM d WHERE abs(d) > 1e-9),
+ k AS MATERIALIZED (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM cloud p WHERE p.lib = o.lib AND p.id <> a AND p.id <> b AND p.id <> c AND (p.x - ax - ux) * (p.x - ax - ux) + (p.y - ay - uy) * (p.y - ay - uy) < ux * ux + uy * uy)),
+ s AS (SELECT lib, a AS src, b AS dst FROM k UNION SELECT lib, b, c FROM k UNION SELECT lib, a, c FROM k), e AS (SELECT * FROM s UNION ALL SELECT lib, dst, src FROM s)
+ SELECT e.lib, src, dst, round(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)), 6) AS dist FROM e JOIN cloud p ON p.id = src JOIN cloud q ON q.id = dst""",
+)
 def _(spark, sf):
     return graph.Delaunay().build(views.cloud(spark, sf)).select("lib", "src", "dst", _r("dist"))
 
@@ -105,7 +113,19 @@ def _(spark, sf):
 POLYGON = [(5.0, 1.0), (30.0, 1.0), (30.0, 200.0), (17.5, 4.5), (5.0, 200.0)]
 
 
-@register("masked_graph")
+def _masked_sql() -> str:
+    sides = ", ".join(f"({a}, {b}, {c}, {d})" for (a, b), (c, d) in zip(POLYGON, [*POLYGON[1:], POLYGON[0]], strict=True))
+    odd = lambda x, y: f"sum(((py > {y}) <> (qy > {y}) AND {x} < (qx - px) * ({y} - py) / nullif(qy - py, 0) + px)::INT) % 2 = 1"
+    turn = lambda a, b, c: f"(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+    cut = f"{turn('s', 'e', 'p')} * {turn('s', 'e', 'q')} < 0 AND {turn('p', 'q', 's')} * {turn('p', 'q', 'e')} < 0"
+    return (
+        LATTICE
+        + f""", g(px, py, qx, qy) AS (VALUES {sides}), l AS (SELECT e.lib, src, dst, a.x AS sx, a.y AS sy, b.x AS ex, b.y AS ey FROM e JOIN lattice a ON a.id = src JOIN lattice b ON b.id = dst)
+ SELECT lib, src, dst FROM l CROSS JOIN g GROUP BY ALL HAVING {odd('sx', 'sy')} AND {odd('ex', 'ey')} AND {odd('((sx + ex) / 2)', '((sy + ey) / 2)')} AND NOT bool_or({cut})"""
+    )
+
+
+@register("masked_graph", _masked_sql())
 def _(spark, sf):
     points, edges = lattice_graph(spark, sf)
     return graph.mask_edges(edges, points, POLYGON).select("lib", "src", "dst")
@@ -224,7 +244,28 @@ for _mode in ("moran", "geary"):
         return out.select("gene", *map(_r, ("stat", "pval_norm", "var_norm", "pval_norm_fdr_bh")))
 
 
-@register("spatial_autocorr_permuted")
+#: Features of ``views.expr``.
+_ALL_GENES = [f"g{i}" for i in range(64)]
+
+
+def _permuted_moran_sql() -> str:
+    """All permutations with a column for each feature, so that the edges are joined once for all of them."""
+    wide = ", ".join(f"coalesce(any_value(z) FILTER (gene = '{g}'), 0) AS {g}" for g in _ALL_GENES)
+    sums = ", ".join(f"sum(w * a.{g} * b.{g}) AS {g}" for g in _ALL_GENES)
+    tail = stats.normal_tail_sql("(abs(stat + 1.0 / (n - 1)) / sqrt((n * n * s1 - n * s2 + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - 1.0 / ((n - 1) * (n - 1))))")
+    return (
+        _EXPR
+        + _MORAN_BASE
+        + f""", wd AS MATERIALIZED (SELECT id, {wide} FROM x GROUP BY id), st AS (SELECT a.gene, any_value(n) / any_value(s0) * sum(w * a.z * b.z) / any_value(zz) AS stat FROM w JOIN x a ON a.id = w.src JOIN x b ON b.id = w.dst AND a.gene = b.gene JOIN zz ON zz.gene = a.gene, n, s0 GROUP BY a.gene),
+ r AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM spots), d AS (SELECT perm, id, row_number() OVER (PARTITION BY perm ORDER BY md5(concat_ws('|', {SEED}, perm, id)), id) AS r FROM spots, range({ALL_PERMS}) p(perm)),
+ mv AS (SELECT perm, d.id AS src, dst, w FROM d JOIN r USING (r) JOIN w ON w.src = r.id), sm AS MATERIALIZED (SELECT perm, {sums} FROM mv JOIN wd a ON a.id = mv.src JOIN wd b ON b.id = dst GROUP BY perm),
+ si AS (SELECT u.gene, n / s0 * u.v / zz AS sim FROM (UNPIVOT sm ON {', '.join(_ALL_GENES)} INTO NAME gene VALUE v) u JOIN zz ON zz.gene = u.gene, n, s0),
+ ag AS (SELECT gene, any_value(stat) AS stat, sum((round(sim, 9) >= round(stat, 9))::INT) AS c, avg(sim) AS ms, var_pop(sim) AS v FROM si JOIN st USING (gene) GROUP BY gene)
+ SELECT gene, round(stat, 6) AS stat, round({tail}, 6) AS pval_norm, round((least(c, {ALL_PERMS} - c) + 1) / {ALL_PERMS + 1}.0, 6) AS pval_sim, round({stats.normal_tail_sql('(abs(stat - ms) / sqrt(v))')}, 6) AS pval_z_sim, round(v, 6) AS var_sim FROM ag, n, s0, s1, s2"""
+    )
+
+
+@register("spatial_autocorr_permuted", _permuted_moran_sql())
 def _(spark, sf):
     points, edges = spot_graph(spark, sf)
     out = autocorr.spatial_autocorr(edges, points, views.counts(spark, sf), n_perms=ALL_PERMS, seed=SEED)
@@ -328,7 +369,7 @@ def _(spark, sf):
 _GENES = [("G0", "G1"), ("G2", "G3_G4"), ("G5", "G0"), ("G6", "G7"), ("G1", "G9_G8")]
 
 
-def _ligrec_sql() -> str:
+def _ligrec_sql(perms: int = PERMS, digits: int = 6) -> str:
     pairs = ", ".join(f"('{a}', '{b}')" for a, b in _GENES)
     return (
         views.with_views("spots", "counts")
@@ -338,11 +379,11 @@ def _ligrec_sql() -> str:
  sz AS (SELECT cl, count(*)::DOUBLE AS k FROM spots GROUP BY cl),
  cm AS (SELECT cl, gene, sum(value) / any_value(k) AS m, sum((value > 0)::INT) / any_value(k) AS f FROM x JOIN spots USING (id) JOIN sz USING (cl) GROUP BY ALL),
  ob AS (SELECT source, target, a.cl AS cluster_1, b.cl AS cluster_2, a.m AS m1, b.m AS m2, a.f >= 0.01 AND b.f >= 0.01 AND a.m > 0 AND b.m > 0 AS t FROM pt JOIN cm a ON a.gene = source JOIN cm b ON b.gene = target),
- d AS MATERIALIZED {stats.permuted_sql('spots', PERMS, SEED)},
+ d AS MATERIALIZED {stats.permuted_sql('spots', perms, SEED)},
  pm AS MATERIALIZED (SELECT perm, cl, gene, sum(value) / any_value(k) AS m FROM x JOIN d USING (id) JOIN sz USING (cl) GROUP BY ALL),
- pv AS (SELECT source, target, cluster_1, cluster_2, sum((round(coalesce(a.m, 0) + coalesce(b.m, 0), 9) > round(m1 + m2, 9))::INT) / {float(PERMS)} AS pvalue FROM ob CROSS JOIN range({PERMS}) p(perm)
+ pv AS (SELECT source, target, cluster_1, cluster_2, sum((round(coalesce(a.m, 0) + coalesce(b.m, 0), 9) > round(m1 + m2, 9))::INT) / {float(perms)} AS pvalue FROM ob CROSS JOIN range({perms}) p(perm)
   LEFT JOIN pm a ON a.perm = p.perm AND a.gene = source AND a.cl = cluster_1 LEFT JOIN pm b ON b.perm = p.perm AND b.gene = target AND b.cl = cluster_2 WHERE t GROUP BY ALL)
- SELECT ob.source, ob.target, ob.cluster_1, ob.cluster_2, round(CASE WHEN m1 > 0 AND m2 > 0 THEN (m1 + m2) / 2 ELSE 0 END, 6) AS mean, round(pvalue, 6) AS pvalue
+ SELECT ob.source, ob.target, ob.cluster_1, ob.cluster_2, round(CASE WHEN m1 > 0 AND m2 > 0 THEN (m1 + m2) / 2 ELSE 0 END, {digits}) AS mean, round(pvalue, {digits}) AS pvalue
  FROM ob LEFT JOIN pv ON ob.source = pv.source AND ob.target = pv.target AND ob.cluster_1 = pv.cluster_1 AND ob.cluster_2 = pv.cluster_2"""
     )
 
@@ -354,7 +395,16 @@ def _(spark, sf):
     return out.select("source", "target", "cluster_1", "cluster_2", _r("mean"), _r("pvalue"))
 
 
-@register("ligrec_fdr")
+_LIGREC_FDR = (
+    f"WITH lr AS MATERIALIZED ({_ligrec_sql(ALL_PERMS, 12)}), raw AS (SELECT * EXCLUDE (pvalue), pvalue AS pv, coalesce(pvalue, 1.0) AS p FROM lr),"
+    + """ rk AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY p, cluster_1, cluster_2) AS r, count(*) OVER (PARTITION BY source, target) AS m FROM raw),
+ q AS (SELECT *, least(1.0, min(p * m / r) OVER (PARTITION BY source, target ORDER BY p DESC, cluster_1 DESC, cluster_2 DESC ROWS UNBOUNDED PRECEDING)) AS q FROM rk),
+ k AS (SELECT * FROM q WHERE mean BETWEEN 0 AND 100 AND (pv IS NULL OR pv <= 1) QUALIFY bool_or(mean > 0) OVER (PARTITION BY source, target)), k2 AS (SELECT * FROM k QUALIFY bool_or(mean > 0) OVER (PARTITION BY cluster_1, cluster_2))
+ SELECT source, target, cluster_1, cluster_2, round(mean, 6) AS mean, round(pv, 6) AS pvalue, round(CASE WHEN pv IS NOT NULL THEN q END, 6) AS pvalue_adj, round(log2(mean + 1), 6) AS log2_mean FROM k2"""
+)
+
+
+@register("ligrec_fdr", _LIGREC_FDR)
 def _(spark, sf):
     pairs = ligrec.prepare_interactions(spark, _GENES)
     out = ligrec.ligrec(views.counts(spark, sf), views.spots(spark, sf).select("id", "cl"), pairs, n_perms=ALL_PERMS, seed=SEED, method="fdr_bh", axis="interactions")
