@@ -135,15 +135,26 @@ def ripley_g(points: DataFrame, support: Sequence[float], n_neigh: int = 2, valu
 
 
 def poisson_points(corners: Sequence[tuple[float, float]], n_sims: int, n_points: int, spark, seed: int = 0) -> DataFrame:
-    """``sim, id, x, y``: uniform points of a convex polygon, drawn by rejection."""
+    """``sim, id, x, y``: uniform points of a convex polygon, drawn by rejection until every pattern has ``n_points``.
+
+    Places are hashes of seed and number, so they don't depend on partitioning.  A polygon
+    without area raises.
+    """
     xs, ys = [c[0] for c in corners], [c[1] for c in corners]
     box = (max(xs) - min(xs)) * (max(ys) - min(ys))
     area = abs(sum(xs[i] * ys[(i + 1) % len(xs)] - xs[(i + 1) % len(xs)] * ys[i] for i in range(len(xs)))) / 2
-    tries = int(n_points * box / area * 1.5) + 64
-    raw = spark.range(n_sims * tries).select((F.col("id") % n_sims).alias("sim"), F.col("id"), (min(xs) + F.rand(seed) * (max(xs) - min(xs))).alias("x"), (min(ys) + F.rand(seed + 1) * (max(ys) - min(ys))).alias("y"))
+    if area <= 0:
+        raise ValueError("the points span no area")
+    unit = lambda axis: F.xxhash64(F.lit(seed), F.lit(axis), "id").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
     ok = F.lit(True)
     for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True):
         ok = ok & ((bx - ax) * (F.col("y") - ay) - (by - ay) * (F.col("x") - ax) >= 0)
+    tries = int(n_points * box / area * 1.5) + 64
+    while True:
+        raw = spark.range(n_sims * tries).select((F.col("id") % n_sims).alias("sim"), F.col("id"), (min(xs) + unit("x") * (max(xs) - min(xs))).alias("x"), (min(ys) + unit("y") * (max(ys) - min(ys))).alias("y"))
+        if raw.where(ok).groupBy("sim").count().where(F.col("count") >= n_points).count() == n_sims:
+            break
+        tries *= 2
     return raw.where(ok).withColumn("r", F.row_number().over(Window.partitionBy("sim").orderBy("id"))).where(F.col("r") <= n_points).drop("r")
 
 

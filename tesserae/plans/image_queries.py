@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import container, images, qc, sepal, stain, tiling
+from tesserae.operators import cell_features, container, images, qc, sepal, stain, tiling
 from tesserae.plans import tile_sql
 from tesserae.sources import views
 
@@ -132,6 +132,11 @@ def _(spark, sf):
     return images.cell_histogram(views.pixels(spark, sf), views.label_pixels(spark, sf)).select("label", "c", "bin", *_r("share"))
 
 
+@register("cell_features", LB + tile_sql.CELL_FEATURES)
+def _(spark, sf):
+    return cell_features.cell_features(views.label_pixels(spark, sf), views.pixels(spark, sf)).select("label", "feature", *_r("value"))
+
+
 @register(
     "tile_specs",
     LB

@@ -95,3 +95,41 @@ def _reinhard(shrink: float = 0.9) -> str:
 
 
 REINHARD = _reinhard()
+
+_SHAPES = [
+    ("area", "area"),
+    ("centroid-0", "cy"),
+    ("centroid-1", "cx"),
+    ("bbox-0", "y0"),
+    ("bbox-1", "x0"),
+    ("bbox-2", "y1 + 1"),
+    ("bbox-3", "x1 + 1"),
+    ("extent", "area / ((y1 - y0 + 1) * (x1 - x0 + 1))"),
+    ("equivalent_diameter_area", "sqrt(4 * area / pi())"),
+    ("axis_major_length", "4 * sqrt(big)"),
+    ("axis_minor_length", "4 * sqrt(greatest(small, 0))"),
+    ("eccentricity", "sqrt(greatest(1 - small / big, 0))"),
+]
+
+
+def _rows(source: str, pairs: list[tuple[str, str]], tail: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT label, '{n}'{tail} AS feature, ({v})::DOUBLE AS value FROM {source}" for n, v in pairs)
+
+
+def _cell_features() -> str:
+    channel = " || '__' || c"
+    texture = [(f"texture_{n}", v) for n, v in (("contrast", "contrast"), ("dissimilarity", "dissimilarity"), ("homogeneity", "homogeneity"), ("energy", "sqrt(asm_)"), ("ASM", "asm_"), ("correlation", "CASE WHEN q - m * m > 1e-12 THEN (ij - m * m) / (q - m * m) ELSE 1 END"))]
+    return f""", bx AS MATERIALIZED (SELECT label, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM label_pixels WHERE label <> 0 GROUP BY label),
+ mo AS (SELECT label, count(*) AS area, avg(y) AS cy, avg(x) AS cx, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1, var_pop(y) + 1.0 / 12 AS a, var_pop(x) + 1.0 / 12 AS b, covar_pop(y, x) AS c FROM label_pixels WHERE label <> 0 GROUP BY label),
+ rg AS (SELECT *, (a + b) / 2 + sqrt((a - b) * (a - b) / 4 + c * c) AS big, (a + b) / 2 - sqrt((a - b) * (a - b) / 4 + c * c) AS small FROM mo),
+ ce AS MATERIALIZED (SELECT label, y, x, c, val, min(val) OVER w AS lo, max(val) OVER w AS hi FROM label_pixels JOIN pixels USING (y, x) WHERE label <> 0 WINDOW w AS (PARTITION BY label, c)),
+ su AS (SELECT label, c, avg(val) AS mean, stddev_pop(val) AS std, min(val) AS min, max(val) AS max FROM ce GROUP BY label, c),
+ hb AS (SELECT label, c, least(floor((val - lo) / ((CASE WHEN hi > lo THEN hi ELSE lo + 1 END - lo) / 16)), 15) AS k FROM ce), hi AS (SELECT label, c, b, avg((k = b)::INT) AS share FROM hb, range(16) r(b) GROUP BY ALL),
+ fu AS MATERIALIZED (SELECT bx.label, ch.c, yy AS y, xx AS x, coalesce(CASE WHEN hi > lo THEN round_even((val - lo) / (hi - lo) * 31, 0) END, 0) AS q FROM bx, (SELECT DISTINCT c FROM pixels) ch, LATERAL (SELECT unnest(range(y0, y1 + 1)) AS yy) u, LATERAL (SELECT unnest(range(x0, x1 + 1)) AS xx) v LEFT JOIN ce ON ce.label = bx.label AND ce.c = ch.c AND ce.y = yy AND ce.x = xx),
+ pr AS (SELECT a.label, a.c, a.q AS i, b.q AS j FROM fu a JOIN fu b ON a.label = b.label AND a.c = b.c AND a.y = b.y AND b.x = a.x + 1), sy AS (SELECT label, c, i, j, count(*) AS n FROM (SELECT * FROM pr UNION ALL SELECT label, c, j, i FROM pr) GROUP BY ALL), pp AS (SELECT *, n / sum(n) OVER (PARTITION BY label, c) AS p FROM sy),
+ te AS (SELECT label, c, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sum(p * p) AS asm_, sum(p * i) AS m, sum(p * i * i) AS q, sum(p * i * j) AS ij FROM pp GROUP BY ALL),
+ al AS MATERIALIZED ({_rows("rg", _SHAPES)} UNION ALL {_rows("su", [(n, n) for n in ("mean", "std", "min", "max")], channel)} UNION ALL SELECT label, 'histogram_bin' || b || '__' || c, share FROM hi UNION ALL {_rows("te", texture, channel)})
+ SELECT label, feature, round(value, 6) AS value FROM al QUALIFY min(round(value, 9)) OVER (PARTITION BY feature) <> max(round(value, 9)) OVER (PARTITION BY feature) OR count(*) OVER (PARTITION BY feature) = 1"""
+
+
+CELL_FEATURES = _cell_features()
