@@ -143,4 +143,17 @@ SELECT jd.id AS doc_id, coalesce(jn.n, 0)::BIGINT AS n_shingles, comp.component
 FROM jd LEFT JOIN jn ON jn.id = jd.id JOIN comp ON comp.id = jd.id
 """
 
-ORACLES: dict[str, str] = {"op3_rendezvous_shards": _op3(), "op4_url_templates": _op4(), "op7_content_sort": OP7, "op8_line_rules": _op8(), "op10_ngram_jaccard": OP10}
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body, sha256(concat('42:', coalesce(doc_id::VARCHAR, ''))) AS h FROM documents),
+t AS (SELECT *, regexp_extract_all(body, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+ ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(tokens)::BIGINT AS n, h1 % (len(tokens) + 1) AS c1, h2 % (len(tokens) + 1) AS c2,
+ CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, array_to_string(tokens[1:least(c1, c2)], '') AS head, array_to_string(tokens[least(c1, c2) + 1:greatest(c1, c2)], '') AS core, array_to_string(tokens[greatest(c1, c2) + 1:], '') AS tail FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(core) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN concat('<P>', head, '<S>', tail, '<M>', core) ELSE concat('<S>', tail, '<P>', head, '<M>', core) END) AS output_sha256,
+ sha256(body) AS restored_sha256
+FROM p
+"""
+
+ORACLES: dict[str, str] = {"op3_rendezvous_shards": _op3(), "op4_url_templates": _op4(), "op7_content_sort": OP7, "op8_line_rules": _op8(), "op10_ngram_jaccard": OP10, "op13_fill_middle": OP13}
