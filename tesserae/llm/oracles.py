@@ -14,6 +14,18 @@ FROM d JOIN g ON d.body = g.body
 """
 
 
+def _crc_rule() -> str:
+    """SQL for the 256 entries of the CRC-32 table, from its rule."""
+    half = lambda x: f"CASE WHEN {x} & 1 = 1 THEN xor({x} >> 1, 3988292384) ELSE {x} >> 1 END"
+    steps = "range(256)"
+    for _ in range(8):
+        steps = f"list_transform({steps}, lambda v: {half('v')})"
+    return f"SELECT {steps} AS rule"
+
+
+_CRC_RULE = _crc_rule()
+
+
 def _op3(shards: int = 8, buckets: int = 1024) -> str:
     number = lambda text: f"('0x' || substr(md5({text}), 1, 13))::BIGINT"
     key = "coalesce(doc_id::VARCHAR, '')"
@@ -143,6 +155,50 @@ SELECT jd.id AS doc_id, coalesce(jn.n, 0)::BIGINT AS n_shingles, comp.component
 FROM jd LEFT JOIN jn ON jn.id = jd.id JOIN comp ON comp.id = jd.id
 """
 
+def _op12() -> str:
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    more = lambda way, cost, edit: f"concat(lpad((substr({way}, 1, 9)::INT + {cost})::VARCHAR, 9, '0'), substr({way}, 10), '{edit}')"
+    never = "'999000000'"
+    # A way is its cost in nine digits and its audit; a state has those to nothing yet, s, u and a.
+    u_in = lambda z, s, u, a: f"least({u}, {more(z, 5, 'I')}, {more(s, 5, 'I')}, {more(a, 5, 'I')})"
+    go = "CASE WHEN x[1] IN ('b', 'd') THEN [{z}, {s}, {u}, {a}] ELSE [{z}, least({s}, {ks}), least({u}, {ku}), least({a}, {ka})] END"
+    extra = "CASE WHEN x[1] BETWEEN 'A' AND 'Z' THEN 5 ELSE 0 END"
+    way = {"z": "w[1]", "s": "w[2]", "u": "w[3]", "a": "w[4]"}
+    kept = lambda frm, to: f"CASE WHEN lower(x[1]) = '{to}' THEN {more(frm, extra, 'K')} ELSE {more(frm, f'1 + {extra}', 'R')} END"
+    step = go.format(
+        **{k: more(v, 2, "D") for k, v in way.items()},
+        ks=f"CASE WHEN lower(x[1]) = 's' THEN {more('w[1]', extra, 'K')} ELSE {never} END",
+        ku=f"least({kept('w[1]', 'u')}, {kept('w[2]', 'u')}, {kept('w[4]', 'u')})",
+        ka=kept("w[3]", "a"),
+    )
+    opened = lambda x: f"list_transform([{x}], lambda q: [q[1], q[2], {u_in('q[1]', 'q[2]', 'q[3]', 'q[4]')}, q[4]])[1]"
+    closed = lambda x: f"list_transform([{opened(x)}], lambda q: [q[1], q[2], q[3], least(q[4], {more('q[3]', 5, 'I')})])[1]"
+    begin = closed(f"['000000000', {never}, {never}, {never}]")
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS body, o, crc FROM (
+ SELECT *, row_number() OVER () AS o, list_reduce(list_transform(range(1, strlen(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT), lambda a, b: xor(a >> 8, rule[(xor(a, b) & 255) + 1]), 4294967295::BIGINT) AS crc
+ FROM (SELECT *, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS k FROM conversations), ({_CRC_RULE}))),
+k AS (SELECT *, xor(crc, 4294967295) % 20 AS kind FROM c),
+r AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(body, '.!?', '') ELSE body END AS body, o, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS rep FROM k),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body, o, rep) AS i, row_number() OVER (PARTITION BY conv_id, role, body ORDER BY turn NULLS FIRST, o, rep) AS again,
+ lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body, o, rep) AS before FROM r),
+f AS (SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS initial, regexp_matches(body, '[.!?]{space}*\\z') AS ended FROM n),
+g AS (SELECT *, CASE WHEN NOT regexp_matches(body, '{word}') THEN 'b' WHEN again > 1 THEN 'd' WHEN ended THEN initial ELSE upper(initial) END AS letter FROM f),
+t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (letter = 'b')::BIGINT AS blank, count(*) FILTER (letter = 'd')::BIGINT AS duplicate,
+ count(*) FILTER (letter BETWEEN 'A' AND 'Z')::BIGINT AS truncated, count(*) FILTER (before IS NOT NULL AND concat(before, left(role, 1)) NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal,
+ list([letter] ORDER BY i) AS letters FROM g GROUP BY conv_id),
+w AS (SELECT * EXCLUDE (letters), list_reduce(letters, lambda w, x: {closed(step)}, {begin}) AS ways FROM t),
+p AS (SELECT * EXCLUDE (ways), substr(least(ways[1], ways[4]), 10) AS audit, substr(least(ways[1], ways[4]), 1, 9)::BIGINT AS cost FROM w),
+e AS (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS j FROM p),
+a AS (SELECT conv_id, j, audit[j] AS edit, j - len(translate(audit[1:j], 'DKR', '')) AS i, len(translate(audit[1:j], 'D', '')) AS place FROM e WHERE audit[j] <> 'D'),
+l AS (SELECT a.conv_id, a.place, CASE WHEN edit = 'K' THEN g.role ELSE NULL END AS own, CASE WHEN edit = 'I' THEN '' ELSE g.body END AS body, first_value(CASE WHEN edit = 'K' AND g.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY a.conv_id ORDER BY place) AS lead
+ FROM a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id AND g.i = a.i AND edit <> 'I'),
+h AS (SELECT conv_id, string_agg(concat(coalesce(own, CASE WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END), ':', body), chr(10) ORDER BY place) AS whole FROM l GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
 OP13 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body, sha256(concat('42:', coalesce(doc_id::VARCHAR, ''))) AS h FROM documents),
 t AS (SELECT *, regexp_extract_all(body, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
@@ -156,4 +212,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head) END AS prefi
 FROM p
 """
 
-ORACLES: dict[str, str] = {"op3_rendezvous_shards": _op3(), "op4_url_templates": _op4(), "op7_content_sort": OP7, "op8_line_rules": _op8(), "op10_ngram_jaccard": OP10, "op13_fill_middle": OP13}
+ORACLES: dict[str, str] = {"op3_rendezvous_shards": _op3(), "op4_url_templates": _op4(), "op7_content_sort": OP7, "op8_line_rules": _op8(), "op10_ngram_jaccard": OP10, "op12_turn_repair": _op12(), "op13_fill_middle": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import exact_dedup, fill_middle, langid, merge_dropout, ngram_join, packing, quality, shards, suffix_dedup, token_counts, url_filter
+from tesserae.llm import exact_dedup, fill_middle, langid, merge_dropout, ngram_join, packing, quality, shards, suffix_dedup, token_counts, turn_repair, url_filter
 from tesserae.llm.oracles import ORACLES, URL_RULES
 from tesserae.session import table
 
@@ -79,6 +79,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.rearrange(table(spark, sf_dir, "documents"))
     digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
@@ -104,5 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_rules": op8_line_rules,
     "op9_swap_packing": op9_swap_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_turn_repair": op12_turn_repair,
     "op13_fill_middle": op13_fill_middle,
 }
