@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import exact_dedup, fill_middle, langid, merge_dropout, ngram_join, packing, quality, shards, suffix_dedup, token_counts, turn_repair, url_filter
+from tesserae.llm import decontaminate, exact_dedup, fill_middle, langid, merge_dropout, ngram_join, packing, quality, shards, suffix_dedup, token_counts, turn_repair, url_filter
 from tesserae.llm.oracles import ORACLES, URL_RULES
 from tesserae.session import table
 
@@ -79,6 +79,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op11_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = decontaminate.automata(table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find(table(spark, sf_dir, "documents"), blocks)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        decontaminate.n_hit(F.col("spans")).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")))
 
@@ -108,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_rules": op8_line_rules,
     "op9_swap_packing": op9_swap_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_suffix_automaton": op11_suffix_automaton,
     "op12_turn_repair": op12_turn_repair,
     "op13_fill_middle": op13_fill_middle,
 }
