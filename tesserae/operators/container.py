@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators.images import connected_regions, gray, otsu
+from tesserae.operators import blocks, segmentation
+from tesserae.operators.images import gray, otsu
 
 COLUMNS = ["image_id", "layer", "z", "y", "x", "c", "val"]
 SCHEMA = "image_id string, layer string, z long, y long, x long, c int, val double"
@@ -94,15 +96,41 @@ class ImageContainer:
         done = spread.groupBy("image_id", "z", "_ty", "_tx").applyInPandas(run, SCHEMA)
         return ImageContainer(self.pixels.where(F.col("layer") != new_layer).unionByName(done))
 
-    def segment(self, layer: str, new_layer: str = "segmented", threshold: float | None = None, above: bool = True) -> ImageContainer:
-        """Components of the pixels on one side of a threshold, Otsu's if none is given, as labels."""
-        out = self.pixels
-        for row in self.layer(layer).select("image_id", "z").distinct().collect():
-            one = self.layer(layer).where((F.col("image_id") == row["image_id"]) & (F.col("z") == row["z"])).select("y", "x", "c", "val")
-            level = gray(one)
-            cut = F.lit(threshold) if threshold is not None else F.col("threshold")
-            known = level if threshold is not None else level.crossJoin(F.broadcast(otsu(level)))
-            labels = connected_regions(known.where(F.col("val") >= cut if above else F.col("val") < cut))
-            rows = labels.select(F.lit(row["image_id"]).alias("image_id"), F.lit(new_layer).alias("layer"), F.lit(row["z"]).cast("long").alias("z"), "y", "x", F.lit(0).alias("c"), (F.col("label") + 1).cast("double").alias("val"))
-            out = out.unionByName(rows)
-        return ImageContainer(out)
+    def segment(
+        self,
+        layer: str,
+        new_layer: str = "segmented",
+        threshold: float | None = None,
+        above: bool = True,
+        method: str | Callable[[np.ndarray], np.ndarray] = "components",
+        channel: int | None = None,
+        chunk: int = blocks.SIZE,
+        depth: int = 30,
+    ) -> ImageContainer:
+        """Adds labels of every image and z, all in one plan; pixels without a label have no row.
+
+        ``components`` of the pixels on one side of a threshold, Otsu's of each image if none is given, touching at
+        corners too; ``watershed`` (``segmentation.watershed``); or a function of chunks
+        (``segmentation.segment_chunks``).  Without ``channel`` the first two use the gray level.
+        """
+        rows = self.layer(layer).select(F.concat_ws("/", "z", "image_id").alias("img"), "y", "x", "c", "val")
+        if channel is not None:
+            rows = rows.where(F.col("c") == channel).withColumn("c", F.lit(0))
+        if callable(method):
+            made = segmentation.segment_chunks(blocks.to_blocks(rows, chunk), method, depth)
+        else:
+            level = gray(rows) if channel is None else rows.drop("c")
+            if method == "watershed":
+                made = segmentation.watershed(blocks.to_blocks(level.withColumn("c", F.lit(0)), chunk), threshold, above)
+            elif method == "components":
+                known = level.withColumn("threshold", F.lit(float(threshold))) if threshold is not None else level.join(otsu(level, by=["img"]), "img")
+                mask = known.where(F.col("val") >= F.col("threshold") if above else F.col("val") < F.col("threshold"))
+                found = blocks.label_components(blocks.to_blocks(mask.select("img", "y", "x", F.lit(0).alias("c"), F.lit(1.0).alias("val")), chunk), 0, diagonal=True)
+                # A row of numbers is one longer than the mask is wide.
+                made = blocks.map_blocks(found, lambda a, tile: (np.where(a > 0, a + (a - 1) // tile.iw, 0.0), 0.0))
+            else:
+                raise ValueError(f"unknown method {method}")
+        labels = blocks.to_pixels(made, 0, above=0.0)
+        place = F.split("img", "/", 2)
+        out = labels.select(place[1].alias("image_id"), F.lit(new_layer).alias("layer"), place[0].cast("long").alias("z"), "y", "x", "c", "val")
+        return ImageContainer(self.pixels.where(F.col("layer") != new_layer).unionByName(out))

@@ -202,19 +202,20 @@ def tile_specs(cells: DataFrame, size: int) -> DataFrame:
     return at.crossJoin(F.broadcast(margin))
 
 
-def otsu(values: DataFrame, bins: int = 256) -> DataFrame:
-    """One row: the threshold that maximises the variance between both sides."""
-    edges = values.agg(F.min("val").alias("lo"), F.max("val").alias("hi"))
+def otsu(values: DataFrame, bins: int = 256, by: Sequence[str] = ()) -> DataFrame:
+    """The threshold that maximises the variance between both sides: one row, or one for each group of ``by``."""
+    edges = values.groupBy(*by).agg(F.min("val").alias("lo"), F.max("val").alias("hi"))
     k = bin_of(F.col("val"), F.col("lo"), F.col("hi"), bins)
-    n = values.crossJoin(F.broadcast(edges)).where("hi > lo").groupBy(k.alias("k"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    ranged = values.join(edges, list(by)) if by else values.crossJoin(F.broadcast(edges))
+    n = ranged.where("hi > lo").groupBy(*by, k.alias("k"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
     center = F.col("lo") + (F.col("k") + 0.5) * (F.col("hi") - F.col("lo")) / bins
-    up = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # over the bins, not the pixels
-    all_ = Window.partitionBy(F.lit(0))
-    cum = n.withColumn("t", center).select("k", "t", F.sum("n").over(up).alias("w0"), F.sum(F.col("n") * F.col("t")).over(up).alias("s0"), F.sum("n").over(all_).alias("w"), F.sum(F.col("n") * F.col("t")).over(all_).alias("s"))
+    all_ = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    up = all_.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # over the bins, not the pixels
+    cum = n.withColumn("t", center).select(*by, "k", "t", F.sum("n").over(up).alias("w0"), F.sum(F.col("n") * F.col("t")).over(up).alias("s0"), F.sum("n").over(all_).alias("w"), F.sum(F.col("n") * F.col("t")).over(all_).alias("s"))
     w1 = F.col("w") - F.col("w0")
     gap = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / w1
     scored = cum.where(F.col("w0") < F.col("w")).withColumn("v", F.round(F.col("w0") * w1 * gap * gap / (F.col("w") * F.col("w")), 9))
-    return scored.agg(F.max_by("t", F.struct("v", -F.col("k"))).alias("threshold"))
+    return scored.groupBy(*by).agg(F.max_by("t", F.struct("v", -F.col("k"))).alias("threshold"))
 
 
 def connected_regions(mask: DataFrame, diagonal: bool = True) -> DataFrame:

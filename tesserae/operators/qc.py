@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.stats import quantile
 from tesserae.operators.components import connected_components
 from tesserae.operators.graph import knn_edges
 from tesserae.operators.images import bin_of, gray
+from tesserae.operators.outline import cut_scores
+from tesserae.session import materialise
 
 #: Optical densities of hematoxylin, eosin and DAB in red, green and blue.
 HED = ((0.65, 0.70, 0.29), (0.07, 0.99, 0.11), (0.27, 0.57, 0.78))
@@ -142,15 +143,6 @@ def unfocus(metrics: DataFrame, names: list[str], threshold: float = 0.1) -> Dat
     return out.withColumn("unfocus_score", score).withColumn("is_outlier", F.col("unfocus_score") >= 1 - threshold)
 
 
-def mad_outliers(df: DataFrame, value: str, nmads: float, out: str = "is_outlier") -> DataFrame:
-    """Values above the median by so many scaled median deviations."""
-    m = df.agg(F.percentile(value, 0.5).alias("_m"))
-    with_m = df.crossJoin(F.broadcast(m))
-    mad = with_m.agg((F.percentile(F.abs(F.col(value) - F.col("_m")), 0.5) * 1.4826).alias("_s"))
-    both = with_m.crossJoin(F.broadcast(mad))
-    return both.withColumn(out, F.coalesce((F.col("_s") > 0) & (F.col(value) > F.col("_m") + nmads * F.col("_s")), F.lit(False))).drop("_m", "_s")
-
-
 def straight_sides(labels: DataFrame) -> DataFrame:
     """``label, side, at, start, stop, run``: the longest run of pixels on each side of a label's box."""
     own = labels.where("label <> 0")
@@ -164,21 +156,41 @@ def straight_sides(labels: DataFrame) -> DataFrame:
     return runs.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "island")
 
 
-def cut_scores(labels: DataFrame, min_area: int = 20) -> DataFrame:
-    """``label, score``: the longest straight side in units of the equivalent diameter."""
-    area = labels.where("label <> 0").groupBy("label").agg(F.count(F.lit(1)).alias("area"), F.avg(F.col("y").cast("double")).alias("y"), F.avg(F.col("x").cast("double")).alias("x"))
-    side = straight_sides(labels).groupBy("label").agg(F.max("run").alias("run"))
-    return area.join(side, "label").select("label", "area", "y", "x", F.when(F.col("area") >= min_area, F.col("run") / F.sqrt(4 * F.col("area") / math.pi)).alias("score"))
+def tiling_qc(labels: DataFrame, n_neighbors: int = 10, nmads_cut: float | None = 1.5, nmads_smoothed: float | None = 3.0, min_area: int = 20) -> DataFrame:
+    """Scores of ``outline.cut_scores``, smoothed over the nearest cells, and cells that stand out.
 
-
-def tiling_qc(labels: DataFrame, n_neighbors: int = 10, nmads_cut: float = 1.5, nmads_smoothed: float = 3.0) -> DataFrame:
-    """Cut scores, scores smoothed over the nearest cells, and cells that stand out in both."""
-    scored = cut_scores(labels)
+    ``smoothed_cut_score`` is the score times the mean score around; ``is_outlier`` asks both
+    scores to lie so many scaled median deviations over their medians.  A score without
+    any deviation asks nothing, and ``None`` switches it off.  ``nhood_outlier_fraction`` is
+    the share of outliers among the nearest cells.  Cells too small for a score count as 0.
+    """
+    if nmads_cut is None and nmads_smoothed is None:
+        raise ValueError("at least one score must be asked for")
+    if n_neighbors < 1 or (nmads_cut is not None and nmads_cut <= 0):
+        raise ValueError("n_neighbors and nmads_cut must be positive")
+    scored = materialise(cut_scores(labels, min_area=min_area), "scores")
     points = scored.select(F.lit(0).alias("lib"), F.col("label").alias("id"), "x", "y")
-    near = knn_edges(points, n_neighbors).join(scored.select(F.col("label").alias("dst"), F.coalesce("score", F.lit(0.0)).alias("s")), "dst").groupBy(F.col("src").alias("label")).agg(F.avg("s").alias("around"))
-    both = scored.join(near, "label", "left").withColumn("smoothed", F.col("score") * F.coalesce("around", F.lit(0.0)))
-    out = mad_outliers(mad_outliers(both, "score", nmads_cut, "_a"), "smoothed", nmads_smoothed, "_b")
-    return out.select("label", "score", "smoothed", (F.col("_a") & F.col("_b")).alias("is_outlier"))
+    near = materialise(knn_edges(points, n_neighbors).select(F.col("src").alias("label"), F.col("dst")), "near")
+    filled = F.coalesce("cut_score", F.lit(0.0))
+    around = near.join(scored.select(F.col("label").alias("dst"), filled.alias("s")), "dst").groupBy("label").agg(F.avg("s").alias("around"))
+    alone = F.col("around").isNull()  # a single cell
+    both = materialise(scored.join(around, "label", "left").withColumn("_cut", filled).withColumn("smoothed_cut_score", F.when(alone, F.col("cut_score")).otherwise(F.col("_cut") * F.col("around"))), "smoothed")
+    gates = [gate for gate in (_gate(both, "_cut", nmads_cut), _gate(both, "smoothed_cut_score", nmads_smoothed)) if gate is not None]
+    out = F.lit(True) if gates else F.lit(False)
+    for gate in gates:
+        out = out & F.coalesce(gate, F.lit(False))
+    judged = both.withColumn("is_outlier", out & ~alone)
+    share = near.join(judged.select(F.col("label").alias("dst"), F.col("is_outlier").cast("double").alias("o")), "dst").groupBy("label").agg(F.avg("o").alias("nhood_outlier_fraction"))
+    return judged.drop("_cut", "around").join(share, "label", "left").withColumn("nhood_outlier_fraction", F.coalesce("nhood_outlier_fraction", F.lit(0.0)))
+
+
+def _gate(df: DataFrame, value: str, nmads: float | None) -> Column | None:
+    """Whether a value lies far enough over the median; nothing without deviations."""
+    middle = quantile(df, value, 0.5)
+    if nmads is None or middle is None:
+        return None
+    spread = quantile(df.select(F.abs(F.col(value) - middle).alias("d")), "d", 0.5)
+    return F.col(value) >= middle + nmads * spread * 1.4826 if spread >= 1e-12 else None
 
 
 def stitch_groups(labels: DataFrame, max_gap: int = 3, min_iou: float = 0.2, min_run: int = 5, max_size: int = 4) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import cell_features, container, images, qc, sepal, stain, tiling
+from tesserae.operators import blocks, cell_features, container, images, outline, qc, segmentation, sepal, stain, tiling
 from tesserae.plans import tile_sql
 from tesserae.sources import views
 
@@ -32,6 +32,7 @@ def _r(*names: str) -> list[F.Column]:
 
 PX = views.with_views("pixels")
 LB = views.with_views("pixels", "label_pixels")
+CL = views.with_views("cell_pixels")
 _TILED = PX + ", t AS MATERIALIZED (SELECT *, floor(y / 16.0)::BIGINT AS ty, floor(x / 21.0)::BIGINT AS tx FROM pixels), g AS MATERIALIZED (SELECT ty, tx, y, x, sum(val * CASE c WHEN 0 THEN 0.2126 WHEN 1 THEN 0.7152 ELSE 0.0722 END) AS val FROM t GROUP BY ALL)"
 
 
@@ -249,25 +250,46 @@ def _(spark, sf):
     return qc.high_frequencies(images.gray(_tiled(spark, sf), "qc")).select("ty", "tx", *_r("fft_high_freq_energy"))
 
 
-@register(
-    "cut_scores",
-    LB
-    + """, o AS (SELECT label, count(*) AS area, avg(y) AS y, avg(x) AS x, max(x) - min(x) + 1 AS wx, max(y) - min(y) + 1 AS wy FROM label_pixels WHERE label <> 0 GROUP BY label)
- SELECT label, area, y, x, round(CASE WHEN area >= 20 THEN greatest(wx, wy) / sqrt(4 * area / pi()) END, 6) AS score FROM o""",
-)
+@register("cut_scores", CL + tile_sql.CUT_SCORES + " SELECT label, area, y, x, round(ratio, 6) AS max_straight_edge_ratio, round(aligned, 6) AS cardinal_alignment_score, round(ratio * aligned, 6) AS cut_score FROM sc")
+def _(spark, sf):
+    return outline.cut_scores(views.cell_pixels(spark, sf)).select("label", "area", "y", "x", *_r("max_straight_edge_ratio", "cardinal_alignment_score", "cut_score"))
+
+
+@register("tiling_qc", CL + tile_sql.TILING_QC)
+def _(spark, sf):
+    return qc.tiling_qc(views.cell_pixels(spark, sf)).select("label", *_r("cut_score", "smoothed_cut_score"), "is_outlier", *_r("nhood_outlier_fraction"))
+
+
+@register("stitched_labels", CL + tile_sql.STITCHED)
 def _(spark, sf):
-    return qc.cut_scores(views.label_pixels(spark, sf)).select("label", "area", "y", "x", *_r("score"))
+    labels = views.cell_pixels(spark, sf)
+    return qc.stitched_labels(labels, qc.stitch_groups(labels))
 
 
-@register("tiling_qc", LB + tile_sql.TILING_QC)
+@register("watershed")
 def _(spark, sf):
-    return qc.tiling_qc(views.label_pixels(spark, sf)).select("label", *_r("score", "smoothed"), "is_outlier")
+    cells = views.cell_pixels(spark, sf, least=11, cut=False)  # large enough to touch
+    labels = segmentation.watershed(blocks.to_blocks(cells.select("y", "x", F.lit(0).alias("c"), F.lit(1.0).alias("val"))), thresh=0.5)
+    return blocks.to_pixels(labels, 0, above=0.0).select("y", "x", F.col("val").cast("long").alias("label"))
 
 
-@register("stitched_labels", LB + tile_sql.STITCHED)
+@register("segment_chunked", CL + " SELECT count(*) AS area, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1 FROM cell_pixels GROUP BY label")
+def _(spark, sf):
+    image = blocks.to_blocks(views.cell_pixels(spark, sf).select("y", "x", F.lit(0).alias("c"), F.lit(1.0).alias("val")), 128)
+    parts = segmentation.segment_chunks(image, segmentation.bright_regions, depth=0)
+    rows = blocks.to_pixels(parts, 0, above=0.0)
+    return rows.groupBy("val").agg(F.count(F.lit(1)).alias("area"), F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.max("x").alias("x1")).drop("val")
+
+
+@register(
+    "distance_transform",
+    CL + """, b AS (SELECT yy AS y, xx AS x FROM (SELECT max(y) AS h, max(x) AS w FROM cell_pixels), LATERAL (SELECT unnest(range(h + 1)) AS yy) u, LATERAL (SELECT unnest(range(w + 1)) AS xx) v ANTI JOIN cell_pixels p ON p.y = yy AND p.x = xx),
+ r AS (SELECT DISTINCT y // 8 AS ty, x // 8 AS tx FROM cell_pixels), n AS (SELECT y, x, ty + i AS ty, tx + j AS tx FROM (SELECT *, y // 8 AS ty, x // 8 AS tx FROM b), range(-2, 3) p(i), range(-2, 3) q(j)), m AS (SELECT n.* FROM n SEMI JOIN r USING (ty, tx))
+ SELECT c.y, c.x, min((c.y - m.y) * (c.y - m.y) + (c.x - m.x) * (c.x - m.x)) AS squared FROM (SELECT *, y // 8 AS ty, x // 8 AS tx FROM cell_pixels) c JOIN m USING (ty, tx) GROUP BY c.y, c.x""",
+)
 def _(spark, sf):
-    labels = views.label_pixels(spark, sf)
-    return qc.stitched_labels(labels, qc.stitch_groups(labels, max_size=1000))
+    image = blocks.to_blocks(views.cell_pixels(spark, sf).select("y", "x", F.lit(0).alias("c"), F.lit(1.0).alias("val")), 128)
+    return blocks.to_pixels(segmentation.distance_transform(image), 1, above=0.0).select("y", "x", F.col("val").cast("long").alias("squared"))
 
 
 @register("stain_density", PX + ", w AS (SELECT y, x, max(val) FILTER (c = 0) AS r, max(val) FILTER (c = 1) AS g, max(val) FILTER (c = 2) AS b FROM pixels GROUP BY y, x) SELECT y, x, round(-ln((r + 1) / 256.0), 6) AS r, round(-ln((g + 1) / 256.0), 6) AS g, round(-ln((b + 1) / 256.0), 6) AS b FROM w")

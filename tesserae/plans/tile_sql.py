@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tesserae.operators import qc, stain
+from tesserae.operators import outline, qc, stain
 
 
 def _inverse_stains() -> tuple[str, str]:
@@ -47,25 +47,37 @@ HIGH_FREQUENCIES = """, o AS MATERIALIZED (SELECT ty, tx, y - min(y) OVER w AS y
  en AS (SELECT ty, tx, re * re + im * im AS e, (u - CASE WHEN 2 * u >= h THEN h ELSE 0 END) / h AS fu, (v - CASE WHEN 2 * v >= wd THEN wd ELSE 0 END) / wd AS fv FROM fr)
  SELECT ty, tx, round(CASE WHEN sum(e) > 0 THEN coalesce(sum(e) FILTER (sqrt(fu * fu + fv * fv) > 0.1), 0) / sum(e) ELSE 0 END, 6) AS fft_high_freq_energy FROM en GROUP BY ty, tx"""
 
-_BOX = """, o AS (SELECT label, y, x, min(y) OVER w AS y0, max(y) OVER w AS y1, min(x) OVER w AS x0, max(x) OVER w AS x1 FROM label_pixels WHERE label <> 0 WINDOW w AS (PARTITION BY label)),
+_BOX = """, o AS (SELECT label, y, x, min(y) OVER w AS y0, max(y) OVER w AS y1, min(x) OVER w AS x0, max(x) OVER w AS x1 FROM cell_pixels WINDOW w AS (PARTITION BY label)),
  sd AS (SELECT label, 'top' AS side, y AS edge, x AS pos FROM o WHERE y = y0 UNION ALL SELECT label, 'bottom', y, x FROM o WHERE y = y1 UNION ALL SELECT label, 'left', x, y FROM o WHERE x = x0 UNION ALL SELECT label, 'right', x, y FROM o WHERE x = x1),
  il AS (SELECT *, pos - row_number() OVER (PARTITION BY label, side ORDER BY pos) AS island FROM sd), rn AS (SELECT label, side, edge, min(pos) AS a, max(pos) AS z, count(*) AS run FROM il GROUP BY label, side, edge, island),
  sides AS MATERIALIZED (SELECT * FROM rn QUALIFY row_number() OVER (PARTITION BY label, side ORDER BY run DESC, a) = 1)"""
 
-_ABOVE = "coalesce({s} > 0 AND {v} > {m} + {n} * {s}, false)"
+#: Follows the view ``cell_pixels``: pixel sides that only one pixel of a label has, walked from corner to corner, and all chords between them.
+_SIDES = ", ".join(str((*m, *a, *b)) for m, (a, b) in outline._SIDES.items())
+_CHORD = "sqrt((ys[e] - ys[i]) * (ys[e] - ys[i]) + (xs[e] - xs[i]) * (xs[e] - xs[i]))"
+CUT_SCORES = f""", cr AS MATERIALIZED (SELECT label, 2 * y + my AS my, 2 * x + mx AS mx, max(2 * y + my + sy) AS sy, max(2 * x + mx + sx) AS sx, max(2 * y + my + ey) AS ey, max(2 * x + mx + ex) AS ex, max(y) AS py, max(x) AS px
+  FROM cell_pixels, (VALUES {_SIDES}) s(my, mx, sy, sx, ey, ex) GROUP BY label, 2 * y + my, 2 * x + mx HAVING count(*) = 1),
+ nx AS MATERIALIZED (SELECT a.label, a.my, a.mx, b.my AS ny, b.mx AS nx FROM cr a JOIN cr b ON a.label = b.label AND b.sy = a.ey AND b.sx = a.ex QUALIFY row_number() OVER (PARTITION BY a.label, a.my, a.mx ORDER BY b.py = a.py AND b.px = a.px DESC) = 1),
+ wk AS (SELECT label, 1 AS i, my, mx, my AS y0, mx AS x0 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY my, mx) AS r FROM cr) WHERE r = 1
+  UNION ALL SELECT wk.label, i + 1, ny, nx.nx, y0, x0 FROM wk JOIN nx USING (label, my, mx) WHERE ny <> y0 OR nx.nx <> x0),
+ ol AS MATERIALIZED (SELECT label, list(my / 2.0 ORDER BY i) AS ys, list(mx / 2.0 ORDER BY i) AS xs, count(*) AS n FROM wk GROUP BY label),
+ ch AS (SELECT label, ys, xs, n, i, gap, (i - 1 + gap) % n + 1 AS e FROM (SELECT *, unnest(range(2, n)) AS gap FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM ol))),
+ fi AS (SELECT label, i, gap, {_CHORD} AS length, abs(atan2(ys[e] - ys[i], xs[e] - xs[i])) % pi() AS angle,
+  list_max(list_transform(range(1, gap), lambda k: abs((ys[e] - ys[i]) * (xs[(i - 1 + k) % n + 1] - xs[i]) - (xs[e] - xs[i]) * (ys[(i - 1 + k) % n + 1] - ys[i])))) / {_CHORD} <= 0.75 AS fits FROM ch),
+ lg AS (SELECT label, length, 1 - least(angle, abs(angle - pi() / 2), abs(angle - pi())) / (pi() / 4) AS aligned FROM fi QUALIFY bool_and(fits) OVER (PARTITION BY label, i ORDER BY gap)),
+ be AS (SELECT label, max(length) AS straight, arg_max(aligned, length * 1e6 + aligned) AS aligned FROM lg GROUP BY label),
+ ar AS (SELECT label, count(*) AS area, avg(y) AS y, avg(x) AS x FROM cell_pixels GROUP BY label),
+ sc AS MATERIALIZED (SELECT label, area, y, x, CASE WHEN area >= 20 THEN straight / sqrt(4 * area / pi()) END AS ratio, CASE WHEN area >= 20 THEN aligned END AS aligned FROM ar JOIN be USING (label))"""
 
 TILING_QC = (
-    _BOX
-    + """, ar AS (SELECT label, count(*) AS area, avg(y) AS y, avg(x) AS x FROM label_pixels WHERE label <> 0 GROUP BY label), rs AS (SELECT label, max(run) AS run FROM sides GROUP BY label),
- sc AS MATERIALIZED (SELECT label, y, x, CASE WHEN area >= 20 THEN run / sqrt(4 * area / pi()) END AS score FROM ar JOIN rs USING (label)),
- nn AS (SELECT a.label, b.score FROM sc a JOIN sc b ON a.label <> b.label QUALIFY row_number() OVER (PARTITION BY a.label ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.label) <= 10),
- au AS (SELECT label, avg(coalesce(score, 0)) AS around FROM nn GROUP BY label), sm AS (SELECT label, score, score * coalesce(around, 0) AS smoothed FROM sc LEFT JOIN au USING (label)),
- m1 AS (SELECT quantile_cont(score, 0.5) AS ma, quantile_cont(smoothed, 0.5) AS mb FROM sm), m2 AS (SELECT 1.4826 * quantile_cont(abs(score - ma), 0.5) AS sa, 1.4826 * quantile_cont(abs(smoothed - mb), 0.5) AS sb FROM sm, m1)
- SELECT label, round(score, 6) AS score, round(smoothed, 6) AS smoothed, """
-    + _ABOVE.format(s="sa", v="score", m="ma", n=1.5)
-    + " AND "
-    + _ABOVE.format(s="sb", v="smoothed", m="mb", n=3.0)
-    + " AS is_outlier FROM sm, m1, m2"
+    CUT_SCORES
+    + """, co AS MATERIALIZED (SELECT *, ratio * aligned AS score, coalesce(ratio * aligned, 0) AS filled FROM sc),
+ nn AS MATERIALIZED (SELECT a.label, b.label AS other, b.filled FROM co a JOIN co b ON a.label <> b.label QUALIFY row_number() OVER (PARTITION BY a.label ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.label) <= 10),
+ sm AS MATERIALIZED (SELECT co.*, filled * around AS smoothed FROM co JOIN (SELECT label, avg(filled) AS around FROM nn GROUP BY label) USING (label)),
+ m1 AS (SELECT quantile_cont(filled, 0.5) AS ma, quantile_cont(smoothed, 0.5) AS mb FROM sm), m2 AS (SELECT quantile_cont(abs(filled - ma), 0.5) AS sa, quantile_cont(abs(smoothed - mb), 0.5) AS sb FROM sm, m1),
+ ou AS MATERIALIZED (SELECT sm.*, (sa >= 1e-12 OR sb >= 1e-12) AND (sa < 1e-12 OR filled >= ma + 1.5 * sa * 1.4826) AND (sb < 1e-12 OR smoothed >= mb + 3.0 * sb * 1.4826) AS out FROM sm, m1, m2)
+ SELECT ou.label, round(score, 6) AS cut_score, round(smoothed, 6) AS smoothed_cut_score, out AS is_outlier, round(share, 6) AS nhood_outlier_fraction
+ FROM ou JOIN (SELECT nn.label, avg(ou.out::INT) AS share FROM nn JOIN ou ON ou.label = nn.other GROUP BY nn.label) USING (label)"""
 )
 
 STITCHED = (
@@ -75,7 +87,7 @@ STITCHED = (
   WHERE (least(p.z, q.z) - greatest(p.a, q.a) + 1) / (greatest(p.z, q.z) - least(p.a, q.a) + 1) >= 0.2),
  both_ AS MATERIALIZED (SELECT a, b FROM met UNION SELECT b, a FROM met), reach AS (SELECT a AS label, a AS other FROM both_ UNION SELECT reach.label, both_.b FROM reach JOIN both_ ON both_.a = reach.other),
  grp AS (SELECT label, min(other) AS grp, count(*) AS n FROM reach GROUP BY label)
- SELECT y, x, coalesce(CASE WHEN n <= 1000 THEN grp END, label) AS label FROM label_pixels LEFT JOIN grp USING (label)"""
+ SELECT y, x, coalesce(CASE WHEN n <= 4 THEN grp END, label) AS label FROM cell_pixels LEFT JOIN grp USING (label)"""
 )
 
 

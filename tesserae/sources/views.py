@@ -77,6 +77,33 @@ def label_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("y", "x", F.when(gap, F.lit(0)).otherwise(label).cast("long").alias("label"))
 
 
+#: Places of cells in ``cell_pixels``, and the sides of the tiles that cut them.
+CELL_STEP, CELL_TILE = 28, 200
+
+
+def cell_pixels(spark: SparkSession, sf_dir: str, least: int = 5, cut: bool = True) -> DataFrame:
+    """``y, x, label``: a slanted ellipse for each embedding, 25 in a row, drawn from its first components.
+
+    Half axes are ``least`` to ``least + 3`` pixels.  With ``cut`` two rows and columns at the
+    borders of tiles are empty and the pieces of a cell are labels of their own.  All is
+    done with whole numbers.
+    """
+    e = lambda i, n: F.pmod(F.round(F.element_at("embedding", i + 1).cast("double") * 10000).cast("long"), F.lit(n))
+    k = F.col("vec_id").cast("long")
+    middle = lambda at, i: at.cast("long") * CELL_STEP + CELL_STEP // 2 + e(i, 3) - 1
+    cells = table(spark, sf_dir, "embeddings").select(k.alias("id"), middle(F.floor(k / 25), 3).alias("cy"), middle(k % 25, 4).alias("cx"), (e(0, 4) + least).alias("a"), (e(1, 4) + least).alias("b"), (e(2, 5) - 2).alias("s"))
+    reach = lambda n: F.explode(F.sequence(F.lit(-n), F.lit(n)))
+    at = cells.withColumn("dy", reach(least + 3)).withColumn("dx", reach(2 * least + 6))
+    u = F.col("dx") * 4 + F.col("s") * F.col("dy")
+    inside = u * u * F.col("a") * F.col("a") + 16 * F.col("dy") * F.col("dy") * F.col("b") * F.col("b") <= 16 * F.col("a") * F.col("a") * F.col("b") * F.col("b")
+    pixels = at.where(inside).select("id", (F.col("cy") + F.col("dy")).alias("y"), (F.col("cx") + F.col("dx")).alias("x")).where("y >= 0 and x >= 0")
+    if not cut:
+        return pixels.groupBy("y", "x").agg(F.max(F.col("id") + 1).alias("label"))
+    tile = lambda c: F.floor(F.col(c) / CELL_TILE).cast("long") % 2
+    whole = lambda c: (F.col(c) < CELL_TILE - 1) | ~(F.col(c) % CELL_TILE).isin(0, CELL_TILE - 1)
+    return pixels.where(whole("y") & whole("x")).groupBy("y", "x").agg(F.max(F.col("id") * 4 + tile("y") * 2 + tile("x") + 1).alias("label"))
+
+
 #: The same views for SQL.
 VIEWS_SQL = {
     "lattice": "SELECT floor(c_custkey / 400.0)::BIGINT AS lib, c_custkey AS id, (c_custkey % 40)::DOUBLE AS x, floor(c_custkey / 40.0)::DOUBLE AS y, c_mktsegment AS cl, c_acctbal AS value FROM customer",
@@ -85,6 +112,11 @@ VIEWS_SQL = {
     "expr": "SELECT vec_id AS id, concat('g', i) AS gene, round(embedding[i + 1]::DOUBLE, 4) AS value FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)",
     "counts": "SELECT * FROM (SELECT id, gene, floor(greatest(value, 0.0) * 20)::DOUBLE AS value FROM expr) WHERE value > 0",
     "pixels": "SELECT vec_id::BIGINT AS y, floor(i / 3.0)::BIGINT AS x, (i % 3)::INT AS c, least(greatest(floor((round(embedding[i + 1]::DOUBLE, 4) + 1) * 127.5), 0), 255)::DOUBLE AS val FROM embeddings, range(63) r(i)",
+    "cell_pixels": f"""SELECT y, x, max(id * 4 + y // {CELL_TILE} % 2 * 2 + x // {CELL_TILE} % 2 + 1) AS label FROM (SELECT id, cy + dy AS y, cx + dx AS x FROM (
+ SELECT vec_id::BIGINT AS id, (vec_id // 25) * {CELL_STEP} + {CELL_STEP // 2} + (q[4] % 3 + 3) % 3 - 1 AS cy, (vec_id % 25) * {CELL_STEP} + {CELL_STEP // 2} + (q[5] % 3 + 3) % 3 - 1 AS cx, (q[1] % 4 + 4) % 4 + 5 AS a, (q[2] % 4 + 4) % 4 + 5 AS b, (q[3] % 5 + 5) % 5 - 2 AS s
+ FROM (SELECT vec_id, list_transform(embedding[1:5], lambda v: round(v::DOUBLE * 10000)::BIGINT) AS q FROM embeddings)), range(-8, 9) i(dy), range(-16, 17) j(dx)
+ WHERE (dx * 4 + s * dy) * (dx * 4 + s * dy) * a * a + 16 * dy * dy * b * b <= 16 * a * a * b * b)
+ WHERE y >= 0 AND x >= 0 AND (y < {CELL_TILE - 1} OR y % {CELL_TILE} NOT IN (0, {CELL_TILE - 1})) AND (x < {CELL_TILE - 1} OR x % {CELL_TILE} NOT IN (0, {CELL_TILE - 1})) GROUP BY y, x""",
     "label_pixels": "SELECT y, x, (CASE WHEN y % 10 < 2 OR x % 7 < 2 THEN 0 ELSE floor(y / 10.0) * 3 + floor(x / 7.0) + 1 END)::BIGINT AS label FROM pixels WHERE c = 0",
 }
 
