@@ -26,6 +26,7 @@ SIZE = 256
 KEYS = ["img", "by", "bx"]
 _FRAME = "img string, by long, bx long, ih long, iw long, size int"
 SCHEMA = _FRAME + ", planes int, h int, w int, data binary, stat double"
+_PART = _FRAME + ", y long, x long, planes int, h int, w int, data binary"
 NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
 
 
@@ -166,26 +167,26 @@ def map_overlap(blocks: DataFrame, depth: int, func: Callable[[np.ndarray, Tile]
         placed = Tile(tile.img, tile.y0, tile.x0, tile.h, tile.w, tile.ih, tile.iw, tile.y0 - y0, tile.x0 - x0)
         return _one(row, placed, *func(canvas, placed))
 
-    sent = blocks.mapInPandas(send, _FRAME + ", y long, x long, planes int, h int, w int, data binary")
+    sent = blocks.mapInPandas(send, _PART)
     if only is not None:
         sent = sent.join(only.select(*KEYS).distinct(), KEYS, "left_semi")
     return sent.groupBy(*KEYS).applyInPandas(gather, SCHEMA)
 
 
-def reblock(blocks: DataFrame, size: int) -> DataFrame:
-    """The same images in blocks of another size."""
+def _scatter(a: np.ndarray, y0: int, x0: int, img: str, ih: int, iw: int, size: int) -> list[dict]:
+    """Parts of an array at a place of an image, one for each block of ``size`` that it reaches into."""
+    out = []
+    h, w = a.shape[1:]
+    for ty in range(y0 // size, (y0 + h - 1) // size + 1):
+        for tx in range(x0 // size, (x0 + w - 1) // size + 1):
+            ya, yb = max(ty * size, y0), min((ty + 1) * size, y0 + h)
+            xa, xb = max(tx * size, x0), min((tx + 1) * size, x0 + w)
+            out.append({"img": img, "by": ty, "bx": tx, "ih": ih, "iw": iw, "size": size, "y": ya, "x": xa, **_fields(a[:, ya - y0 : yb - y0, xa - x0 : xb - x0])})
+    return out
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row in _rows(batches):
-            a, tile = _array(row), _tile(row)
-            out = []
-            for ty in range(tile.y0 // size, (tile.y0 + tile.h - 1) // size + 1):
-                for tx in range(tile.x0 // size, (tile.x0 + tile.w - 1) // size + 1):
-                    ya, yb = max(ty * size, tile.y0), min((ty + 1) * size, tile.y0 + tile.h)
-                    xa, xb = max(tx * size, tile.x0), min((tx + 1) * size, tile.x0 + tile.w)
-                    part = _fields(a[:, ya - tile.y0 : yb - tile.y0, xa - tile.x0 : xb - tile.x0])
-                    out.append({"img": row.img, "by": ty, "bx": tx, "ih": tile.ih, "iw": tile.iw, "size": size, "y": ya, "x": xa, **part})
-            yield pd.DataFrame(out)
+
+def _paste(sent: DataFrame) -> DataFrame:
+    """Blocks of the parts that reach into them."""
 
     def gather(parts: pd.DataFrame) -> pd.DataFrame:
         row = next(parts.itertuples(index=False))
@@ -196,7 +197,55 @@ def reblock(blocks: DataFrame, size: int) -> DataFrame:
             canvas[:, y : y + int(part.h), x : x + int(part.w)] = _array(part)
         return _one(row, tile, canvas, 0.0)
 
-    return blocks.mapInPandas(send, _FRAME + ", y long, x long, planes int, h int, w int, data binary").groupBy(*KEYS).applyInPandas(gather, SCHEMA)
+    return sent.groupBy(*KEYS).applyInPandas(gather, SCHEMA)
+
+
+def reblock(blocks: DataFrame, size: int) -> DataFrame:
+    """The same images in blocks of another size."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in _rows(batches):
+            tile = _tile(row)
+            yield pd.DataFrame(_scatter(_array(row), tile.y0, tile.x0, row.img, tile.ih, tile.iw, size))
+
+    return _paste(blocks.mapInPandas(send, _PART))
+
+
+def resize_nearest(blocks: DataFrame, sizes: DataFrame, size: int | None = None) -> DataFrame:
+    """Images of the height and width in ``sizes`` (``img, h, w``): each pixel is the nearest of the old image.
+
+    A place is divided by the scale and rounded, halves to even; the last pixels repeat.
+    """
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def places(start: int, n: int, old: int, new: int) -> np.ndarray:
+            low, high = max(int((start - 1) * new / old), 0), min(int((start + n + 1) * new / old) + 1, new)
+            if start + n == old:
+                high = new
+            at = np.arange(low, high)
+            source = np.clip(np.round(at / (new / old)).astype(np.int64), 0, old - 1)
+            return at[(source >= start) & (source < start + n)], source[(source >= start) & (source < start + n)] - start
+
+        for row in _rows(batches):
+            a, tile = _array(row), _tile(row)
+            ys, from_y = places(tile.y0, tile.h, tile.ih, int(row.new_h))
+            xs, from_x = places(tile.x0, tile.w, tile.iw, int(row.new_w))
+            if len(ys) and len(xs):
+                yield pd.DataFrame(_scatter(a[:, from_y][:, :, from_x], int(ys[0]), int(xs[0]), row.img, int(row.new_h), int(row.new_w), size or int(row.size)))
+
+    return _paste(blocks.join(sizes.select("img", F.col("h").alias("new_h"), F.col("w").alias("new_w")), "img").mapInPandas(send, _PART))
+
+
+def count_values(blocks: DataFrame, plane: int = 0) -> DataFrame:
+    """``img, by, bx, value, n`` of the numbers over 0 in every block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in _rows(batches):
+            a = _array(row)[plane]
+            value, n = np.unique(a[a > 0].astype(np.int64), return_counts=True)
+            yield pd.DataFrame({"img": row.img, "by": row.by, "bx": row.bx, "value": value, "n": n})
+
+    return blocks.mapInPandas(run, "img string, by long, bx long, value long, n long")
 
 
 def settle(blocks: DataFrame, func: Callable[[np.ndarray, Tile], tuple[np.ndarray, float]], label: str, max_rounds: int = 10_000) -> DataFrame:

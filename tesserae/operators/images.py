@@ -230,18 +230,3 @@ def connected_regions(mask: DataFrame, diagonal: bool = True) -> DataFrame:
     edges = moved.join(at.withColumnRenamed("id", "b"), ["y", "x"]).select("a", "b")
     found = connected_components(edges).withColumnsRenamed({"node": "id", "component": "label"})
     return at.join(found, "id", "left").select("y", "x", F.coalesce("label", "id").alias("label"))
-
-
-def detect_tissue(pixels: DataFrame, min_area_share: float = 0.01, n_samples: int | None = None) -> DataFrame:
-    """``y, x, label`` of tissue: Otsu on gray levels, polarity from the corners, small parts dropped."""
-    level = gray(pixels, "tissue")
-    size = level.agg(F.max("y").alias("_h"), F.max("x").alias("_w"), F.percentile("val", 0.5).alias("_median"), F.count(F.lit(1)).alias("_n"))
-    with_size = level.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(otsu(level)))
-    edge = lambda c, n: F.least(F.col(c), F.col(n) - F.col(c)) <= F.greatest(F.floor(F.col(n) * 0.01), F.lit(0))
-    bright = with_size.where(edge("y", "_h") & edge("x", "_w")).agg((F.avg("val") >= F.max("_median")).alias("_bright"))
-    tissue = with_size.crossJoin(F.broadcast(bright)).where(F.when(F.col("_bright"), F.col("val") <= F.col("threshold")).otherwise(F.col("val") > F.col("threshold")))
-    parts = connected_regions(tissue)
-    area = parts.groupBy("label").agg(F.count(F.lit(1)).alias("area")).crossJoin(F.broadcast(size)).where(F.col("area") >= min_area_share * F.col("_n"))
-    if n_samples:
-        area = area.orderBy(F.col("area").desc(), "label").limit(n_samples)
-    return parts.join(area.select("label"), "label", "left_semi").select("y", "x", "label")

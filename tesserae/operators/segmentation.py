@@ -187,15 +187,7 @@ def _name(a: np.ndarray, tile: Tile) -> tuple[np.ndarray, float]:
 
 def number_labels(blocks: DataFrame, plane: int) -> DataFrame:
     """Numbers the labels of every image from 1, in their order."""
-
-    def own(batches):
-        import pandas as pd
-
-        for row in bl._rows(batches):
-            a = bl._array(row)[plane]
-            yield pd.DataFrame({"img": row.img, "by": row.by, "bx": row.bx, "old": np.unique(a[a > 0]).astype(np.int64)})
-
-    there = materialise(blocks.mapInPandas(own, "img string, by long, bx long, old long"), "labels")
+    there = materialise(bl.count_values(blocks, plane).select(*bl.KEYS, F.col("value").alias("old")), "labels")
     numbered = materialise(number_rows(there.select(F.struct("img", "old").alias("k")).distinct(), "k", "n").select("k.img", "k.old", "n"), "numbers")
     first = numbered.groupBy("img").agg((F.min("n") - 1).alias("before"))
     names = numbered.join(first, "img").select("img", "old", (F.col("n") - F.col("before")).alias("new"))

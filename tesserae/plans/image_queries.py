@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import blocks, cell_features, container, images, outline, qc, segmentation, sepal, stain, tiling
+from tesserae.operators import blocks, cell_features, container, images, outline, qc, segmentation, sepal, stain, tiling, tissue
 from tesserae.plans import tile_sql
 from tesserae.sources import views
 
@@ -199,9 +199,14 @@ def _(spark, sf):
     return tiling.classify_tiles(tiling.spot_tiles(spots), mask, size, 0.5).withColumn("tissue_fraction", *_r("tissue_fraction"))
 
 
-@register("detect_tissue")
+@register("detect_tissue", PX + tile_sql.TISSUE)
 def _(spark, sf):
-    return images.detect_tissue(views.pixels(spark, sf), 0.0005)
+    return tissue.detect_tissue(views.pixels(spark, sf), border_margin=(3, 2, 1, 0), min_specimen_share=0.0005, hole_share=0.0005, smoothing_cycles=1)
+
+
+@register("detect_tissue_coarse", PX + tile_sql.TISSUE_COARSE)
+def _(spark, sf):
+    return tissue.detect_tissue(views.pixels(spark, sf), min_specimen_share=0.001, hole_share=0, n_samples=12, max_pixels=2700)
 
 
 @register(

@@ -80,6 +80,54 @@ TILING_QC = (
  FROM ou JOIN (SELECT nn.label, avg(ou.out::INT) AS share FROM nn JOIN ou ON ou.label = nn.other GROUP BY nn.label) USING (label)"""
 )
 
+
+
+def _components(name: str, mask: str, diagonal: bool) -> str:
+    """Tables ``{name}n`` (touching pixels) and ``{name}(y, x, first)``: components of a mask by their first pixels."""
+    near = "abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1" if diagonal else "abs(a.y - b.y) + abs(a.x - b.x) <= 1"
+    return f"""{name}n AS MATERIALIZED (SELECT a.y * 100000 + a.x AS a, b.y * 100000 + b.x AS b FROM {mask} a JOIN {mask} b ON a.y BETWEEN b.y - 1 AND b.y + 1 AND a.x BETWEEN b.x - 1 AND b.x + 1 AND {near} AND (a.y <> b.y OR a.x <> b.x)),
+ {name}r(id, least) USING KEY (id) AS (SELECT y * 100000 + x, y * 100000 + x FROM {mask} UNION SELECT t.b, t.least FROM (SELECT n.b, min(r.least) AS least FROM {name}r r JOIN {name}n n ON n.a = r.id GROUP BY n.b) t JOIN recurring.{name}r k ON k.id = t.b WHERE t.least < k.least),
+ {name} AS MATERIALIZED (SELECT id // 100000 AS y, id % 100000 AS x, least AS first FROM {name}r)"""
+
+
+def _otsu_of(values: str) -> str:
+    """A scalar query: Otsu's threshold of a column ``v``; null if all are equal."""
+    return f"""(WITH e AS (SELECT min(v) AS lo, max(v) AS hi FROM {values}), n AS (SELECT least(floor((v - lo) / ((hi - lo) / 256)), 255)::INT AS k, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n FROM {values}, e WHERE hi > lo GROUP BY 1),
+  t AS (SELECT k, n, lo + (k + 0.5) * (hi - lo) / 256 AS t FROM n), c AS (SELECT k, t, sum(n) OVER (ORDER BY k) AS w0, sum(n * t) OVER (ORDER BY k) AS s0, sum(n) OVER () AS w, sum(n * t) OVER () AS s FROM t)
+  SELECT arg_max(t, v * 1e6 - k * 1e-9) FROM (SELECT k, t, round(w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)) / (w * w), 9) AS v FROM c WHERE w0 < w))"""
+
+
+def _tissue(level: str, margins: tuple[int, int, int, int], hole_share: float) -> str:
+    """Tables up to ``f0(y, x, first)``: components of the solid mask, and ``sz(h, w)``."""
+    top, bottom, left, right = margins
+    inside = f"y >= {top} AND y < h - {bottom} AND x >= {left} AND x < w - {right}"
+    holes = f""", hb AS MATERIALIZED (SELECT l.y, l.x FROM lv l ANTI JOIN m0 USING (y, x)), {_components("ho", "hb", False)},
+ m1 AS MATERIALIZED (SELECT y, x FROM m0 UNION ALL SELECT y, x FROM ho WHERE first IN (SELECT first FROM ho, sz GROUP BY first HAVING count(*) < floor({hole_share} * any_value(h) * any_value(w))))"""
+    return f""", lv AS MATERIALIZED ({level}), sz AS MATERIALIZED (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM lv), vs AS (SELECT val AS v FROM lv), th AS MATERIALIZED (SELECT {_otsu_of("vs")} AS t, quantile_cont(val, 0.5) AS mid FROM lv),
+ co AS (SELECT avg(val) AS mean FROM lv, sz WHERE (y < greatest(1, h // 100) OR y >= h - greatest(1, h // 100)) AND (x < greatest(1, w // 100) OR x >= w - greatest(1, w // 100))),
+ m0 AS MATERIALIZED (SELECT y, x FROM lv, sz, th, co WHERE CASE WHEN mean >= mid THEN val <= t ELSE val >= t END AND {inside}){holes if hole_share else ", m1 AS (SELECT y, x FROM m0)"},
+ {_components("f0", "m1", True)}"""
+
+
+_GRAY = "SELECT y, x, sum(val * CASE c WHEN 0 THEN 0.299 WHEN 1 THEN 0.587 ELSE 0.114 END) AS val FROM pixels GROUP BY y, x"
+_PLUS = "(VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) s(i, j)"
+TISSUE = (
+    _tissue(_GRAY, (3, 2, 1, 0), 0.0005)
+    + f""", fa AS (SELECT first, log10(count(*) + 1e-9) AS v FROM f0, sz GROUP BY first HAVING count(*) >= greatest(floor(0.0005 * any_value(h) * any_value(w)), 1)),
+ ke AS MATERIALIZED (SELECT y, x FROM f0 WHERE first IN (SELECT first FROM fa WHERE v > {_otsu_of("fa")} OR (SELECT count(*) FROM fa) = 1)),
+ di AS MATERIALIZED (SELECT DISTINCT y + i AS y, x + j AS x FROM ke, {_PLUS}, sz WHERE y + i BETWEEN 0 AND h - 1 AND x + j BETWEEN 0 AND w - 1),
+ er AS MATERIALIZED (SELECT y, x FROM di WHERE NOT EXISTS (SELECT 1 FROM {_PLUS}, sz WHERE di.y + i BETWEEN 0 AND h - 1 AND di.x + j BETWEEN 0 AND w - 1 AND (di.y + i, di.x + j) NOT IN (SELECT (y, x) FROM di))),
+ {_components("f1", "er", True)} SELECT y, x, dense_rank() OVER (ORDER BY first) AS label FROM f1, sz WHERE y >= 3 AND y < h - 2 AND x >= 1 AND x < w"""
+)
+_TALL, _WIDE, _MOST = "(SELECT max(y) + 1 FROM pixels)", 21, 2700
+TISSUE_COARSE = (
+    f""", sc AS (SELECT hh, ceil(hh / greatest(1, floor(hh * sqrt({_MOST} / (hh * {_WIDE}))))) AS fy, ceil({_WIDE} / greatest(1, floor({_WIDE} * sqrt({_MOST} / (hh * {_WIDE}))))) AS fx FROM (SELECT {_TALL}::DOUBLE AS hh))"""
+    + _tissue(f"SELECT floor(y / fy)::BIGINT AS y, floor(x / fx)::BIGINT AS x, avg(val) AS val FROM ({_GRAY}), sc WHERE y < floor(hh / fy) * fy AND x < floor({_WIDE} / fx) * fx GROUP BY 1, 2", (0, 0, 0, 0), 0.0)
+    + f""", ar AS (SELECT first, count(*) AS n FROM f0, sz GROUP BY first HAVING count(*) >= greatest(floor(0.001 * any_value(h) * any_value(w)), 1)), rk AS (SELECT first, row_number() OVER (ORDER BY n DESC, first) AS label FROM ar),
+ lo AS MATERIALIZED (SELECT y, x, label FROM f0 JOIN rk USING (first) WHERE label <= 12)
+ SELECT p.y, p.x, label FROM (SELECT DISTINCT y, x FROM pixels) p, sc, sz JOIN lo ON lo.y = least(round_even(p.y / (hh / h), 0), h - 1)::BIGINT AND lo.x = least(round_even(p.x / ({_WIDE} / w), 0), w - 1)::BIGINT"""
+)
+
 STITCHED = (
     _BOX
     + """, big AS (SELECT *, CASE WHEN side IN ('top', 'bottom') THEN 'y' ELSE 'x' END AS axis FROM sides WHERE run >= 5),
