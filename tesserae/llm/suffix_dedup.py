@@ -19,10 +19,13 @@ An array holds suffixes by their first bytes and a hash, not by position and who
 with the bytes of all grams, writing and merging the levels would take several times the
 input on disk.
 
+A row is known by its id and a hash of its text, so rows that share an id are documents of
+their own.
+
 Defined results: a null text counts as empty; texts shorter than ``LENGTH`` bytes keep
 all of it; rows that repeat an id with the same text are copies of one another and lose
-the same bytes; rows without an id take no part and are returned whole; an empty table
-gives no rows; other columns are ignored.
+the same bytes, and with other texts they are told apart; rows without an id take no part and are
+returned whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import bytehash
@@ -48,7 +51,9 @@ BATCHES = 4
 #: Groups with more different segments than this aren't held in one task.
 SPLIT_SEGMENTS = 4096
 _POSITION = (1 << 24) - 1
-_ENTRY = "id long, at long, low long, high long, head long, gram long, segment long"
+_ENTRY = "id long, row long, place long, head long, gram long, segment long"
+#: A place holds the first start of an anchor's windows above 32 bits, the last one and the anchor as distances of 16 bits.
+_LOW, _HIGH, _AT = "shiftright(place, 32)", "shiftright(place, 32) + (shiftright(place, 16) & 65535L)", "shiftright(place, 32) + (place & 65535L)"
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -77,27 +82,42 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    body = F.encode(F.col(f"`{text}`"), "UTF-8")
+    return docs.where(F.col(f"`{key}`").isNotNull()).select(row_id(F.col(f"`{key}`")).alias("id"), row_hash(F.col(f"`{text}`")).alias("row"), body.alias("body"))
+
+
+def row_id(key: Column) -> Column:
+    return key.cast("long")
+
+
+def row_hash(text: Column) -> Column:
+    """Tells rows with one id apart by their texts."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def entries(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """A row for each anchor: place, windows, first eight bytes, gram and segment hash."""
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), F.encode(F.col(text), "UTF-8").alias("_body"))
+    """A row for each anchor: row, place, first eight bytes, gram and segment hash."""
+    if length >= 1 << 15:
+        raise ValueError("passages must be shorter than 32 KiB")
+    rows = _keyed(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "at", "low", "high", "head", "gram", "segment"]
+        names = ["id", "row", "place", "head", "gram", "segment"]
         for batch in batches:
             columns: list[list] = [[] for _ in names]
-            ids, ats, lows, highs, heads, grams, segments = columns
-            for key_, value in zip(batch.column("_id").to_pylist(), batch.column("_body"), strict=True):
+            ids, hashes, places, heads, grams, segments = columns
+            for key_, row, value in zip(batch.column("id").to_pylist(), batch.column("row").to_pylist(), batch.column("body"), strict=True):
                 if not value.is_valid:
                     continue
                 body = value.as_buffer().to_pybytes()
                 if len(body) < length:
                     continue
                 for at, low, high in anchors(np.frombuffer(body, np.uint8), length, gram):
+                    places += (low << 32 | (high - low) << 16 | (at - low)).tolist()
                     at, low, high = at.tolist(), low.tolist(), high.tolist()
                     ids += [key_] * len(at)
-                    ats += at
-                    lows += low
-                    highs += high
+                    hashes += [row] * len(at)
                     heads += [int.from_bytes(body[a : a + min(8, gram)], "big", signed=gram >= 8) for a in at]
                     grams += [_signed(xxhash.xxh3_64_intdigest(body[a : a + gram])) for a in at]
                     segments += [_signed(xxhash.xxh3_64_intdigest(body[lo : hi + length], a - lo)) for a, lo, hi in zip(at, low, high, strict=True)]
@@ -128,7 +148,7 @@ class SuffixIndex:
         array = self._array(path)
         found = array.where("n > 1")
         for level in self.levels.values():
-            # Both sides are ordered by suffix: a merge scan.
+            # Both sides are sorted by suffix and scanned together.
             known = self._array(level).withColumnRenamed("n", "before")
             found = found.union(array.join(known.hint("merge"), ["head", "gram"]).select("head", "gram", F.col("n") + F.col("before")))
         hits = scratch_path(self.spark, "marked")
@@ -184,11 +204,11 @@ def again(held: list[tuple[int, np.ndarray, bytes]], length: int) -> list[np.nda
     return [np.array([seen[g, body[k : k + length]] > 1 for k in range(len(own))], bool) for g, own, body in held]
 
 
-_SPANS = "id long, start long, stop long"
+_SPANS = "id long, row long, start long, stop long"
 
 
-def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["id", "start", "stop"])
+def _spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["id", "row", "start", "stop"])
 
 
 def _repeated_windows(length: int):
@@ -198,11 +218,11 @@ def _repeated_windows(length: int):
     """
 
     def flush(held: list[tuple], own: list[tuple]) -> pa.RecordBatch:
-        out: list[tuple[int, int, int]] = []
-        for (id_, low, single), mine in zip(own, again(held, length) if held else [], strict=True):
+        out: list[tuple[int, int, int, int]] = []
+        for (id_, row, low, single), mine in zip(own, again(held, length) if held else [], strict=True):
             if single and mine.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
-                out += [(id_, low + int(a), low + int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+                out += [(id_, row, low + int(a), low + int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         return _spans(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +231,7 @@ def _repeated_windows(length: int):
         last, windows = None, 0
         for batch in batches:
             get = lambda name, b=batch: b.column(name).to_pylist()
-            for g, id_, at, low, high, count, body in zip(*map(get, ("gram", "id", "at", "low", "high", "count", "body")), strict=True):
+            for g, id_, row, at, low, high, count, body in zip(*map(get, ("gram", "id", "row", "at", "low", "high", "count", "body")), strict=True):
                 # Small groups are resolved together: their hashes differ by gram.
                 if g != last and windows > 200_000:
                     yield flush(held, own)
@@ -221,7 +241,7 @@ def _repeated_windows(length: int):
                 offset = at - np.arange(low, high + 1)
                 keys = bytehash.mix(bytehash.mix(hashes, 3) ^ bytehash.mix(np.full(len(offset), g, np.int64).view(_U) + offset.astype(_U) * _U(0x9E3779B97F4A7C15), 5))
                 held.append((g, keys, body))
-                own.append((id_, low, count == 1))
+                own.append((id_, row, low, count == 1))
                 windows += len(keys)
         yield flush(held, own)
 
@@ -234,24 +254,24 @@ def _every_window(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda name, b=batch: b.column(name).to_pylist()
-            for id_, low, high, count, body in zip(*map(get, ("id", "low", "high", "count", "body")), strict=True):
+            for id_, row, low, high, count, body in zip(*map(get, ("id", "row", "low", "high", "count", "body")), strict=True):
                 digests = b"".join(xxhash.xxh3_128_digest(body[k : k + length]) for k in range(high - low + 1))
                 pairs = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 n = len(pairs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(n, id_)), pa.array(np.arange(low, high + 1)), pa.array(np.full(n, count))],
-                    names=["k1", "k2", "id", "start", "count"],
+                    [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(n, id_)), pa.array(np.full(n, row)), pa.array(np.arange(low, high + 1)), pa.array(np.full(n, count))],
+                    names=["k1", "k2", "id", "row", "start", "count"],
                 )
 
     return run
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
-    """``(id, start, stop)`` of repeated bytes, overlapping as they may; and the texts of the documents concerned."""
+    """``(id, row, start, stop)`` of repeated bytes, overlapping as they may; and the texts of the documents concerned."""
     spark = docs.sparkSession
     path = scratch_path(spark, "entries")
     made = entries(docs, key, text, length, gram)
-    made.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(path)
+    made.withColumn("batch", F.pmod(F.xxhash64("id", "row"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(path)
     every = spark.read.schema(_ENTRY + ", batch int").parquet(path)
     index = SuffixIndex(spark)
     for i in range(batches):
@@ -261,23 +281,24 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     marked = materialise(keep_known(every.drop("batch"), suffixes, ["head", "gram"], "n").drop("head"), "repeated")
     drop_path(spark, path)
     release(suffixes)
-    one = F.struct("id", "at", "low", "high")
+    one = F.struct("id", "row", "place")
     segments = materialise(marked.groupBy("gram", "segment").agg(F.count(F.lit(1)).alias("count"), F.min(one).alias("one")), "segments")
     groups = materialise(segments.groupBy("gram").agg(F.min("count").alias("least"), F.count(F.lit(1)).alias("size")), "groups")
     # Equal segments elsewhere: all windows are repeated.
     twice = segments.where("count > 1").select("gram", "segment", "count")
-    whole = keep_known(marked, twice, ["gram", "segment"], "count").select("id", F.col("low").alias("start"), (F.col("high") + length).alias("stop"))
+    whole = keep_known(marked, twice, ["gram", "segment"], "count").select("id", "row", F.expr(_LOW).alias("start"), (F.expr(_HIGH) + length).alias("stop"))
     # Groups with a segment that occurs once are opened, one row for each different segment.
     opened = join_unique(segments, groups, ["gram"], "size", ["segment"]).where("least = 1 and size > 1").select("gram", "size", "count", "one.*")
-    lists = opened.groupBy("id").agg(F.collect_list(F.struct("gram", "size", "count", "at", "low", "high")).alias("open"))
-    ids = marked.select("id").distinct().join(lists, "id", "left")
-    body = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.encode(F.col(text), "UTF-8").alias("body"))
-    texts = materialise(body.join(ids, "id"), "texts")
-    rows = texts.select("id", "body", F.explode("open").alias("o")).select(
+    places = opened.select("id", "row", "gram", "size", "count", F.expr(_AT).alias("at"), F.expr(_LOW).alias("low"), F.expr(_HIGH).alias("high"))
+    lists = places.groupBy("id", "row").agg(F.collect_list(F.struct("gram", "size", "count", "at", "low", "high")).alias("open"))
+    ids = marked.select("id", "row").distinct().join(lists, ["id", "row"], "left")
+    texts = materialise(_keyed(docs, key, text).join(ids, ["id", "row"]), "texts")
+    rows = texts.select("id", "row", "body", F.explode("open").alias("o")).select(
         "o.gram",
         "o.size",
         "o.count",
         "id",
+        "row",
         "o.at",
         "o.low",
         "o.high",
@@ -287,12 +308,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     ordered = rows.where(F.col("size") <= SPLIT_SEGMENTS).repartition(n, "gram").sortWithinPartitions("gram")
     some = whole.union(ordered.mapInArrow(_repeated_windows(length), _SPANS))
     if not groups.where((F.col("size") > SPLIT_SEGMENTS) & (F.col("least") == 1)).isEmpty():
-        large = rows.where(F.col("size") > SPLIT_SEGMENTS).select("id", "low", "high", "count", "body")
-        windows = materialise(large.mapInArrow(_every_window(length), "k1 long, k2 long, id long, start long, count long"), "windows")
+        large = rows.where(F.col("size") > SPLIT_SEGMENTS).select("id", "row", "low", "high", "count", "body")
+        windows = materialise(large.mapInArrow(_every_window(length), "k1 long, k2 long, id long, row long, start long, count long"), "windows")
         counts = materialise(windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "counts")
         found = keep_known(windows.where("count = 1"), counts, ["k1", "k2"], "times")
-        some = some.union(found.select("id", "start", (F.col("start") + length).alias("stop")))
-    return some, texts.select("id", "body")
+        some = some.union(found.select("id", "row", "start", (F.col("start") + length).alias("stop")))
+    return some, texts.select("id", "row", "body")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,26 +339,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append(runs)
         digests = [hashlib.sha256(k).hexdigest() for k in kept]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array(digests, pa.string())],
-            names=["id", "n_removed", "n_spans", "kept_text", "kept_sha256"],
+            [batch.column("id"), batch.column("row"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array(digests, pa.string())],
+            names=["id", "row", "n_removed", "n_spans", "kept_text", "kept_sha256"],
         )
 
 
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """``id``, ``n_removed``, ``n_spans``, ``kept_text`` and the digest of its bytes, for documents that lose any.
+    """``id, row, n_removed, n_spans``, ``kept_text`` and the digest of its bytes, for rows that lose any, by ``row_id`` and ``row_hash``.
 
     The digest is of all bytes kept; ``kept_text`` lacks characters of which a part was cut.
     """
     found, texts = repeats(docs, key, text, length, gram, batches)
-    lists = found.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    return texts.join(lists, "id").select("id", "body", "found").mapInArrow(_cut, "id long, n_removed long, n_spans long, kept_text string, kept_sha256 string")
+    lists = found.groupBy("id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    return texts.join(lists, ["id", "row"]).select("id", "row", "body", "found").mapInArrow(_cut, "id long, row long, n_removed long, n_spans long, kept_text string, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """Sizes, removed bytes and runs, and the digest of what is kept, for every document."""
-    body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    base = docs.select(F.col(key).alias("_key"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("_digest"))
-    lost = cut(docs, key, text, **options).drop("kept_text").dropDuplicates(["id"])
-    out = base.join(lost, F.col("_key") == F.col("id"), "left")
+    body = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
+    base = docs.select(F.col(f"`{key}`").alias("_key"), row_id(F.col(f"`{key}`")).alias("id"), row_hash(F.col(f"`{text}`")).alias("row"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("_digest"))
+    lost = cut(docs, key, text, **options).drop("kept_text").dropDuplicates(["id", "row"])
+    out = base.join(lost, ["id", "row"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return out.select(F.col("_key").alias(key), "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "_digest").alias("kept_sha256"))

@@ -183,6 +183,19 @@ def test_suffix_dedup(spark, split, monkeypatch):
     assert got == brute_cut(texts, 24)
 
 
+def test_suffix_dedup_of_one_id_on_several_texts(spark):
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcd é") for _ in range(300))
+    texts = ["".join(rng.choice("abcd é") for _ in range(60)) + base[a : a + n] for a, n in ((0, 90), (30, 100), (200, 40), (120, 100), (0, 20), (180, 100))]
+    texts += texts[:2]
+    ids = [1, 1, 1, 2, 3, 3, 1, 2]
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), length=24, gram=6).collect()
+    expected = brute_cut(texts, 24)
+    order = lambda rows: sorted(rows, key=repr)
+    assert order((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows) == order((ids[i], *expected[i]) for i in range(len(ids)))
+    assert all(r["n_removed"] <= r["n_bytes"] for r in rows)
+
+
 def test_windows_are_compared_by_bytes():
     bodies = [b"abcdefgh", b"xbcdefgx", b"qqqqqqqq"]
     same = np.zeros(5, np.uint64)  # every window has one hash
