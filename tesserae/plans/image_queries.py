@@ -310,6 +310,13 @@ def _(spark, sf):
     return stain.apply_macenko(rgb, own, own)
 
 
+@register("stain_vahadane")
+def _(spark, sf):
+    rgb = qc.wide(views.pixels(spark, sf))
+    own = stain.fit_vahadane(rgb, max_angle=90.0)
+    return stain.concentrations(rgb, own).select("y", "x", *_r("hematoxylin", "eosin"))
+
+
 @register("stain_reinhard", PX + tile_sql.REINHARD)
 def _(spark, sf):
     rgb = qc.wide(views.pixels(spark, sf))
