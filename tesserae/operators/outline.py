@@ -10,8 +10,6 @@ is traced within one task: it has some square root of the label's pixels.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -136,6 +134,109 @@ def cut_scores(labels: DataFrame, tolerance: float = 0.75, min_area: int = 20, m
     )
 
 
-def outline_lengths(labels: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
-    """Number of outline points of every label: its perimeter in pixel sides."""
-    return outline_sides(labels).groupBy(*by).agg(F.count(F.lit(1)).alias("sides"))
+#: Lengths of an outline at a border pixel, by 1 + 2 x (border pixels beside it) + 10 x (border pixels at its corners).
+BORDER_LENGTHS = {5: 1.0, 7: 1.0, 15: 1.0, 17: 1.0, 25: 1.0, 27: 1.0, 21: 2**0.5, 33: 2**0.5, 13: (1 + 2**0.5) / 2, 23: (1 + 2**0.5) / 2}
+_R = math.pi / 4 / 2**0.5
+#: Crofton's lengths in four directions for the sixteen 2 x 2 windows, by code.
+CROFTON = (0.0, math.pi / 4 + _R, _R, 2 * _R, 0.0, math.pi / 4 + _R, 0.0, _R, math.pi / 4, math.pi / 2, _R, _R, math.pi / 4, math.pi / 2, 0.0, 0.0)
+#: Bits of a 2 x 2 window's code: the pixel, the one above, the one to the left, the one above that.
+_WINDOW = ((0, 0, 1), (1, 0, 2), (0, 1, 4), (1, 1, 8))
+
+
+def _euler(code: int) -> int:
+    """Four times what a window adds to the Euler number of an image whose pixels touch at corners too."""
+    n = bin(code).count("1")
+    return {1: 1, 3: -1}.get(n, -2 if code in (6, 9) else 0)
+
+
+def perimeters(labels: DataFrame) -> DataFrame:
+    """``label, perimeter, perimeter_crofton, euler_number``; the Euler number is parts less holes.
+
+    Pixels add themselves to the places that look at them, so grouped sums do it all and no label is held as a whole.
+    """
+    own = labels.where("label <> 0").select("label", "y", "x")
+    # Border pixels have a side of the outline; they tell their neighbors, and themselves.
+    y, x = (F.col("my") - (F.col("ex") - F.col("sx")) / 2) / 2, (F.col("mx") + (F.col("ey") - F.col("sy")) / 2) / 2
+    border = outline_sides(own).select("label", y.cast("long").alias("y"), x.cast("long").alias("x")).distinct()
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(1 if not (i or j) else 2 if not (i and j) else 10).alias("w")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    seen = border.withColumn("s", F.explode(around)).groupBy("label", (F.col("y") + F.col("s.i")).alias("y"), (F.col("x") + F.col("s.j")).alias("x")).agg(F.sum("s.w").alias("code"), F.max((F.col("s.w") == 1).cast("int")).alias("own"))
+    table = F.create_map(*[F.lit(v) for pair in BORDER_LENGTHS.items() for v in pair])
+    length = seen.where("own = 1").groupBy("label").agg(F.sum(F.coalesce(F.element_at(table, F.col("code").cast("int")), F.lit(0.0))).alias("perimeter"))
+    windows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(b).alias("b")) for i, j, b in _WINDOW])
+    codes = own.withColumn("s", F.explode(windows)).groupBy("label", (F.col("y") + F.col("s.i")).alias("y"), (F.col("x") + F.col("s.j")).alias("x")).agg(F.sum("s.b").cast("int").alias("code"))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("code") + 1)
+    shape = codes.groupBy("label").agg(F.sum(pick(CROFTON)).alias("perimeter_crofton"), (F.sum(pick([_euler(c) for c in range(16)])) / 4).cast("long").alias("euler_number"))
+    return length.join(shape, "label").select("label", "perimeter", "perimeter_crofton", "euler_number")
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull in order, from the least point."""
+    points = np.unique(points, axis=0)
+    if len(points) < 3:
+        return points
+
+    def chain(some) -> list:
+        out: list = []
+        for p in some:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    rows = points.tolist()
+    return np.array(chain(rows) + chain(rows[::-1]))
+
+
+def hull_rows(corners: np.ndarray) -> np.ndarray:
+    """Rows ``y, first x, last x`` of the pixels whose middles lie in a hull, its edge included."""
+    out = []
+    following = np.roll(corners, -1, axis=0)
+    for y in range(math.ceil(corners[:, 0].min() - 1e-9), math.floor(corners[:, 0].max() + 1e-9) + 1):
+        xs = []
+        for (ya, xa), (yb, xb) in zip(corners.tolist(), following.tolist(), strict=True):
+            if min(ya, yb) <= y <= max(ya, yb):
+                xs += [xa, xb] if ya == yb else [xa + (y - ya) * (xb - xa) / (yb - ya)]
+        low, high = math.ceil(min(xs) - 1e-9), math.floor(max(xs) + 1e-9)
+        if low <= high:
+            out.append((y, low, high))
+    return np.array(out)
+
+
+def widest(points: np.ndarray) -> float:
+    """The largest distance of two points: of opposite corners of their hull, as calipers turn around it."""
+    c = hull(points)
+    n = len(c)
+    if n < 3:
+        return float(np.hypot(*(c[0] - c[-1])))
+    best, j = 0.0, 1
+    turn = lambda i, k: abs((c[(i + 1) % n][0] - c[i][0]) * (c[k][1] - c[i][1]) - (c[(i + 1) % n][1] - c[i][1]) * (c[k][0] - c[i][0]))
+    for i in range(n):
+        while turn(i, (j + 1) % n) > turn(i, j):
+            j = (j + 1) % n
+        for p in (i, (i + 1) % n):
+            for q in (j, (j + 1) % n):
+                best = max(best, float(np.hypot(*(c[p] - c[q]))))
+    return best
+
+
+def hulls(labels: DataFrame) -> DataFrame:
+    """``label, area, area_convex, solidity, feret_diameter_max``.
+
+    The hull is that of the outline points; its pixels are counted row by row, and the
+    diameter is the largest distance of outline points of these pixels.
+    """
+    own = labels.where("label <> 0")
+
+    def measure(part: pd.DataFrame) -> pd.DataFrame:
+        rows = hull_rows(hull(part[["my", "mx"]].to_numpy(np.float64) / 2))
+        y, low, high = rows.T.astype(float)
+        ends = np.concatenate([np.stack([y, low - 0.5], 1), np.stack([y, high + 0.5], 1), np.stack([y - 0.5, low], 1), np.stack([y - 0.5, high], 1), np.stack([y + 0.5, low], 1), np.stack([y + 0.5, high], 1)])
+        covered = {int(r[0]): (r[1], r[2]) for r in rows}
+        # A point above or below a pixel is on the outline where the next row doesn't cover it.
+        free = [p for p in ends.tolist() if p[0] == int(p[0]) or any(not (covered.get(int(p[0] + d), (1, 0))[0] <= p[1] <= covered.get(int(p[0] + d), (1, 0))[1]) for d in (0.5, -0.5))]
+        return pd.DataFrame({"label": [part["label"].iloc[0]], "area_convex": [int((high - low + 1).sum())], "feret_diameter_max": [widest(np.array(free))]})
+
+    kind = labels.schema["label"].dataType.simpleString()
+    made = outline_sides(own).groupBy("label").applyInPandas(measure, f"label {kind}, area_convex long, feret_diameter_max double")
+    area = own.groupBy("label").agg(F.count(F.lit(1)).alias("area"))
+    return area.join(made, "label").select("label", "area", "area_convex", (F.col("area") / F.col("area_convex")).alias("solidity"), "feret_diameter_max")

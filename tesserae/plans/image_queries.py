@@ -271,6 +271,16 @@ def _(spark, sf):
     return qc.stitched_labels(labels, qc.stitch_groups(labels))
 
 
+@register("cell_perimeters", CL + tile_sql.PERIMETERS)
+def _(spark, sf):
+    return outline.perimeters(views.cell_pixels(spark, sf)).select("label", *_r("perimeter", "perimeter_crofton"), "euler_number")
+
+
+@register("cell_hulls")
+def _(spark, sf):
+    return outline.hulls(views.cell_pixels(spark, sf)).select("label", "area", "area_convex", *_r("solidity", "feret_diameter_max"))
+
+
 @register("watershed")
 def _(spark, sf):
     cells = views.cell_pixels(spark, sf, least=11, cut=False)  # large enough to touch

@@ -82,6 +82,17 @@ TILING_QC = (
 
 
 
+_PLACES = ", ".join(str((i, j, 1 if not (i or j) else 2 if not (i and j) else 10)) for i in (-1, 0, 1) for j in (-1, 0, 1))
+_EULER = [outline._euler(c) for c in range(16)]
+PERIMETERS = f""", inn AS (SELECT label, y, x FROM (SELECT label, y + i AS y, x + j AS x FROM cell_pixels, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) s(i, j)) GROUP BY ALL HAVING count(*) = 5),
+ bo AS MATERIALIZED (SELECT label, y, x FROM cell_pixels ANTI JOIN inn USING (label, y, x)),
+ se AS (SELECT label, y + i AS y, x + j AS x, sum(w) AS code, bool_or(w = 1) AS own FROM bo, (VALUES {_PLACES}) s(i, j, w) GROUP BY label, y + i, x + j),
+ le AS (SELECT label, sum(CASE WHEN code IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN code IN (21, 33) THEN sqrt(2) WHEN code IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END) AS perimeter FROM se WHERE own GROUP BY label),
+ co AS (SELECT label, sum(b)::INT AS code FROM cell_pixels, (VALUES {", ".join(map(str, outline._WINDOW))}) s(i, j, b) GROUP BY label, y + i, x + j),
+ sh AS (SELECT label, sum(({list(outline.CROFTON)})[code + 1]::DOUBLE) AS crofton, (sum(({_EULER})[code + 1]) / 4)::BIGINT AS euler_number FROM co GROUP BY label)
+ SELECT label, round(perimeter, 6) AS perimeter, round(crofton, 6) AS perimeter_crofton, euler_number FROM le JOIN sh USING (label)"""
+
+
 def _components(name: str, mask: str, diagonal: bool) -> str:
     """Tables ``{name}n`` (touching pixels) and ``{name}(y, x, first)``: components of a mask by their first pixels."""
     near = "abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1" if diagonal else "abs(a.y - b.y) + abs(a.x - b.x) <= 1"

@@ -145,3 +145,58 @@ def test_exact_quantiles(spark):
     for q in (0.0, 0.1, 0.5, 0.733, 1.0):
         assert stats.quantile(df, "v", q, rows=50) == pytest.approx(np.quantile(values, q), abs=1e-12)
     assert stats.quantile(df.where("v is null"), "v", 0.5) is None
+
+
+def plain_shape(mask):
+    """Perimeters, Euler number, hull pixels and diameter by loops over a padded image."""
+    m = np.pad(mask, 2).astype(int)
+    h, w = m.shape
+    near = lambda a, y, x: (a[y - 1, x], a[y + 1, x], a[y, x - 1], a[y, x + 1])
+    border = np.zeros_like(m)
+    for y in range(1, h - 1):
+        for x in range(1, w - 1):
+            border[y, x] = m[y, x] and not all(near(m, y, x))
+    perimeter = crofton = 0.0
+    parts = len(set(components(m > 0, True).ravel().tolist())) - 1
+    holes = len(set(components(m == 0, False).ravel().tolist())) - 2
+    for y in range(1, h - 1):
+        for x in range(1, w - 1):
+            if border[y, x]:
+                diagonal = sum(border[y + i, x + j] for i in (-1, 1) for j in (-1, 1))
+                perimeter += outline.BORDER_LENGTHS.get(1 + 2 * sum(near(border, y, x)) + 10 * diagonal, 0.0)
+            crofton += outline.CROFTON[m[y, x] + 2 * m[y - 1, x] + 4 * m[y, x - 1] + 8 * m[y - 1, x - 1]]
+    points = np.array([(y + dy, x + dx) for y, x in zip(*np.nonzero(m), strict=True) for dy, dx in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))])
+
+    def inside(p):
+        # In the hull: no line through two points has p strictly on one side and all points on the other.
+        d = points - p
+        angles = np.sort(np.arctan2(d[:, 0], d[:, 1]))
+        return (np.abs(d).sum(axis=1) < 1e-12).any() or max(np.diff(angles).max(), 2 * math.pi - (angles[-1] - angles[0])) <= math.pi + 1e-9
+
+    full = np.array([[inside(np.array([y, x])) for x in range(w)] for y in range(h)])
+    edge = np.concatenate(outline.trace(sides_of(full)))
+    diameter = max(math.dist(p, q) for p in edge.tolist() for q in edge.tolist())
+    return perimeter, crofton, parts - holes, int(full.sum()), diameter
+
+
+def components(mask, diagonal):
+    from tesserae.operators.blocks import local_components
+
+    return local_components(mask, diagonal)[0]
+
+
+def test_shapes_against_plain_loops(spark):
+    rng = np.random.default_rng(6)
+    ring = ellipse(26, 26, 12, 12, 10, 8, 0.4) & ~ellipse(26, 26, 12, 12, 4, 3, 1.0)
+    shapes = [ring, ellipse(26, 26, 13, 12, 11, 4, 0.7), np.eye(26, dtype=bool), rng.random((26, 26)) < 0.3, np.pad(np.ones((4, 9), bool), ((3, 19), (5, 12))), np.pad(np.ones((1, 1), bool), ((3, 22), (5, 20)))]
+    image = np.concatenate([s * (i + 1) for i, s in enumerate(shapes)], axis=1)
+    labels = label_frame(spark, image)
+    length = {r["label"]: r for r in outline.perimeters(labels).collect()}
+    wide = {r["label"]: r for r in outline.hulls(labels).collect()}
+    for i, shape in enumerate(shapes, 1):
+        perimeter, crofton, euler, convex, diameter = plain_shape(shape)
+        assert (length[i]["perimeter"], length[i]["perimeter_crofton"]) == pytest.approx((perimeter, crofton))
+        assert length[i]["euler_number"] == euler
+        assert (wide[i]["area"], wide[i]["area_convex"]) == (shape.sum(), convex)
+        assert wide[i]["solidity"] == pytest.approx(shape.sum() / convex)
+        assert wide[i]["feret_diameter_max"] == pytest.approx(diameter)
