@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import blocks, cell_features, container, images, outline, qc, segmentation, sepal, stain, tiling, tissue
+from tesserae.operators import blocks, cell_features, container, images, outline, qc, segmentation, sepal, stain, stitching, tiling, tissue
 from tesserae.plans import tile_sql
+from tesserae.session import materialise
 from tesserae.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,6 +272,20 @@ def _(spark, sf):
     return qc.stitched_labels(labels, qc.stitch_groups(labels))
 
 
+@register("stitched_table", CL + tile_sql.STITCHED_TABLE)
+def _(spark, sf):
+    """The pieces' areas, widths and places, with every strategy."""
+    labels = views.cell_pixels(spark, sf)
+    groups = materialise(qc.stitch_groups(labels), "groups")
+    cells = materialise(labels.groupBy("label").agg(F.count(F.lit(1)).alias("area"), F.avg("y").alias("centroid_y"), F.avg("x").alias("centroid_x"), (F.max("x") - F.min("x") + 1).alias("width"), F.concat(F.lit("tile"), F.col("label") % 4).alias("tile")), "cells")
+    out = None
+    for name in stitching.STRATEGIES:
+        made = stitching.stitched_table(cells, groups, name)
+        one = made.select(F.lit(name).alias("strategy"), "label", F.col("area").cast("double").alias("area"), F.col("width").cast("double").alias("width"), *_r("centroid_y", "centroid_x"), "tile", "is_stitched", "n_pieces")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("cell_perimeters", CL + tile_sql.PERIMETERS)
 def _(spark, sf):
     return outline.perimeters(views.cell_pixels(spark, sf)).select("label", *_r("perimeter", "perimeter_crofton"), "euler_number")

@@ -139,14 +139,24 @@ TISSUE_COARSE = (
  SELECT p.y, p.x, label FROM (SELECT DISTINCT y, x FROM pixels) p, sc, sz JOIN lo ON lo.y = least(round_even(p.y / (hh / h), 0), h - 1)::BIGINT AND lo.x = least(round_even(p.x / ({_WIDE} / w), 0), w - 1)::BIGINT"""
 )
 
-STITCHED = (
+_GROUPS = (
     _BOX
     + """, big AS (SELECT *, CASE WHEN side IN ('top', 'bottom') THEN 'y' ELSE 'x' END AS axis FROM sides WHERE run >= 5),
  met AS MATERIALIZED (SELECT p.label AS a, q.label AS b FROM big p JOIN big q ON p.axis = q.axis AND p.side IN ('bottom', 'right') AND q.side IN ('top', 'left') AND p.label <> q.label AND q.edge - p.edge - 1 BETWEEN 0 AND 3
   WHERE (least(p.z, q.z) - greatest(p.a, q.a) + 1) / (greatest(p.z, q.z) - least(p.a, q.a) + 1) >= 0.2),
  both_ AS MATERIALIZED (SELECT a, b FROM met UNION SELECT b, a FROM met), reach AS (SELECT a AS label, a AS other FROM both_ UNION SELECT reach.label, both_.b FROM reach JOIN both_ ON both_.a = reach.other),
  grp AS (SELECT label, min(other) AS grp, count(*) AS n FROM reach GROUP BY label)
- SELECT y, x, coalesce(CASE WHEN n <= 4 THEN grp END, label) AS label FROM cell_pixels LEFT JOIN grp USING (label)"""
+"""
+)
+STITCHED = _GROUPS + """ SELECT y, x, coalesce(CASE WHEN n <= 4 THEN grp END, label) AS label FROM cell_pixels LEFT JOIN grp USING (label)"""
+_MERGE = {"sum": "sum({0})", "min": "min({0})", "max": "max({0})", "mean": "avg({0})", "median": "quantile_cont({0}, 0.5)", "first": "arg_min({0}, label)"}
+STITCHED_TABLE = (
+    _GROUPS
+    + """, ce AS (SELECT c.label, count(*) AS area, avg(y) AS centroid_y, avg(x) AS centroid_x, max(x) - min(x) + 1 AS width, concat('tile', c.label % 4) AS tile, coalesce(any_value(CASE WHEN n <= 4 THEN grp END), c.label) AS g FROM cell_pixels c LEFT JOIN grp ON grp.label = c.label GROUP BY c.label) """
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS strategy, g AS label, {f.format('area')}::DOUBLE AS area, {f.format('width')}::DOUBLE AS width, round(avg(centroid_y), 6) AS centroid_y, round(avg(centroid_x), 6) AS centroid_x, arg_min(tile, label) AS tile, count(*) > 1 AS is_stitched, count(*) AS n_pieces FROM ce GROUP BY g"
+        for name, f in _MERGE.items()
+    )
 )
 
 
