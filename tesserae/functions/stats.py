@@ -94,6 +94,23 @@ def number_rows(rows: DataFrame, order: str, name: str) -> DataFrame:
     return runs.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_inside") + 1).cast("long")).select(*rows.columns, name)
 
 
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the rank, from 1, of a column's value; equal values share the average of their ranks.
+
+    Different values are counted and dealt by range; each range adds up its own counts, and
+    what lies before it is a sum over ranges.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(parts, value)
+    runs = materialise(counts.withColumn("_part", F.spark_partition_id()), "ranks")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = runs.groupBy("_part").agg(F.sum("_n").alias("_all"))  # as many rows as partitions
+    starts = sizes.select("_part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = runs.withColumn("_inside", inside).join(F.broadcast(starts), "_part").select(value, (F.col("_start") + F.col("_inside") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranked, value).select(*df.columns, name)
+
+
 def permuted(nodes: DataFrame, n_perms: int, seed: int, value: str = "cl", by: Sequence[str] = ()) -> DataFrame:
     """``perm, id, value``: labels reordered by a hash of seed, permutation and id.
 

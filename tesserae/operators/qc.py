@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.stats import quantile
+from tesserae.functions.stats import average_ranks, quantile
 from tesserae.operators.components import connected_components
 from tesserae.operators.graph import knn_edges
 from tesserae.operators.images import bin_of, gray
@@ -143,6 +143,33 @@ def unfocus(metrics: DataFrame, names: list[str], threshold: float = 0.1) -> Dat
     return out.withColumn("unfocus_score", score).withColumn("is_outlier", F.col("unfocus_score") >= 1 - threshold)
 
 
+def qc_image(pixels: DataFrame, mask: DataFrame | None = None, sharpness_metrics: tuple[str, ...] = ("tenengrad_mean", "laplacian_variance"), threshold: float = 0.1) -> DataFrame:
+    """``tile_metrics`` with ``is_tissue``, ``unfocus_score`` and ``is_outlier``; ``pixels`` has ``ty, tx``.
+
+    A tile is tissue if more than half of it lies in ``mask`` (``y, x`` of its pixels); then tissue tiles are
+    ranked among themselves and others have no score.  Without a mask, or without tissue,
+    all are ranked.  The score is 1 minus a tile's worst rank, as a share, among the sharpness metrics; one tile alone has 0.
+    """
+    metrics = tile_metrics(pixels)
+    if mask is None:
+        known = materialise(metrics.withColumn("is_tissue", F.lit(False)), "metrics")
+    else:
+        places = pixels.select(*_BY, "y", "x").distinct()
+        marked = mask.select("y", "x").distinct().withColumn("_in", F.lit(1))
+        share = places.join(marked, ["y", "x"], "left").groupBy(*_BY).agg(F.avg(F.coalesce("_in", F.lit(0))).alias("_share"))
+        known = materialise(metrics.join(share, _BY).withColumn("is_tissue", F.col("_share") > 0.5).drop("_share"), "metrics")
+    counts = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("is_tissue").cast("long")), F.lit(0)).alias("tissue")).first()
+    among, n = (known.where("is_tissue"), counts["tissue"]) if counts["tissue"] else (known, counts["n"])
+    ranked = among.select(*_BY, *sharpness_metrics)
+    for i, name in enumerate(sharpness_metrics):
+        ranked = materialise(average_ranks(ranked, name, f"_r{i}"), "ranked")
+    shares = [(F.col(f"_r{i}") - 1) / max(n - 1, 1) for i in range(len(sharpness_metrics))]
+    worst = F.least(*shares) if len(shares) > 1 else shares[0]
+    score = ranked.select(*_BY, (1 - worst if n > 1 else F.lit(0.0)).alias("unfocus_score"))
+    out = known.join(score, _BY, "left")
+    return out.withColumn("is_outlier", F.coalesce(F.col("unfocus_score") >= 1 - threshold, F.lit(False)))
+
+
 def straight_sides(labels: DataFrame) -> DataFrame:
     """``label, side, at, start, stop, run``: the longest run of pixels on each side of a label's box."""
     own = labels.where("label <> 0")

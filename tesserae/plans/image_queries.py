@@ -251,6 +251,15 @@ def _(spark, sf):
     return m.select("ty", "tx", *_r(*[c for c in m.columns if c not in ("ty", "tx", "is_outlier")]), "is_outlier")
 
 
+@register("qc_image", _TILED + tile_sql.QC_IMAGE)
+def _(spark, sf):
+    mask = images.gray(views.pixels(spark, sf), "qc").where("val >= 128")
+    m = qc.qc_image(_tiled(spark, sf), mask)
+    # Means of gray levels lie on ties of six digits.
+    values = [F.round(c, 3 if c == "brightness_mean" else 6).alias(c) for c in m.columns if c not in ("ty", "tx", "is_tissue", "is_outlier")]
+    return m.select("ty", "tx", *values, "is_tissue", "is_outlier")
+
+
 @register("qc_high_frequencies", _TILED + tile_sql.HIGH_FREQUENCIES)
 def _(spark, sf):
     return qc.high_frequencies(images.gray(_tiled(spark, sf), "qc")).select("ty", "tx", *_r("fft_high_freq_energy"))

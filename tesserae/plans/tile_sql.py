@@ -41,6 +41,17 @@ METRICS = (
     + ", unfocus_score >= 0.9 AS is_outlier FROM un"
 )
 
+#: Tiles more than half of whose gray levels reach 128 are tissue and ranked among themselves.
+QC_IMAGE = (
+    ", me AS MATERIALIZED (WITH one AS (SELECT 1)"
+    + METRICS
+    + """), sh2 AS (SELECT ty, tx, avg((val >= 128)::INT) AS share FROM g GROUP BY ALL), ti AS MATERIALIZED (SELECT me.* EXCLUDE (unfocus_score, is_outlier), share > 0.5 AS is_tissue FROM me JOIN sh2 USING (ty, tx)),
+ rk AS (SELECT ty, tx, 1 - least("""
+    + ", ".join(f"(rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2 - 1) / greatest(count(*) OVER () - 1, 1)" for n in _SHARP[:2])
+    + """) AS unfocus_score FROM ti WHERE is_tissue)
+ SELECT ti.* REPLACE (round(brightness_mean, 3) AS brightness_mean), round(unfocus_score, 6) AS unfocus_score, coalesce(unfocus_score >= 0.9, false) AS is_outlier FROM ti LEFT JOIN rk USING (ty, tx)"""
+)
+
 #: The discrete Fourier transform written out; the mean only adds to frequency 0, the deviation cancels.
 HIGH_FREQUENCIES = """, o AS MATERIALIZED (SELECT ty, tx, y - min(y) OVER w AS y, x - min(x) OVER w AS x, max(y) OVER w - min(y) OVER w + 1 AS h, max(x) OVER w - min(x) OVER w + 1 AS wd, val - avg(val) OVER w AS val FROM g WINDOW w AS (PARTITION BY ty, tx)),
  fr AS (SELECT ty, tx, u, v, any_value(h) AS h, any_value(wd) AS wd, sum(val * cos(2 * pi() * (u * y / h + v * x / wd))) AS re, sum(val * sin(2 * pi() * (u * y / h + v * x / wd))) AS im FROM o JOIN range(16) a(u) ON u < h JOIN range(21) b(v) ON v < wd GROUP BY ty, tx, u, v),
