@@ -103,6 +103,10 @@ URL_RULES = [
 ]
 
 
+#: Levels written out in SQL, which has no loop: more than any url of the tables has.
+URL_LEVELS = 8
+
+
 def _op4() -> str:
     u = url_filter
     rest = "CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END"
@@ -118,7 +122,7 @@ def _op4() -> str:
     case = lambda pick: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{pick(r)}'" for r in rules) + " END"
     z, prior = float(u.MERGE_Z * u.MERGE_Z), float(u.PRIOR_LABELS)
     levels, walk = "", ""
-    for d in range(1, u.MAX_DEPTH + 1):
+    for d in range(1, URL_LEVELS + 1):
         gap, spread = "(x.b * (y.n - x.n) - (y.b - x.b) * x.n)", "(y.b * (y.n - y.b) * x.n * (y.n - x.n))"
         levels += f"""
 k{d} AS MATERIALIZED (SELECT host, node, steps[{d}] AS seg, sum(n)::DOUBLE AS n, sum(b)::DOUBLE AS b FROM r{d - 1} WHERE len(steps) >= {d} GROUP BY ALL),
@@ -133,15 +137,14 @@ v{d} AS MATERIALIZED (SELECT q.host, q.steps, q.node, CASE WHEN e.n IS NOT NULL
   FROM v{d - 1} w LEFT JOIN m{d} o ON o.apart AND o.host = w.host AND o.node = w.node AND o.seg = w.steps[{d}]) q LEFT JOIN n{d} e ON e.host = q.host AND e.node = q.node),"""
     base = "coalesce((SELECT sum(b)::DOUBLE / sum(n) FROM c), 0.0)"
     return f"""
-WITH p AS MATERIALIZED (SELECT page_id, url, {host} AS host, {path} AS path FROM pages), t0 AS MATERIALIZED (SELECT *, {template} AS s FROM p),
-t AS MATERIALIZED (SELECT * EXCLUDE (s), CASE WHEN len(s) > {u.MAX_DEPTH} THEN list_append(s[1:{u.MAX_DEPTH - 1}], '{u.DEEPER}') ELSE s END AS steps FROM t0),
+WITH p AS MATERIALIZED (SELECT page_id, url, {host} AS host, {path} AS path FROM pages), t AS MATERIALIZED (SELECT *, {template} AS steps FROM p),
 l AS (SELECT host, steps, bad::BIGINT AS bad FROM (SELECT host, steps, regexp_extract(path, '/([0-9]{{1,18}})(\\.[a-z]+)?/?$', 1) AS n FROM t WHERE url IS NOT NULL)
  JOIN (SELECT doc_id::VARCHAR AS n, (toxic = 1 OR quality = 0) AS bad FROM labels) USING (n) WHERE bad IS NOT NULL),
 c AS MATERIALIZED (SELECT host, steps, count(*)::BIGINT AS n, sum(bad)::BIGINT AS b FROM l GROUP BY ALL),
 r0 AS MATERIALIZED (SELECT *, '' AS node FROM c),{levels}
 h AS MATERIALIZED (SELECT host, sum(n)::DOUBLE AS n, sum(b)::DOUBLE AS b FROM c GROUP BY host),
 v0 AS MATERIALIZED (SELECT d.host, d.steps, '' AS node, '' AS branch, coalesce((h.b + {base} * {prior}) / (h.n + {prior}), {base}) AS share FROM (SELECT DISTINCT host, steps FROM t) d LEFT JOIN h ON h.host = d.host),{walk}
-z AS (SELECT * FROM v{u.MAX_DEPTH})
+z AS (SELECT * FROM v{URL_LEVELS})
 SELECT page_id, t.host, path, {case(lambda r: r.name)} AS rule, coalesce({case(lambda r: r.verdict)}, CASE WHEN share >= {u.MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict,
  concat('/', array_to_string(t.steps, '/')) AS template, branch, round(share, 6) AS bad_share FROM t JOIN z ON z.host = t.host AND z.steps = t.steps
 """.replace("(host = ", "(t.host = ").replace("ends_with(host", "ends_with(t.host")

@@ -14,18 +14,22 @@ limit.  Hosts without labels fall back to the share over all labels.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and
 is judged by the overall share; repeated urls are judged alike; empty tables give no
-rows; without any label every url is allowed; segments from the ``MAX_DEPTH``-th on are
-one segment; other columns are ignored.
+rows; without any label every url is allowed; other columns are ignored.  The tree is as
+deep as any node with enough labels, one round of jobs a level: there is no limit of depth.
+
+Rows of a hot host are dealt over ``DEALS`` parts by a hash, and what they meet (nodes with
+enough labels, a row each) is repeated for each part, so no task gets a whole hot host.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.hot import join_unique
+from tesserae.llm.hot import HOT_ONE_IN, join_unique
 from tesserae.session import materialise
 
 #: A branch is separate when its share differs from its siblings' by this many standard errors.
@@ -36,10 +40,12 @@ MIN_LABELS = 10
 PRIOR_LABELS = 20
 #: Templates with this smoothed share of bad labels or more are rejected.
 MAX_BAD = 0.5
-#: Levels of the tree below a host.  All segments from the last level on are one segment.
-MAX_DEPTH = 6
-#: The segment of merged branches, and the one that stands for all deeper ones.
-WILDCARD, DEEPER = "*", "**"
+#: The segment of merged branches.
+WILDCARD = "*"
+#: Parts that the rows of a host with more than one in ``HOT_ONE_IN`` rows are dealt into.
+DEALS = 64
+#: Levels after which the plan of the walk is cut by a written table.
+WRITTEN_LEVELS = 3
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -94,16 +100,34 @@ def with_template(urls: DataFrame) -> DataFrame:
     """Adds ``host``, ``path`` and ``steps``: the template's segments under the host."""
     host, path = host_and_path(F.col("url"))
     out = urls.withColumns({"host": host, "path": path})
-    out = out.withColumn("steps", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), segment_template))
-    deep = F.concat(F.slice("steps", 1, MAX_DEPTH - 1), F.array(F.lit(DEEPER)))
-    return out.withColumn("steps", F.when(F.size("steps") > MAX_DEPTH, deep).otherwise(F.col("steps")))
+    return out.withColumn("steps", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), segment_template))
 
 
 def _smoothed(bad: Column, n: Column, towards: Column) -> Column:
     return (bad + towards * F.lit(float(PRIOR_LABELS))) / (n + F.lit(float(PRIOR_LABELS)))
 
 
-def _branches(rows: DataFrame) -> DataFrame:
+def _hot_hosts(rows: DataFrame) -> DataFrame:
+    """Hosts with more than one in ``HOT_ONE_IN`` rows, so fewer than that."""
+    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("rows"))
+    total = counts.agg(F.sum("rows").alias("total"))  # one row
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("rows") * HOT_ONE_IN > F.col("total"))
+    return hot.select("host", F.lit(True).alias("hot"))
+
+
+def _dealt(rows: DataFrame, hot: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with their ``deal``: by the hash of ``by`` for hot hosts, 0 for others."""
+    part = F.pmod(F.xxhash64(*by), F.lit(DEALS)).cast("int")
+    return rows.join(F.broadcast(hot), "host", "left").withColumn("deal", F.when(F.col("hot"), part).otherwise(0)).drop("hot")
+
+
+def _repeated(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with every ``deal`` for hot hosts, and with 0 for others."""
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(DEALS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(F.broadcast(hot), "host", "left").withColumn("deal", F.explode(parts)).drop("hot")
+
+
+def _branches(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """Counts of the children of every node, and whether each is a branch of its own.
 
     The two shares, of a child and of its siblings, are compared with a pooled variance,
@@ -116,7 +140,8 @@ def _branches(rows: DataFrame) -> DataFrame:
     gap = b * (pn - n) - (pb - b) * n
     spread = pb * (pn - pb) * n * (pn - n)
     apart = (F.col("segment") != WILDCARD) & (n >= MIN_LABELS) & (pn > n) & (gap * gap * pn > spread * F.lit(MERGE_Z * MERGE_Z))
-    return children.join(parents, ["host", "node"]).select("host", "node", "segment", "n", "b", apart.alias("apart"))
+    met = _dealt(children, hot, "segment").join(_repeated(parents, hot), ["host", "deal", "node"])
+    return met.select("host", "node", "segment", "n", "b", apart.alias("apart"))
 
 
 def _below(node: Column, segment: Column) -> Column:
@@ -131,26 +156,34 @@ def template_verdicts(templates: DataFrame, labelled: DataFrame) -> DataFrame:
     first, so a host with a third of all urls weighs no more than its templates.
     """
     counts = materialise(labelled.groupBy("host", "steps").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b")), "labels")
+    hot = materialise(_hot_hosts(templates).union(_hot_hosts(counts)).distinct(), "hosts")
     overall = counts.agg((F.sum("b").cast("double") / F.sum("n")).alias("base"))  # one row
     hosts = counts.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("b").cast("double").alias("b"))
     base = F.coalesce("base", F.lit(0.0))
     known = F.coalesce(_smoothed(F.col("b"), F.col("n"), base), base)
-    walk = templates.join(hosts, "host", "left").crossJoin(F.broadcast(overall))
-    walk = walk.select(*templates.columns, F.lit("").alias("node"), F.lit("").alias("branch"), known.alias("share"))
-    rows = counts.withColumn("node", F.lit(""))
-    for depth in range(1, (counts.agg(F.max(F.size("steps"))).first()[0] or 0) + 1):
+    walk = _dealt(templates, hot, "steps").join(_repeated(hosts, hot), ["host", "deal"], "left").crossJoin(F.broadcast(overall))
+    walk = walk.select(*templates.columns, "deal", F.lit("").alias("node"), F.lit("").alias("branch"), known.alias("share"))
+    rows = _dealt(counts, hot, "steps").withColumn("node", F.lit(""))
+    for depth in itertools.count(1):
         rows = rows.where(F.size("steps") >= depth).withColumn("segment", F.get("steps", F.lit(depth - 1)))
-        branches = materialise(_branches(rows), "branches")
-        own = branches.where("apart").select("host", "node", "segment", F.col("segment").alias("own"))
-        rows = materialise(rows.join(own, ["host", "node", "segment"], "left").select("host", "steps", "n", "b", _below(F.col("node"), F.col("own")).alias("node")), "labels")
+        branches = materialise(_branches(rows, hot), "branches")
+        own = _repeated(branches.where("apart").select("host", "node", "segment", F.col("segment").alias("own")), hot)
         merged = _below(F.col("node"), F.when(F.col("apart"), F.col("segment")))
         nodes = branches.groupBy("host", merged.alias("node")).agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("n") >= MIN_LABELS)
+        nodes = materialise(nodes, "nodes")
+        if nodes.isEmpty():  # nothing below has enough labels either
+            break
+        nodes = _repeated(nodes, hot)
+        named = rows.join(own, ["host", "deal", "node", "segment"], "left").select("host", "deal", "steps", F.col("n"), F.col("b"), _below(F.col("node"), F.col("own")).alias("node"))
+        rows = materialise(named.join(nodes.select("host", "deal", "node"), ["host", "deal", "node"], "left_semi"), "labels")
         # A template that ends above this level has no segment here and keeps its share.
-        walk = walk.withColumn("segment", F.get("steps", F.lit(depth - 1))).join(own, ["host", "node", "segment"], "left")
+        walk = walk.withColumn("segment", F.get("steps", F.lit(depth - 1))).join(own, ["host", "deal", "node", "segment"], "left")
         walk = walk.withColumn("node", F.when(F.col("segment").isNotNull(), _below(F.col("node"), F.col("own")))).drop("own", "segment")
         share = F.coalesce(_smoothed(F.col("b"), F.col("n"), F.col("share")), F.col("share"))
         branch = F.when(F.col("n").isNotNull(), F.col("node")).otherwise(F.col("branch"))
-        walk = walk.join(nodes, ["host", "node"], "left").select(*templates.columns, "node", branch.alias("branch"), share.alias("share"))
+        walk = walk.join(nodes, ["host", "deal", "node"], "left").select(*templates.columns, "deal", "node", branch.alias("branch"), share.alias("share"))
+        if depth % WRITTEN_LEVELS == 0:
+            walk = materialise(walk, "walk")
     share = F.col("share")
     return walk.select(*templates.columns, "branch", share.alias("bad_share"), F.when(share >= MAX_BAD, "block").otherwise("allow").alias("verdict"))
 
@@ -162,7 +195,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], key: str = "pa
     """
     urls = with_template(pages.select(F.col(key).alias("key"), F.col(url).alias("url")))
     seen = with_template(labels.select("url", F.col("bad").cast("long").alias("bad"))).select("host", "steps", "bad")
-    templates = urls.groupBy("host", "steps").agg(F.count(F.lit(1)).alias("urls"))
+    templates = materialise(urls.groupBy("host", "steps").agg(F.count(F.lit(1)).alias("urls")), "templates")
     verdicts = materialise(template_verdicts(templates, seen), "verdicts")
     name, ruled = matched_rule(F.col("host"), F.col("path"), rules)
     return join_unique(urls, verdicts, ["host", "steps"], "urls", ["key", "url"]).select(

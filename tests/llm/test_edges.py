@@ -88,7 +88,27 @@ def test_merged_branches_are_looked_at_together(spark):
     rows = {r["page_id"]: r for r in url_filter.judge(pages, spark.createDataFrame(seen, "url string, bad int"), []).collect()}
     assert {i: r["verdict"] for i, r in rows.items()} == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
     assert rows[1]["branch"] == "/*/*/posts" and rows[3]["branch"] == "/*/old"
-    assert rows[5]["template"].count("/") == url_filter.MAX_DEPTH
+    assert rows[5]["template"].count("/") == 40
+
+
+def test_urls_are_told_apart_at_any_depth(spark):
+    # One host holds most templates, so its rows are dealt; what tells stands in the seventh segment.
+    deep = "http://h.org/" + "a/" * 6
+    seen = [(f"{deep}{kind}/{i}", int(kind == "x")) for i in range(30) for kind in ("x", "y")]
+    pages = [(1, f"{deep}x/77/b"), (2, f"{deep}y/77/b"), (3, f"{deep}z"), (4, "http://cold.org/" + "a/" * 6 + "x/1")]
+    pages += [(10 + i, f"{deep}y/{chr(97 + i % 26)}/{chr(97 + i // 26)}") for i in range(300)]
+    pages = spark.createDataFrame(pages, "page_id long, url string")
+    rows = {r["page_id"]: r for r in url_filter.judge(pages, spark.createDataFrame(seen, "url string, bad int"), []).collect()}
+    assert len(rows) == 304 and rows[1]["branch"].endswith("/x/*") and rows[2]["branch"].endswith("/y/*")
+    assert (rows[1]["verdict"], rows[2]["verdict"]) == ("block", "allow")
+    assert {rows[i]["verdict"] for i in range(10, 310)} == {"allow"} and rows[4]["branch"] == ""
+
+
+def test_two_labels_for_one_url(spark):
+    pages = spark.createDataFrame([(1, "http://h.org/p"), (2, "http://h.org/p")], "page_id long, url string")
+    labels = spark.createDataFrame([("http://h.org/p", b) for b in [1] * 40 + [0] * 5], "url string, bad int")
+    rows = url_filter.judge(pages, labels, []).collect()
+    assert len(rows) == 2 and {(r["verdict"], r["bad_share"]) for r in rows} == {("block", round((40 + 20 * (40 + 20 * 40 / 45) / 65) / 65, 6))}
 
 
 def test_hot_keys_are_dealt(spark):
