@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.leiden import communities
 from tesserae.session import materialise
 
 #: Cells that the search for near vectors deals to at most, and values that its pivots hold in all.
@@ -117,34 +118,6 @@ def mixture(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return model.transform(vectors).select("id", F.concat(F.lit("niche_"), F.col("prediction")).alias("label"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20) -> DataFrame:
-    """``id, label`` by rounds of moving nodes to the neighbor label with the largest gain in modularity.
-
-    Nodes move in alternating halves, so that neighbors don't swap labels for ever.
-    """
-    e = materialise(edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("w")), "weights")
-    both = e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(e.select("b", "a", "w"))
-    degree = materialise(both.groupBy("src").agg(F.sum("w").alias("k")), "degree")
-    total = degree.agg(F.sum("k").alias("m2")).first()["m2"] or 1.0
-    labels = degree.select(F.col("src").alias("id"), F.col("src").alias("label"), "k")
-    for r in range(rounds):
-        sizes = labels.groupBy("label").agg(F.sum("k").alias("size"))
-        near = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("in"))
-        own = labels.select("id", F.col("label").alias("old"), "k")
-        gain = near.join(own, "id").join(sizes, "label")
-        outside = F.col("size") - F.when(F.col("label") == F.col("old"), F.col("k")).otherwise(0.0)
-        scored = gain.withColumn("gain", F.round(F.col("in") - resolution * F.col("k") * outside / total, 9))
-        best = scored.groupBy("id").agg(F.max_by(F.struct("label", "gain"), F.struct("gain", (F.col("label") == F.col("old")).alias("same"), (-F.col("label")).alias("low"))).alias("best"))
-        turn = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
-        moved = labels.join(best, "id", "left").select("id", F.when(turn & F.col("best").isNotNull() & (F.col("best.gain") > 0), F.col("best.label")).otherwise(F.col("label")).alias("label"), F.col("label").alias("old"), "k")
-        moved = materialise(moved, "labels")
-        still = moved.where("label <> old").isEmpty()
-        labels = moved.drop("old")
-        if still and r % 2:
-            break
-    return labels.select("id", "label")
-
-
 def finish(labels: DataFrame, nodes: DataFrame, min_size: int | None = None, mask: str | None = None, prefix: str | None = None) -> DataFrame:
     """Marks masked cells and small niches as ``not_a_niche``, then prefixes labels."""
     out = nodes.select("id", *([F.expr(mask).alias("_keep")] if mask else [F.lit(True).alias("_keep")])).join(labels, "id", "left")
