@@ -134,12 +134,8 @@ def map_blocks(blocks: DataFrame, func: Callable[[np.ndarray, Tile], tuple[np.nd
     return blocks.mapInPandas(run, SCHEMA)
 
 
-def map_overlap(blocks: DataFrame, depth: int, func: Callable[[np.ndarray, Tile], tuple[np.ndarray, float]], only: DataFrame | None = None) -> DataFrame:
-    """Every block with up to ``depth`` pixels around it, as far as the image reaches.
-
-    ``func`` returns the planes of the block itself (``tile.inner``) and its ``stat``.  With
-    ``only`` (``img, by, bx``) no other block is made.
-    """
+def _halos(blocks: DataFrame, depth: int) -> DataFrame:
+    """The parts of blocks that lie within ``depth`` of each block, keyed by the block they go to."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in _rows(batches):
@@ -155,24 +151,44 @@ def map_overlap(blocks: DataFrame, depth: int, func: Callable[[np.ndarray, Tile]
                         out.append({"img": row.img, "by": ty, "bx": tx, "ih": tile.ih, "iw": tile.iw, "size": size, "y": ya, "x": xa, **part})
             yield pd.DataFrame(out)
 
+    return blocks.mapInPandas(send, _PART)
+
+
+def _with_halo(parts: pd.DataFrame, depth: int) -> tuple[np.ndarray, Tile]:
+    """The array of a block and its halo, put together from its parts."""
+    row = next(parts.itertuples(index=False))
+    tile = _tile(row)
+    y0, x0 = max(tile.y0 - depth, 0), max(tile.x0 - depth, 0)
+    y1, x1 = min(tile.y0 + tile.h + depth, tile.ih), min(tile.x0 + tile.w + depth, tile.iw)
+    canvas = np.full((int(row.planes), y1 - y0, x1 - x0), np.nan)
+    for part in parts.itertuples(index=False):
+        y, x = int(part.y) - y0, int(part.x) - x0
+        canvas[:, y : y + int(part.h), x : x + int(part.w)] = _array(part)
+    return canvas, Tile(tile.img, tile.y0, tile.x0, tile.h, tile.w, tile.ih, tile.iw, tile.y0 - y0, tile.x0 - x0)
+
+
+def map_overlap(blocks: DataFrame, depth: int, func: Callable[[np.ndarray, Tile], tuple[np.ndarray, float]], only: DataFrame | None = None) -> DataFrame:
+    """Every block with up to ``depth`` pixels around it, as far as the image reaches.
+
+    ``func`` returns the planes of the block itself (``tile.inner``) and its ``stat``.  With
+    ``only`` (``img, by, bx``) no other block is made.
+    """
+
     def gather(parts: pd.DataFrame) -> pd.DataFrame:
-        row = next(parts.itertuples(index=False))
-        tile = _tile(row)
-        y0, x0 = max(tile.y0 - depth, 0), max(tile.x0 - depth, 0)
-        y1, x1 = min(tile.y0 + tile.h + depth, tile.ih), min(tile.x0 + tile.w + depth, tile.iw)
-        canvas = np.full((int(row.planes), y1 - y0, x1 - x0), np.nan)
-        for part in parts.itertuples(index=False):
-            y, x = int(part.y) - y0, int(part.x) - x0
-            canvas[:, y : y + int(part.h), x : x + int(part.w)] = _array(part)
-        placed = Tile(tile.img, tile.y0, tile.x0, tile.h, tile.w, tile.ih, tile.iw, tile.y0 - y0, tile.x0 - x0)
-        return _one(row, placed, *func(canvas, placed))
+        canvas, placed = _with_halo(parts, depth)
+        return _one(next(parts.itertuples(index=False)), placed, *func(canvas, placed))
 
-    sent = blocks.mapInPandas(send, _PART)
+    sent = _halos(blocks, depth)
     if only is not None:
         sent = sent.join(only.select(*KEYS).distinct(), KEYS, "left_semi")
     return sent.groupBy(*KEYS).applyInPandas(gather, SCHEMA)
 
 
+def overlap_rows(blocks: DataFrame, depth: int, func: Callable[[np.ndarray, Tile], pd.DataFrame], schema: str) -> DataFrame:
+    """Rows that ``func`` makes of every block with up to ``depth`` pixels around it."""
+    return _halos(blocks, depth).groupBy(*KEYS).applyInPandas(lambda parts: func(*_with_halo(parts, depth)), schema)
+
+
 def _scatter(a: np.ndarray, y0: int, x0: int, img: str, ih: int, iw: int, size: int) -> list[dict]:
     """Parts of an array at a place of an image, one for each block of ``size`` that it reaches into."""
     out = []

@@ -96,11 +96,12 @@ def _refined(both: DataFrame, moved: DataFrame, total: float, resolution: float,
     return now.select("id", "k", "label", "part")
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, levels: int = 30) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 30) -> DataFrame:
     """``id, label`` for every node with an edge to another; a label is the least id of its community.
 
     ``edges`` has ``src, dst, w`` with numbers as ids; rows for one pair, in either direction, are added up.
-    An empty table has no communities.
+    An empty table has no communities.  ``rounds`` bounds the moves of one level; what still gains goes on
+    in the next, with fewer nodes.
     """
     e = edges.where("src <> dst and w > 0").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w"))
     first = materialise(e, "weights")

@@ -14,6 +14,7 @@ from tesserae.functions.stats import quantile
 from tesserae.operators import blocks as bl
 from tesserae.operators import morphology as mo
 from tesserae.operators.images import gray, otsu
+from tesserae.operators.pixel_classifier import PixelClassifier, tissue_mask
 from tesserae.operators.segmentation import number_labels
 from tesserae.session import materialise
 
@@ -56,7 +57,8 @@ def coarse(level: DataFrame, height: int, width: int, most: int) -> tuple[DataFr
     fy, fx = (math.ceil(n / max(1, int(n * scale))) for n in (height, width))
     h, w = height // fy, width // fx
     kept = level.where((F.col("y") < h * fy) & (F.col("x") < w * fx))
-    return kept.groupBy(F.floor(F.col("y") / fy).cast("long").alias("y"), F.floor(F.col("x") / fx).cast("long").alias("x")).agg(F.avg("val").alias("val")), h, w
+    channel = [c for c in ("c",) if c in level.columns]
+    return kept.groupBy(F.floor(F.col("y") / fy).cast("long").alias("y"), F.floor(F.col("x") / fx).cast("long").alias("x"), *channel).agg(F.avg("val").alias("val")), h, w
 
 
 def background_is_bright(level: DataFrame, height: int, width: int, corners: Corners) -> bool:
@@ -114,11 +116,12 @@ def detect_tissue(
     hole_share: float = 0.0001,
     smoothing_cycles: int = 0,
     size: int = bl.SIZE,
+    classifier: PixelClassifier | None = None,
 ) -> DataFrame:
     """``y, x, label`` of the tissue in an image of pixel rows ``y, x, c, val``.
 
-    Otsu's threshold on gray levels, on the side that the corners are not on; margins
-    cleared, small holes filled, specimens kept, the mask smoothed and, if it
+    Otsu's threshold on gray levels, on the side that the corners are not on, or what a
+    ``classifier`` learns from the corners; margins cleared, small holes filled, specimens kept, the mask smoothed and, if it
     was made on means of windows, brought back to the size of the image.  An image without
     pixels or of one level has no tissue.
     """
@@ -127,6 +130,8 @@ def detect_tissue(
     if shape["h"] is None:
         return empty
     full = margins_of(border_margin, shape["h"], shape["w"])
+    if classifier is not None:
+        return _classified(pixels, classifier, corners, full, (shape["h"], shape["w"]), max_pixels, hole_share, min_specimen_share, n_samples, smoothing_cycles, size, empty)
     level, h, w = coarse(gray(pixels, "tissue"), shape["h"], shape["w"], max_pixels)
     level = materialise(level.select(F.lit("image").alias("img"), "y", "x", F.lit(0).alias("c"), "val"), "level")
     threshold = otsu(level.select("val")).first()["threshold"]
@@ -135,11 +140,24 @@ def detect_tissue(
     bright = background_is_bright(level, h, w, corners)
     margins = scaled_margins(full, (shape["h"], shape["w"]), (h, w))
     mask = bl.map_blocks(bl.to_blocks(level, size), lambda a, tile: (((a <= threshold) if bright else (a >= threshold)).astype(np.float64), 0.0))
+    return _finished(mask, margins, (h, w), (shape["h"], shape["w"]), hole_share, min_specimen_share, n_samples, smoothing_cycles)
+
+
+def _classified(pixels, classifier, corners, margins, shape, max_pixels, hole_share, min_specimen_share, n_samples, smoothing_cycles, size, empty) -> DataFrame:
+    level, h, w = coarse(pixels.select("y", "x", "c", "val"), *shape, max_pixels)
+    blocks = materialise(bl.to_blocks(level, size), "level")
+    inner = scaled_margins(margins, shape, (h, w))
+    mask = tissue_mask(blocks, classifier, (corners.top_left, corners.bottom_left, corners.top_right, corners.bottom_right), corners.share, inner, size)
+    return empty if mask is None else _finished(mask, inner, (h, w), shape, hole_share, min_specimen_share, n_samples, smoothing_cycles)
+
+
+def _finished(mask: DataFrame, margins: tuple[int, int, int, int], made: tuple[int, int], shape: tuple[int, int], hole_share: float, min_specimen_share: float, n_samples: int | None, smoothing_cycles: int) -> DataFrame:
+    """Numbered specimens of a mask, at the size of the image."""
     mask = mo.clear_border(mask, margins)
     if hole_share > 0:
         mask = mo.fill_holes(materialise(mask, "mask"), hole_share)
     found = materialise(bl.label_components(materialise(mask, "mask"), 0, diagonal=True), "tissue")
-    labels = mo.clear_border(smoothed(specimens(found, min_specimen_share, n_samples), smoothing_cycles, h, w), margins)
-    if (h, w) != (shape["h"], shape["w"]):
-        labels = bl.resize_nearest(labels, pixels.sparkSession.createDataFrame([("image", shape["h"], shape["w"])], "img string, h long, w long"))
+    labels = mo.clear_border(smoothed(specimens(found, min_specimen_share, n_samples), smoothing_cycles, *made), margins)
+    if made != shape:
+        labels = bl.resize_nearest(labels, mask.sparkSession.createDataFrame([("image", *shape)], "img string, h long, w long"))
     return bl.to_pixels(labels, 0, above=0.0).select("y", "x", F.col("val").cast("long").alias("label"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import blocks, cell_features, container, images, outline, qc, segmentation, sepal, stain, stitching, tiling, tissue
+from tesserae.operators.pixel_classifier import PixelClassifier
 from tesserae.plans import tile_sql
 from tesserae.session import materialise
 from tesserae.sources import views
@@ -210,6 +211,11 @@ def _(spark, sf):
     return tissue.detect_tissue(views.pixels(spark, sf), min_specimen_share=0.001, hole_share=0, n_samples=12, max_pixels=2700)
 
 
+@register("detect_tissue_trained")
+def _(spark, sf):
+    return tissue.detect_tissue(views.pixels(spark, sf), border_margin=(3, 2, 1, 0), min_specimen_share=0.0005, hole_share=0.0005, classifier=PixelClassifier())
+
+
 @register(
     "qc_brightness",
     _TILED + " SELECT ty, tx, round(avg(val), 6) AS brightness_mean, round(stddev_pop(val), 6) AS brightness_std, round(var_pop(val), 4) AS pop_variance FROM g GROUP BY ty, tx",
