@@ -81,7 +81,7 @@ def resample(labels: DataFrame, m) -> DataFrame:
         base = m[r + "x"] * x + m[r + "y"] * y + (m[r + "o"] - 0.5)
         low, high = (f(0.0, m[r + "x"]) + f(0.0, m[r + "y"]) for f in (min, max))
         ends[r] = F.explode(F.sequence(F.floor(base + (low - 1e-6)).cast("long"), F.ceil(base + (high + 1e-6)).cast("long")))
-    near = labels.where("label <> 0").select("y", "x", "label", ends["y"].alias("ny"), ).withColumn("nx", ends["x"])
+    near = labels.where("label <> 0").select("y", "x", "label", ends["y"].alias("ny")).withColumn("nx", ends["x"])
     u, v = F.col("nx") + (0.5 - m["xo"]), F.col("ny") + (0.5 - m["yo"])
     own = (F.floor(a * u + b * v) == x) & (F.floor(c * u + d * v) == y)
     return near.where(own).select(F.col("ny").alias("y"), F.col("nx").alias("x"), "label")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import warnings
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -128,9 +129,73 @@ def finish(labels: DataFrame, nodes: DataFrame, min_size: int | None = None, mas
     return out.select("id", (F.concat(F.lit(prefix), "label") if prefix else F.col("label")).alias("label"))
 
 
+#: What each flavor reads beside cells and edges, and the options that it uses.
+FLAVORS: dict[str, tuple[set[str], set[str]]] = {
+    "neighborhood": (set(), {"value", "distance", "weights", "absolute", "scale", "resolution"}),
+    "utag": ({"expr"}, {"resolution"}),
+    "cellcharter": ({"expr"}, {"n_components", "distance", "aggregation", "random_state"}),
+    "spatialleiden": ({"latent"}, {"layer_ratio", "resolution"}),
+}
+COMMON = {"min_size", "mask", "prefix"}
+
+
+def check_arguments(flavor: str, tables: dict[str, DataFrame | None], options: dict) -> dict:
+    """The options that a flavor uses; raises for what is missing or out of range and warns of what is unused."""
+    if flavor not in FLAVORS:
+        raise ValueError(f"unknown flavor {flavor}")
+    needed, used = FLAVORS[flavor]
+    missing = sorted(t for t in needed if tables.get(t) is None)
+    if missing:
+        raise ValueError(f"{flavor} needs {missing}")
+    known = COMMON.union(*[u for _, u in FLAVORS.values()])
+    unknown = sorted(options.keys() - known)
+    if unknown:
+        raise TypeError(f"unknown options: {unknown}")
+    for name, least in (("distance", 1), ("n_components", 1), ("min_size", 0)):
+        v = options.get(name)
+        if v is not None and (isinstance(v, bool) or not isinstance(v, int) or v < least):
+            raise ValueError(f"{name} must be a whole number from {least}")
+    for name in ("resolution", "layer_ratio"):
+        if name in options and not options[name] > 0:
+            raise ValueError(f"{name} must be above zero")
+    if options.get("aggregation", "mean") not in ("mean", "variance"):
+        raise ValueError("aggregation is mean or variance")
+    unused = sorted([t for t, v in tables.items() if v is not None and t not in needed] + [o for o in options if o not in used | COMMON])
+    if unused:
+        warnings.warn(f"{flavor} does not use {unused}", stacklevel=3)
+    return {k: v for k, v in options.items() if k in used | COMMON}
+
+
+def calculate_custom(
+    nodes: DataFrame,
+    edges: DataFrame,
+    embedder: Callable[[DataFrame, DataFrame], DataFrame],
+    clusterer: Callable[[DataFrame], DataFrame],
+    library: str | None = None,
+    min_size: int | None = None,
+    mask: str | None = None,
+) -> DataFrame:
+    """``id, label`` by any embedding and any clustering.
+
+    ``embedder`` gets cells and edges, ``clusterer`` gets its result and returns ``id, label``.  With ``library``, a
+    column of ``nodes``, each of its values is worked on by itself, with edges inside it only, and its labels
+    start with ``lib=``, the value and ``_``; cells without one are no niche.
+    """
+    one = lambda part, inside, prefix: finish(clusterer(embedder(part, inside)), part, min_size, mask, prefix)
+    if library is None:
+        return one(nodes, edges, None)
+    own = nodes.select("id", F.col(library).alias("_lib"))
+    ends = edges.join(own.withColumnsRenamed({"id": "src"}), "src").join(own.withColumnsRenamed({"id": "dst", "_lib": "_to"}), "dst").where("_lib = _to").drop("_to")
+    inside = materialise(ends.select(*edges.columns, "_lib"), "library-edges")
+    out = nodes.where(F.col(library).isNull()).select("id", F.lit("not_a_niche").alias("label"))
+    for name in sorted(r["_lib"] for r in own.where("_lib is not null").select("_lib").distinct().collect()):  # a row for each library
+        out = out.unionByName(one(nodes.where(F.col(library) == name), inside.where(F.col("_lib") == name).drop("_lib"), f"lib={name}_"))
+    return out
+
+
 def calculate_niche(flavor: str, nodes: DataFrame, edges: DataFrame, expr: DataFrame | None = None, latent: DataFrame | None = None, **options) -> DataFrame:
     """``id, label`` by one of the flavors neighborhood, utag, cellcharter and spatialleiden."""
-
+    options = check_arguments(flavor, {"expr": expr, "latent": latent}, options)
     post = {k: options.pop(k) for k in ("min_size", "mask", "prefix") if k in options}
     resolution = options.pop("resolution", 1.0)
     if flavor == "cellcharter":
@@ -141,12 +206,10 @@ def calculate_niche(flavor: str, nodes: DataFrame, edges: DataFrame, expr: DataF
         rows = neighborhood_profile(edges, nodes, **options).select("id", F.col("cl").alias("gene"), "value")
     elif flavor == "utag":
         rows = aggregate(edges, expr)
-    elif flavor == "spatialleiden":
+    else:
         ratio = options.pop("layer_ratio", 1.0)
         both = edges.select("src", "dst", (F.col("w") * ratio).alias("w")).union(latent.select("src", "dst", "w"))
         return finish(communities(both, resolution), nodes, **post)
-    else:
-        raise ValueError(f"unknown flavor {flavor}")
     return finish(communities(feature_neighbors(as_vectors(rows, nodes)), resolution), nodes, **post)
 
 

@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import blocks, cell_features, container, images, outline, qc, segmentation, sepal, stain, stitching, tiling, tissue
 from tesserae.operators.pixel_classifier import PixelClassifier
 from tesserae.plans import tile_sql
+from tesserae.plans.book import register
 from tesserae.session import materialise
 from tesserae.sources import views
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
 
 
 def _r(*names: str) -> list[F.Column]:

@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import stats
 from tesserae.operators import autocorr, graph, graph_stats, ligrec, niche, patterns, tables
-from tesserae.plans import image_queries
+from tesserae.plans import grid_queries, image_queries  # noqa: F401  # they enter their queries in the book
+from tesserae.plans.book import ORACLES, QUERIES, register  # noqa: F401
 from tesserae.session import materialise
 from tesserae.sources import views
 from tesserae.streaming import windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 ROUND = 6
 
 
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 def _r(c: str) -> F.Column:
     return F.round(F.col(c), ROUND).alias(c)
 
@@ -459,12 +445,24 @@ def _(spark, sf):
     return niche.calculate_niche("spatialleiden", points, edges, latent=edges, layer_ratio=0.5)
 
 
+@register(
+    "niche_custom",
+    LATTICE
+    + """, own AS (SELECT id, lib % 4 AS grp, cl, lib FROM lattice), p AS (SELECT e.src AS id, d.cl, sum(w) AS n FROM e JOIN own d ON d.id = e.dst GROUP BY ALL),
+ best AS (SELECT id, cl FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, cl) = 1), l AS (SELECT own.id, grp, CASE WHEN best.cl IS NULL OR own.id % 10 = 0 THEN 'not_a_niche' ELSE best.cl END AS label FROM own LEFT JOIN best ON best.id = own.id),
+ z AS (SELECT *, count(*) OVER (PARTITION BY grp, label) AS n FROM l)
+ SELECT id, concat('lib=', grp, '_', CASE WHEN n < 70 THEN 'not_a_niche' ELSE label END) AS label FROM z""",
+)
+def _(spark, sf):
+    """Niches named after the commonest label around a cell, in four groups of libraries by themselves."""
+    points, edges = lattice_graph(spark, sf)
+    around = lambda nodes, own: niche.hop_profile(own, nodes, absolute=True)
+    commonest = lambda rows: rows.groupBy("id").agg(F.min_by("cl", F.struct(-F.col("share"), F.col("cl"))).alias("label"))
+    return niche.calculate_custom(points.withColumn("grp", F.col("lib") % 4), edges, around, commonest, library="grp", min_size=70, mask="id % 10 <> 0")
+
+
 @register("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     out = windows.run_once(spark, sf, "events.parquet", schema, "ts", "event_type", "value")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n", F.round("total", 4).alias("total"))
-
-
-QUERIES.update(image_queries.QUERIES)
-ORACLES.update(image_queries.ORACLES)

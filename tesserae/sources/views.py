@@ -104,8 +104,32 @@ def cell_pixels(spark: SparkSession, sf_dir: str, least: int = 5, cut: bool = Tr
     return pixels.where(whole("y") & whole("x")).groupBy("y", "x").agg(F.max(F.col("id") * 4 + tile("y") * 2 + tile("x") + 1).alias("label"))
 
 
+#: Directions of the corners of ``polygons``, and of the squares that are their holes.
+CORNERS, HOLE = ((4, 0), (2, 3), (-2, 3), (-4, 0), (-2, -3), (2, -3)), ((1.25, 1.25), (-1.25, 1.25), (-1.25, -1.25), (1.25, -1.25))
+
+
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``label, ring, k, x, y``: a hexagon with a square hole for each embedding; its corners lie as far out as the first components tell."""
+    k = F.col("vec_id").cast("long")
+    far = lambda i: F.pmod(F.round(F.element_at("embedding", i + 1).cast("double") * 10000).cast("long"), F.lit(5)) / 4.0 + 1
+    at = lambda ring, i, dx, dy, f: F.struct(F.lit(ring).alias("ring"), F.lit(i).alias("k"), (F.col("cx") + f * dx).alias("x"), (F.col("cy") + f * dy).alias("y"))
+    corners = [at(0, i, dx, dy, far(i)) for i, (dx, dy) in enumerate(CORNERS)] + [at(1, i, dx, dy, F.lit(1.0)) for i, (dx, dy) in enumerate(HOLE)]
+    middle = table(spark, sf_dir, "embeddings").withColumns({"cx": (k % 25 * CELL_STEP + CELL_STEP // 2).cast("double"), "cy": (F.floor(k / 25) * CELL_STEP + CELL_STEP // 2).cast("double")})
+    return middle.select((k + 1).alias("label"), F.explode(F.array(*corners)).alias("p")).select("label", "p.*")
+
+
+def discs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``label, x, y, radius``: a disc of radius 4 to 6 for each part; some overlap."""
+    k = F.col("p_partkey").cast("long")
+    return table(spark, sf_dir, "part").select(k.alias("label"), (k * 7919 % 10007 / 8.0).alias("x"), (k * 104729 % 10009 / 8.0).alias("y"), (k % 3 + 4).cast("double").alias("radius"))
+
+
 #: The same views for SQL.
 VIEWS_SQL = {
+    "polygons": f"""SELECT vec_id::BIGINT + 1 AS label, r AS ring, i AS k, vec_id % 25 * {CELL_STEP} + {CELL_STEP // 2} + f * dx AS x, vec_id // 25 * {CELL_STEP} + {CELL_STEP // 2} + f * dy AS y FROM (
+ SELECT vec_id, r, i, dx, dy, CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE ((round(embedding[i + 1]::DOUBLE * 10000)::BIGINT % 5 + 5) % 5) / 4.0::DOUBLE + 1 END AS f FROM embeddings,
+ (VALUES {", ".join(f"({r}, {i}, {dx}::DOUBLE, {dy}::DOUBLE)" for r, ring in enumerate((CORNERS, HOLE)) for i, (dx, dy) in enumerate(ring))}) v(r, i, dx, dy))""",
+    "discs": "SELECT p_partkey::BIGINT AS label, p_partkey * 7919 % 10007 / 8.0::DOUBLE AS x, p_partkey * 104729 % 10009 / 8.0::DOUBLE AS y, (p_partkey % 3 + 4)::DOUBLE AS radius FROM part",
     "lattice": "SELECT floor(c_custkey / 400.0)::BIGINT AS lib, c_custkey AS id, (c_custkey % 40)::DOUBLE AS x, floor(c_custkey / 40.0)::DOUBLE AS y, c_mktsegment AS cl, c_acctbal AS value FROM customer",
     "cloud": "SELECT p_brand AS lib, p_partkey AS id, (p_partkey * 7919 % 10007) / 10.0::DOUBLE AS x, (p_partkey * 104729 % 10009) / 10.0::DOUBLE AS y, p_type AS cl FROM part",
     "spots": "SELECT floor(vec_id / 500.0)::BIGINT AS lib, vec_id AS id, (vec_id % 25)::DOUBLE AS x, floor(vec_id / 25.0)::DOUBLE AS y, concat('c', label) AS cl FROM embeddings",
