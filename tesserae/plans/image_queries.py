@@ -13,7 +13,6 @@ from tesserae.session import materialise
 from tesserae.sources import views
 
 
-
 def _r(*names: str) -> list[F.Column]:
     return [F.round(F.col(n), 6).alias(n) for n in names]
 
