@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import alignment, physical
+from tesserae.operators import alignment, physical, stitch_shapes
+from tesserae.plans import tile_sql
 from tesserae.plans.book import register
 from tesserae.sources import views
 
@@ -111,3 +112,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         "edge": physical.microns_per_pixel(squares, square_edge=2.0),
     }
     return spark.createDataFrame(list(made.items()), "known string, mpp double").withColumn("mpp", F.round("mpp", 9))
+
+
+@register("stitch_candidates", views.with_views("cell_pixels") + tile_sql.STITCH_CANDIDATES)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of pieces that face each other, with the parts of their score that need no pixels."""
+    pairs = stitch_shapes.candidate_pairs(views.cell_pixels(spark, sf), stitch_shapes.Stitching())
+    return pairs.select("axis", "a", "b", *[F.round(c, 6).alias(c) for c in stitch_shapes.PLACED])
+
+
+@register("stitched_by_shape")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of pieces whose closed unions look like cells."""
+    groups = stitch_shapes.stitch_by_shape(views.cell_pixels(spark, sf))
+    return groups.withColumn("confidence", F.round("confidence", 6))

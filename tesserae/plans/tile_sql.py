@@ -159,6 +159,14 @@ _GROUPS = (
  grp AS (SELECT label, min(other) AS grp, count(*) AS n FROM reach GROUP BY label)
 """
 )
+STITCH_CANDIDATES = (
+    _BOX
+    + """, size AS (SELECT label, count(*) AS area FROM cell_pixels GROUP BY label), big AS (SELECT sides.*, CASE WHEN side IN ('top', 'bottom') THEN 'h' ELSE 'v' END AS axis FROM sides JOIN size USING (label) WHERE run >= greatest(5, 0.4 * sqrt(4 * area / pi()))),
+ met AS (SELECT p.axis, least(p.label, q.label) AS a, greatest(p.label, q.label) AS b, q.edge - p.edge - 1 AS gap, least(p.z, q.z) - greatest(p.a, q.a) + 1 AS common, p.run AS rp, q.run AS rq, abs(p.a - q.a) + abs(p.z - q.z) AS apart
+  FROM big p JOIN big q ON p.axis = q.axis AND p.side IN ('bottom', 'right') AND q.side IN ('top', 'left') AND p.label <> q.label AND q.edge - p.edge - 1 BETWEEN 0 AND 3),
+ f AS (SELECT axis, a, b, common / (rp + rq - common) AS iou, greatest(0, 1 - apart / greatest(rp, rq)) AS e, greatest(0, 1 - gap / 6.0) AS g FROM met WHERE common > 0)
+ SELECT axis, a, b, round(iou, 6) AS iou, round(e, 6) AS endpoint_match, round(g, 6) AS gap_proximity FROM f WHERE iou >= 0.2"""
+)
 STITCHED = _GROUPS + """ SELECT y, x, coalesce(CASE WHEN n <= 4 THEN grp END, label) AS label FROM cell_pixels LEFT JOIN grp USING (label)"""
 _MERGE = {"sum": "sum({0})", "min": "min({0})", "max": "max({0})", "mean": "avg({0})", "median": "quantile_cont({0}, 0.5)", "first": "arg_min({0}, label)"}
 STITCHED_TABLE = (
