@@ -10,8 +10,11 @@ Where the library's tables of letters, digits and white space differ from those
 pattern's engine, words come from the library's own splitter: each character outside
 ASCII is tried once in both.
 
-Words recur, so a worker keeps the changes of words that it has met; the cache is
-emptied when it reaches a limit.
+The tokens that may end at a byte come from an automaton of all tokens, made as its nodes
+are met, so a byte costs a step and mostly one trial, however long tokens are.
+
+Words recur, so a worker keeps the changes of words that it has met; when the cache reaches
+a limit, the words not met since it last did are let go.
 
 Defined results: a null or empty text has no tokens; repeated rows count alike; an
 empty table gives no rows; other columns are ignored.
@@ -35,8 +38,13 @@ from tokenizers import Tokenizer
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Contractions that the pattern takes as one word although it is three characters.
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
-#: Words whose changes one worker keeps.
-CACHE_WORDS = 400_000
+#: Words whose changes one worker keeps, once as the newer and once as the older ones.
+CACHE_WORDS = 300_000
+#: Pairs of tokens, and steps of a byte, that one worker keeps.
+CACHE_PAIRS = 2_000_000
+CACHE_STEPS = 1_000_000
+#: Where a node has the tokens that end there; other keys are bytes.
+_ENDS = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,9 +84,15 @@ class PrefixCounter:
         if min(self.pairs.values()) < len(letters):
             raise ValueError("not a byte-level vocabulary")
         self.rank = order
-        self.longest = max(map(len, order))
-        self.fits: dict[tuple[int, int], bool] = {}
+        # What tokens begin with: the bytes seen last are a node as long as some token goes on like that.
+        self.begun = {token[:k] for token in order for k in range(1, len(token) + 1)}
+        self.nodes: dict[bytes, dict] = {}
+        self.names: dict[int, bytes] = {}
+        self.steps = 0
+        self.root = self._node(b"")
+        self.fits: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.find = regex.compile(PATTERN).findall
         # A text between two of which no prefix reaches over: white space and what follows it.
         self.runs = regex.compile(r"\s*\S+|\s+").findall
@@ -124,23 +138,49 @@ class PrefixCounter:
                     return True
                 before, b = b + 1, parts[b][0]
 
+    def _node(self, name: bytes) -> dict:
+        """The node of the bytes ``name``, with length and number of all tokens that end there, longest first."""
+        node = self.nodes.get(name)
+        if node is None:
+            ends = [(len(name) - i, self.rank[name[i:]]) for i in range(len(name)) if name[i:] in self.rank]
+            node = self.nodes[name] = {_ENDS: tuple(ends)}
+            self.names[id(node)] = name
+        return node
+
+    def _step(self, node: dict, byte: int) -> dict:
+        """The node after one more byte: the longest end of what was seen that begins a token."""
+        name = self.names[id(node)] + bytes([byte])
+        while name not in self.begun:
+            name = name[1:]
+        if self.steps >= CACHE_STEPS:
+            # Nodes stay, so that a word under way goes on.
+            for known in self.nodes.values():
+                ends = known[_ENDS]
+                known.clear()
+                known[_ENDS] = ends
+            self.steps = 0
+        self.steps += 1
+        made = node[byte] = self._node(name)
+        return made
+
     def word_prefixes(self, word: bytes) -> list[int]:
         """Token counts of word[:0], word[:1], ... for one word of the pattern."""
-        rank, fits, longest = self.rank, self.fits, self.longest
+        fits, node = self.fits, self.root
         last: list[int] = [-1]
         count = [0]
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = rank.get(word[start:end])
-                if token is None:
-                    continue
+        end = 0
+        for byte in word:
+            end += 1
+            node = node.get(byte) or self._step(node, byte)
+            for length, token in node[_ENDS]:
+                start = end - length
                 if start:
-                    pair = (last[start], token)
+                    pair = last[start] << 20 | token
                     good = fits.get(pair)
                     if good is None:
-                        if len(fits) > 2_000_000:
+                        if len(fits) >= CACHE_PAIRS:
                             fits.clear()
-                        good = fits[pair] = self._fit(*pair)
+                        good = fits[pair] = self._fit(last[start], token)
                     if not good:
                         continue
                 last.append(token)
@@ -150,10 +190,16 @@ class PrefixCounter:
 
     def _keep(self, piece: str, made: bytes) -> bytes:
         if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
+            self.older, self.words = self.words, {}
         self.words[piece] = made
         return made
 
+    def _known(self, piece: str) -> bytes | None:
+        made = self.words.get(piece)
+        if made is None and (made := self.older.get(piece)) is not None:
+            self._keep(piece, made)
+        return made
+
     def _word(self, word: str) -> bytes:
         counts = self.word_prefixes(word.encode("utf-8", "surrogatepass"))
         if word in LONG_CONTRACTIONS:
@@ -161,6 +207,8 @@ class PrefixCounter:
         return self._keep(word, _steps(counts))
 
     def _chunk(self, chunk: str) -> bytes:
+        if (known := self._known(chunk)) is not None:
+            return known
         found = self._split(chunk)
         made: list[bytes] = []
         i, shift = 0, 0
@@ -174,7 +222,7 @@ class PrefixCounter:
                 # Before another word the run is split.
                 shift = sum(self.word_prefixes(w.encode())[-1] for w in run) - counts[-1] if len(run) > 1 else 0
                 continue
-            known = self.words.get(word)
+            known = self._known(word)
             known = self._word(word) if known is None else known
             made.append(_steps([0, known[0] + shift]) + known[1:] if shift else known)
             i, shift = i + 1, 0
@@ -233,7 +281,13 @@ class PrefixCounter:
 def _steps(counts: list[int]) -> bytes:
     """Differences of the counts as signed bytes."""
     made = list(map(operator.sub, counts[1:], counts))
-    if made and not -128 <= min(made) <= max(made) <= 127:
+    try:
+        plain = bytes(made)
+        if plain.isascii():
+            return plain
+    except ValueError:
+        pass  # some are negative
+    if not -128 <= min(made) <= max(made) <= 127:
         raise ValueError("a byte changes the count by too much")
     return bytes([x & 255 for x in made])
 
