@@ -21,10 +21,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.llm.slices import slices
 from tesserae.session import materialise, release
 
 #: Characters of a text that take part in its splitters.
@@ -38,14 +39,34 @@ NORMALISERS: dict[str, Callable[[Column], Column]] = {
 
 
 def _combine_batches(keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    best = max if keep == "max" else min
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.table({"body": pc.cast(batch.column("body"), pa.large_string()), "id": batch.column("id"), "one": pa.array([1] * batch.num_rows, pa.int64())})
-            made = rows.group_by("body").aggregate([("id", keep), ("one", "sum"), ("id", "list")])
-            out = pa.table({"body": pc.cast(made["body"], pa.string()), "ids": made["id_list"], "best": made[f"id_{keep}"], "n": made["one_sum"]})
-            yield from out.combine_chunks().to_batches()
+            bodies, ids = batch.column("body"), batch.column("id").to_pylist()
+            known: dict[int, list[int]] = {}  # first rows of the different texts of each hash
+            copies: dict[int, list[int]] = {}  # ids by first row
+            for i, body in enumerate(bodies):
+                rows = known.setdefault(xxhash.xxh3_64_intdigest(body.as_buffer()), [])
+                first = next((k for k in rows if bodies[k].equals(body)), i)
+                if first == i:
+                    rows.append(i)
+                copies.setdefault(first, []).append(ids[i])
+            del bodies
+            rest = batch.filter(pa.array([i in copies for i in range(batch.num_rows)])) if len(copies) < batch.num_rows else batch
+            members = list(copies.values())
+            del batch
+            at = 0
+            for part in slices(iter([rest]), "body"):
+                own = members[at : at + part.num_rows]
+                at += part.num_rows
+                chosen = [best((x for x in m if x is not None), default=None) for m in own]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("body"), pa.array(own, pa.list_(pa.int64())), pa.array(chosen, pa.int64()), pa.array(map(len, own), pa.int64())],
+                    names=["body", "ids", "best", "n"],
+                )
 
     return run
 

@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.llm.slices import slices
+
 #: A model is fitted on so many different texts of each language at most, one excerpt of each.
 SAMPLE_TEXTS = 400
 EXCERPT_CHARS = 600
@@ -119,8 +121,8 @@ def classify(docs: DataFrame, model: dict[str, bytes], text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(shipped.value)
-        for batch in batches:
-            made = [classifier.judge(t, min_margin) for t in batch.column(body).to_pylist()]
+        for batch in slices(batches, body):
+            made = [classifier.judge(t.as_py(), min_margin) for t in batch.column(body)]
             names, scores, margins, rejected = zip(*made, strict=True) if made else ((), (), (), ())
             columns = [batch.column(i) for i in range(count)]
             new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_())]
