@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.graph import knn_edges
-from tesserae.operators.rangejoin import near_pairs
+from tesserae.operators.paircounts import pair_counts, thresholds
 
 
 def distance_span(points: DataFrame) -> tuple[float, float]:
@@ -30,10 +30,8 @@ def co_occurrence(points: DataFrame, interval: int | Sequence[float] = 50, value
     """
     edges = list(map(float, interval)) if not isinstance(interval, int) else np.linspace(*distance_span(points), interval).tolist()
     radii = edges[1:]
-    rows = points.where(F.col(value).isNotNull()).select(F.lit(0).alias("lib"), "id", "x", "y", F.col(value).alias("c"))
-    pairs = near_pairs(rows, rows, max(radii)).where("a_id <> b_id")
-    bin_ = F.coalesce(*[F.when(F.col("d2") <= F.lit(r * r), F.lit(k)) for k, r in enumerate(radii)])
-    n = pairs.select(F.col("a_c").alias("cluster_i"), F.col("b_c").alias("cluster_c"), bin_.alias("k")).groupBy("cluster_i", "cluster_c", "k").agg(F.count(F.lit(1)).alias("n"))
+    rows = points.where(F.col(value).isNotNull()).select("id", "x", "y", F.col(value).alias("c"))
+    n = pair_counts(rows, np.maximum.accumulate([r * r for r in radii]))
     labels = rows.select("c").distinct()
     steps = points.sparkSession.createDataFrame([(k, r) for k, r in enumerate(radii)], "k int, r double")
     grid = labels.select(F.col("c").alias("cluster_i")).crossJoin(labels.select(F.col("c").alias("cluster_c"))).crossJoin(F.broadcast(steps))  # clusters squared times bins
@@ -113,11 +111,10 @@ def cumulative(distances: DataFrame, by: Sequence[str], support: Sequence[float]
 def ripley_l(points: DataFrame, area: float, support: Sequence[float], value: str = "cl") -> DataFrame:
     """``cluster, bin, stat``: L(r) = sqrt(K(r) / pi) with the intensity of all points."""
     n = points.count()
-    rows = points.select(F.lit(0).alias("lib"), "id", "x", "y", F.col(value).alias("c"))
-    pairs = near_pairs(rows, rows, max(support), ("lib", "c")).where("a_id <> b_id")
+    rows = points.select("id", "x", "y", F.col(value).alias("c"))
     step = (support[-1] - support[0]) / (len(support) - 1)
-    k = F.ceil((F.sqrt("d2") - support[0]) / step - 1e-9).cast("int")
-    found = pairs.groupBy(F.col("c").alias("cluster"), F.greatest(k, F.lit(0)).alias("k")).agg(F.count(F.lit(1)).alias("m"))
+    limits = thresholds(lambda d2: np.ceil((np.sqrt(d2) - support[0]) / step - 1e-9), len(support), float(max(support)) ** 2)
+    found = pair_counts(rows, limits, alike=True).select(F.col("cluster_i").alias("cluster"), "k", F.col("n").alias("m"))
     steps = points.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(support)], "k int, bin double")
     grid = rows.select(F.col("c").alias("cluster")).distinct().crossJoin(F.broadcast(steps))
     up = Window.partitionBy("cluster").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
