@@ -5,6 +5,9 @@ n pixels is n / size^2 rows.  Work on single blocks is a map; work that looks at
 neighbors gathers, for each block, the strips of the blocks around it that lie within a
 depth (``map_overlap``): one shuffle of the image and its halos.  No task sees more than a block and its halo.
 
+Arrays are compressed one by one: Spark hands a task many blocks at once, as many as their
+shuffled size suggests, and masks and labels shrink by far more than a hundred times on the way.
+
 Planes hold doubles; NaN is a pixel that is not there.  ``stat`` is one number that a step
 tells about a block.
 """
@@ -16,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,7 @@ from tesserae.operators.components import connected_components
 from tesserae.session import materialise
 
 SIZE = 256
+CODEC = "zstd"
 KEYS = ["img", "by", "bx"]
 _FRAME = "img string, by long, bx long, ih long, iw long, size int"
 SCHEMA = _FRAME + ", planes int, h int, w int, data binary, stat double"
@@ -58,12 +63,14 @@ def _tile(row) -> Tile:
 
 
 def _array(row) -> np.ndarray:
-    return np.frombuffer(row.data, np.float64).reshape(int(row.planes), int(row.h), int(row.w))
+    shape = int(row.planes), int(row.h), int(row.w)
+    data = pa.decompress(row.data, 8 * shape[0] * shape[1] * shape[2], CODEC, asbytes=True) if row.data else b""
+    return np.frombuffer(data, np.float64).reshape(shape)
 
 
 def _fields(a: np.ndarray) -> dict:
     a = np.ascontiguousarray(a, np.float64)
-    return {"planes": a.shape[0], "h": a.shape[1], "w": a.shape[2], "data": a.tobytes()}
+    return {"planes": a.shape[0], "h": a.shape[1], "w": a.shape[2], "data": pa.compress(a.tobytes(), CODEC, asbytes=True) if a.size else b""}
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator:
