@@ -86,7 +86,7 @@ def ligrec(expr: DataFrame, labels: DataFrame, interactions: DataFrame, n_perms:
     size = labels.groupBy("cl").agg(F.count(F.lit(1)).alias("cells"))
     drawn = permuted(labels, n_perms, seed)
     # Sums per permutation, cluster and gene; their number doesn't depend on the cells'.
-    sums = own.join(drawn, "id").groupBy("perm", "cl", "gene").agg(F.sum("value").alias("s")).join(size, "cl")
+    sums = own.join(drawn.hint("merge"), "id").groupBy("perm", "cl", "gene").agg(F.sum("value").alias("s")).join(size, "cl")
     sims = sums.select("perm", "cl", "gene", (F.col("s") / F.col("cells")).alias("mean"))
     want = observed.where("tested").select("source", "target", "cluster_1", "cluster_2", (F.col("m1") + F.col("m2")).alias("obs"))
     a = sims.select("perm", F.col("gene").alias("source"), F.col("cl").alias("cluster_1"), F.col("mean").alias("s1"))

@@ -29,3 +29,9 @@ def test_labels_of_edges(spark, points):
 
 def test_permuted_labels(points):
     assert merged(permuted(points, 3, 1, by=["lib"]))
+
+
+def test_permuted_labels_without_strata(points):
+    made = permuted(points, 3, 1)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[1].lstrip(" +-").startswith("Join Inner") and "strategy=merge" in plan.splitlines()[1]
